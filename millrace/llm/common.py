@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def more_fields(schema: StructType, ddl: str) -> StructType:
+    """schema and after it the fields of a DDL string."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers (splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import more_fields
+
 SPACE = "▁"
 #: Pre-tokens longer than this are not remembered.
 MEMO_CHARS = 48
@@ -307,9 +309,7 @@ def encode_documents(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays([key, *[pa.array(made[o], kinds[ENCODED[o]]) for o in outputs]], names=[id_col, *outputs])
 
-    schema = docs.select(F.col(id_col)).schema
-    for o in outputs:
-        schema = schema.add(o, ENCODED[o])
+    schema = more_fields(docs.select(F.col(id_col)).schema, ", ".join(f"{o} {ENCODED[o]}" for o in outputs))
     return narrow.mapInArrow(run, schema)
 
 

@@ -36,7 +36,7 @@ RULES: tuple[Rule, ...] = (
     Rule("min_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "100 * n_symbols > 5 * word_chars"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule("shouting", "100 * n_upper > 50 * word_chars"),
     Rule("long_words", "word_chars > 15 * n_words"),
     Rule("short_words", "word_chars < 2 * n_words"),

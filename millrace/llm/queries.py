@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pieces, quality_rules, url_filter
+from millrace.llm import embedding_dedup, minhash_dedup, nbsvm, packing, pieces, pii, quality_rules, shards, url_filter
 
 #: Where the public vocabulary files lie; only the driver reads them.
 TOKENIZERS = "/opt/tokenizers"
@@ -23,6 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
@@ -41,11 +47,41 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "covered", "ends_crc32"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.shuffled_shards(_table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return rows.select("doc_id", shards.record_size().alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = nbsvm.score(docs, nbsvm.fit(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return rows.select("doc_id", nbsvm.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_sharding": op6_sharding,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_packing": op8_packing,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_minhash": op10_minhash,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -97,7 +133,41 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM f"""
 
 
+_OP9_SQL = """
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+links AS (
+  SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.9),
+reach AS (SELECT id, id AS far FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.far = l.a),
+root AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept
+FROM nodes JOIN root USING (id) LEFT JOIN n USING (id)"""
+
+_OP10_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM d)
+  UNION ALL SELECT id, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+rare AS (SELECT g, count(*) AS f FROM s GROUP BY g HAVING count(*) > 1),
+-- Sets that share 80 in 100 share one of the rarest fifth of either's shingles.
+prefix AS (
+  SELECT id, g FROM (SELECT s.id, s.g, n.n, row_number() OVER (PARTITION BY s.id ORDER BY coalesce(f, 1), s.g) AS r
+                     FROM s JOIN n USING (id) LEFT JOIN rare USING (g)) WHERE r <= n - (4 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM prefix x JOIN prefix y ON x.g = y.g AND x.id < y.id),
+pairs AS (SELECT a, b, count(*) AS c FROM cand JOIN s x ON x.id = a JOIN s y ON y.id = b AND y.g = x.g GROUP BY a, b),
+one AS (SELECT a, b FROM pairs JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+reach AS (SELECT id, id AS far FROM d UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.far = l.a),
+root AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id)
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept
+FROM d JOIN root USING (id) LEFT JOIN n USING (id)"""
+
+
 ORACLE_SQL = {
     "op2_url_filter": _op2_sql(),
     "op4_quality_rules": _op4_sql(),
+    "op9_embedding_dedup": _OP9_SQL,
+    "op10_minhash": _OP10_SQL,
 }
