@@ -1 +1 @@
-"""Part of millrace; see the README for a map of the package."""
+"""Streaming forms: file pick-up by hash, and the audit sink."""
