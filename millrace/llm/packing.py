@@ -16,6 +16,7 @@ of equal length are interchangeable, so any of them may take any of its places.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
@@ -31,8 +32,10 @@ from pyspark.sql import Window
 from millrace.llm.common import more_fields, written
 
 #: White-space separated chunks that a worker remembers before it starts anew.
-MEMO_SIZE = 500_000
+MEMO_SIZE = 800_000
 MEMO_CHARS = 64
+#: Marks that the pre-tokeniser always parts from the letters before them.
+MARKS = ".,!?*#$%&|;:"
 
 _TOKENIZERS: dict[int, tuple] = {}
 
@@ -48,10 +51,15 @@ def _tokenizer(spec: bytes):
         # Cutting at spaces is exact where spaces vanish and no added token holds or eats one.
         if any(" " in t["content"] or "\n" in t["content"] for t in added):
             raise ValueError("an added token holds white space")
-        _TOKENIZERS[key] = (Tokenizer.from_str(spec.decode()), {})
+        _TOKENIZERS[key] = (Tokenizer.from_str(spec.decode()), {}, {})
     return _TOKENIZERS[key]
 
 
+def _letters(core: str) -> bool:
+    """Whether all is letters, also as the normaliser leaves it: no mark may follow that would join the tail."""
+    return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+
+
 def encode_words(spec: bytes, texts: list[str]) -> list[bytes]:
     """The ids of each text as 32-bit integers, as the library gives them for the whole text.
 
@@ -59,18 +67,29 @@ def encode_words(spec: bytes, texts: list[str]) -> list[bytes]:
     crosses it, so each chunk between spaces has its own ids; a memo answers the
     known chunks and the library the others, in one call.
     """
-    tokenizer, memo = _tokenizer(spec)
+    tokenizer, memo, parts = _tokenizer(spec)
     cut = [t.replace("\n", " ").split(" ") for t in texts]
     new = list(set(chain.from_iterable(cut)).difference(memo))
     if len(memo) + len(new) > MEMO_SIZE:
         memo.clear()
         new = list(set(chain.from_iterable(cut)))
-    if new:
-        memo.update(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    if len(parts) > MEMO_SIZE:
+        parts.clear()
+    cores = [core if (core := c.rstrip(MARKS)) != c and _letters(core) else c for c in new]
+    # Capitals vanish; only for ASCII is it sure that Python's small letters are the vocabulary's.
+    cores = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
+    tails = [c[len(core) :] for c, core in zip(new, cores, strict=True)]
+    missing = list({*cores, *tails}.difference(parts))
+    if missing:
+        parts.update(zip(missing, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+    memo.update(zip(new, (parts[core] + parts[tail] for core, tail in zip(cores, tails, strict=True)), strict=True))
     out = [b"".join(map(memo.__getitem__, c)) for c in cut]
     for t in new:
         if len(t) > MEMO_CHARS:
             del memo[t]
+    for t in missing:
+        if len(t) > MEMO_CHARS:
+            del parts[t]
     return out
 
 
