@@ -36,9 +36,16 @@ def extension(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """source_path, content, file_hash of every supported file below raw_dir."""
+    """source_path, content, file_hash of every supported file below raw_dir, empty files too.
+
+    Spark's scan passes over files without bytes, so those are added from its listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw_dir)
-    return files.where(extension(F.col("path")).isin(*EXTENSIONS)).select(F.col("path").alias("source_path"), "content", F.sha2("content", 256).alias("file_hash"))
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(F.url_decode(plain).alias("path"))
+    empty = listed.join(files.select(plain.alias("path")), "path", "left_anti").select("path", F.lit("").cast("binary").alias("content"))
+    both = files.select("path", "content").unionByName(empty)
+    return both.where(extension(F.col("path")).isin(*EXTENSIONS)).select(F.col("path").alias("source_path"), "content", F.sha2("content", 256).alias("file_hash"))
 
 
 def grouped_paragraphs(paragraphs: Sequence[str], limit: int = PAGE_CHARS) -> list[tuple[str, int]]:
