@@ -41,7 +41,7 @@ from millrace.llm.components import components
 
 T, BANDS, ROWS = 160, 32, 5
 #: Classes of a bucket that meet at a time.
-BLOCK = 256
+BLOCK = 512
 
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 40) - 1)
@@ -147,11 +147,9 @@ def _agreeing(pairs: DataFrame, low: DataFrame, least: int) -> DataFrame:
     return rows.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of ids whose full shingle sets are similar enough; texts: (id, t)."""
     pairs = written(pairs, "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(needed, "id", "left_semi"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of = None, None
@@ -217,12 +215,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     reps = written(reps, "classes")
     rows = reps.select("cid", F.explode("bands").alias("bh"))
     hubs = rows.groupBy("bh").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1").select("bh", "hub")
-    bucketed = written(rows.join(written(hubs, "hubs"), "bh"), "bucketed")
+    # Both sides of these joins grow with the data, so neither is ever broadcast.
+    bucketed = written(rows.join(written(hubs, "hubs").hint("merge"), "bh"), "bucketed")
+    needed = written(bucketed.select(F.col("cid").alias("id")).distinct(), "needed")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(needed.hint("merge"), "id", "left_semi")
+    texts = written(texts, "texts")
     star = bucketed.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
     low = reps.select("cid", "low")
-    first = written(verified(_agreeing(star, low, least), docs, size, threshold, id_col, text_col), "star")
+    first = written(verified(_agreeing(star, low, least), texts, size, threshold), "star")
     roots = components(first)
-    rest = written(verified(_across(bucketed, reps, roots, least), docs, size, threshold, id_col, text_col), "rest")
+    rest = written(verified(_across(bucketed, reps, roots, least), texts, size, threshold), "rest")
     if not rest.isEmpty():
         roots = components(roots.toDF("a", "b").union(rest))
     by_key = reps.select("key", "cid").join(roots, F.col("cid") == F.col("child"), "left").select("key", F.coalesce("parent", "cid").alias("root"))
