@@ -91,8 +91,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_TRIM)) != "")
     first = docs.select(F.struct(F.col(id_col), *[F.col(c) for c in keep]).alias("_row"), text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
-    return first.select(
-        "_row",
+    measures = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -100,7 +99,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         _repeat_words(F.col("_words")).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("_text", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
-    ).select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+    )
+    # A generator of one row: filters on measures stay above it, so that each measure is computed once.
+    return first.select("_row", F.inline(F.array(measures))).select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
