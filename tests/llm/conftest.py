@@ -9,7 +9,7 @@ def docs_of(spark):
 
     def make(texts, ids=None):
         ids = range(len(texts)) if ids is None else ids
-        return spark.createDataFrame([(i, t, "en", "s", t and len(t)) for i, t in zip(ids, texts)], DOC_SCHEMA)
+        return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in zip(ids, texts)], DOC_SCHEMA)
 
     return make
 
