@@ -20,8 +20,8 @@ Defined results: words are runs of characters other than space and \\t to \\r,
 with A-Z lower-cased; fewer words than a shingle has make the whole sequence one
 shingle; a null text, or one without words, has an empty set, links with nothing
 and is its own component. Ids are integers; a null id takes part in no link.
-Repeated rows are one class, and each gets its row; rows that share an id but
-not a text are judged each by its own text. Empty tables give empty results;
+Repeated rows are one class, and each gets its row; an id is one document: of
+several texts under one id, the smallest stands in comparisons. Empty tables give empty results;
 other columns are not read.
 """
 
@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Memo, mix64, written
-from millrace.llm.components import components
+from millrace.llm.components import Forest, components
 
 T, BANDS, ROWS = 160, 32, 5
 #: Classes of a bucket that meet at a time.
 BLOCK = 512
+#: Shingles of one block's members, and of the sets that a task holds at a time.
+BLOCK_SHINGLES = 4_000_000
 
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 40) - 1)
@@ -167,29 +169,43 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(bucketed: DataFrame, reps: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs (a, b) across components, of buckets that hold several.
+def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) across components, of buckets that hold several.
 
-    bucketed: (bh, cid, hub). Each pair comes from the first band it shares, and
-    not where it was compared as (member, hub) before.
+    bucketed: (bh, cid, hub). A pair is compared in the first band it shares,
+    and not where it was compared as (member, hub) before. The members of a
+    block bring their texts, so that what leaves a task is links alone.
     """
+    least = least_agreement(threshold)
     rows = bucketed.join(roots, F.col("cid") == F.col("child"), "left").select("bh", "cid", "hub", F.coalesce("parent", "cid").alias("comp"))
-    rows = written(rows, "placed")
-    mixed = rows.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    mixed = written(mixed.where("lo <> hi and size > 2").select("bh", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = written(rows.join(nodes.select("cid", "n"), "cid"), "placed")
+    mixed = rows.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = written(mixed.where("lo <> hi and size > 2").select("bh", blocks.alias("blocks")), "mixed")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     rows = rows.join(mixed, "bh").withColumn("own", own).select("bh", "cid", "hub", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "hub", "comp")
-    rows = rows.join(reps.select("cid", "bands", "low"), "cid")
+    rows = rows.join(nodes.select("cid", "bands", "low", "t"), "cid")
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         bh, i, j = (k.as_py() for k in key)
         cid, comp, own, hub = (t[c].to_numpy() for c in ("cid", "comp", "own", "hub"))
         band = np.array(t["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
         low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, T)
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        a_out, b_out = [], []
+        texts, sets, held = t["t"], {}, 0
+
+        def set_of(k: int) -> np.ndarray:
+            nonlocal held
+            if k not in sets:
+                if held > BLOCK_SHINGLES:
+                    sets.clear()
+                    held = 0
+                sets[k] = shingles(texts[k].as_py(), size)
+                held += len(sets[k])
+            return sets[k]
+
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        forest, found = Forest(), []
         for x in left:
             y = right[(comp[right] != comp[x]) & (cid[right] != hub[x]) & (cid[x] != hub[x])]
             if i == j:
@@ -197,21 +213,23 @@ def _across(bucketed: DataFrame, reps: DataFrame, roots: DataFrame, least: int)
             if len(y):
                 y = y[(low[y] == low[x]).sum(1) >= least]
             if len(y):
-                same = band[y] == band[x]
-                y = y[band[x][same.argmax(1)] == bh]
-                a_out.append(np.maximum(cid[y], cid[x]))
-                b_out.append(np.minimum(cid[y], cid[x]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a_out or none), "b": np.concatenate(b_out or none)})
+                y = y[band[x][(band[y] == band[x]).argmax(1)] == bh]
+            for k in y.tolist():
+                # What this block's links have joined already needs no further link.
+                p, q = int(comp[x]), int(comp[k])
+                if forest.root(p) != forest.root(q) and similar(set_of(int(x)), set_of(k), threshold):
+                    forest.join(p, q)
+                    found.append((int(cid[x]), int(cid[k])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("bh", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return rows.groupBy("bh", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id linked, over any number of links) and kept per row."""
     least = least_agreement(threshold)
     sig = written(signatures(docs, size, id_col, text_col), "signatures")
-    reps = sig.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("cid"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    reps = sig.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     reps = written(reps, "classes")
     rows = reps.select("cid", F.explode("bands").alias("bh"))
     hubs = rows.groupBy("bh").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1").select("bh", "hub")
@@ -219,12 +237,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     bucketed = written(rows.join(written(hubs, "hubs").hint("merge"), "bh"), "bucketed")
     needed = written(bucketed.select(F.col("cid").alias("id")).distinct(), "needed")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(needed.hint("merge"), "id", "left_semi")
-    texts = written(texts, "texts")
+    texts = texts.groupBy("id").agg(F.min("t").alias("t")).hint("merge")
+    nodes = written(texts.join(reps.select(F.col("cid").alias("id"), "n", "bands", "low"), "id").withColumnRenamed("id", "cid"), "nodes")
     star = bucketed.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    low = reps.select("cid", "low")
-    first = written(verified(_agreeing(star, low, least), texts, size, threshold), "star")
+    first = written(verified(_agreeing(star, nodes.select("cid", "low"), least), nodes.select(F.col("cid").alias("id"), "t"), size, threshold), "star")
     roots = components(first)
-    rest = written(verified(_across(bucketed, reps, roots, least), texts, size, threshold), "rest")
+    rest = written(_across(bucketed, nodes, roots, size, threshold), "rest")
     if not rest.isEmpty():
         roots = components(roots.toDF("a", "b").union(rest))
     by_key = reps.select("key", "cid").join(roots, F.col("cid") == F.col("child"), "left").select("key", F.coalesce("parent", "cid").alias("root"))
@@ -236,4 +254,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that have a near-duplicate of smaller id in their component."""
     gone = near_duplicates(docs, size, threshold, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == F.col("_gone"), "left_anti")
