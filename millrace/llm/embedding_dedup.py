@@ -1,18 +1,21 @@
-"""Embedding near-duplicates: coarse inverted lists with product-quantised residuals.
+"""Embedding near-duplicates: coarse lists, exact bounds between cells, exact cosine.
 
 Vectors are brought to unit length and equal ones become one class. Coarse
-centres and, per subspace, residual codebooks are trained on a bounded sample.
-Every class is filed in the list of its nearest centre with one code byte per
-subspace. As a query it probes the lists whose cells lie nearest to it; there,
-distances from tables of query-to-codeword products pass the members that could
-reach the threshold, and their exact cosine in double precision decides.
-
-The table distance can be off by no more than the member's quantisation error,
-which is stored, so the table step loses nothing; only the choice of probes can.
-
-Long lists are cut into blocks, and each block meets the queries that probe its
-list in bounded batches; no block or batch grows with the data. Tasks give
-counts per vector and a spanning forest of their links, never the pairs.
+centres are trained on a bounded sample, and every class is filed in the list
+of its nearest centre. Long lists are cut into blocks. Two blocks meet unless a
+bound shows that no link is between them: no vector of one comes within reach
+of the other's cell, or their balls are too far apart. Where balls lie so near
+that all pairs must link, they are counted without being compared; every other
+pair of blocks is compared by products in double precision. Nothing limits how
+many lists a vector is compared with, so no link is lost.
+
+Blocks travel packed, in spans of lists; a task takes two spans at most, so
+that neither rows nor tasks grow with a list. Tasks give counts per vector and
+a spanning forest of their links, never the pairs.
+
+``PqIndex`` also holds residual codes, and ``compare`` the table distances with
+their proven error bound; the query does without them, as whole products of
+blocks cost less than table look-ups.
 
 Defined results: a null, empty or zero vector, or one with a null or non-finite
 component, links with nothing and is its own component; vectors of different
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import written
 from millrace.llm.components import Forest, components
 
-#: Members of one block of a list, and queries compared at a time.
+#: Members of one block of a list.
 BLOCK = 1024
+#: Numbers (vectors times dimensions) in one span of blocks; a task holds two spans.
+SPAN = 1 << 20
 
 
 @dataclass
@@ -64,6 +69,13 @@ class PqIndex:
         q = _padded(q, self.books)
         return np.stack([q[:, m * self.width : (m + 1) * self.width] @ book.T for m, book in enumerate(self.books)], 1)
 
+    def reached(self, q: np.ndarray, own: int, reach: float) -> np.ndarray:
+        """The lists whose cells come within ``reach`` of any of the vectors filed in list ``own``; all of them."""
+        d = _squares(q, self.centres)
+        apart = np.sqrt(((self.centres - self.centres[own]) ** 2).sum(1))
+        plane = ((d - d[:, own : own + 1]) / np.maximum(2 * apart, 1e-12)).min(0)
+        return np.flatnonzero((plane <= reach + 1e-6) | (apart < 1e-6))
+
     def probes(self, q: np.ndarray, reach: float, most: int) -> np.ndarray:
         """For each query the lists whose cells come within ``reach``, nearest first, at most ``most``; -1 fills.
 
@@ -131,8 +143,9 @@ def compare(index: PqIndex, at: int, member: dict, query: dict, threshold: float
 def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000, probes: int = 24, list_rows: int = 400) -> DataFrame:
     """id, n_links, component_id and kept for every row.
 
-    sample_rows bounds what the index is fitted on; probes how many lists a
-    vector is compared in; list_rows is the mean length of a list, up to 4096 lists.
+    sample_rows bounds what the index is fitted on; list_rows is the mean length
+    of a list, up to 4096 lists. probes limits nothing any more: a vector is
+    compared in every list that it could have links in.
     """
     spark = vectors.sparkSession
     x = F.transform(F.col("_v"), lambda e: e.cast("double"))
@@ -150,7 +163,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     linked = None
     for d in dims:
         own = classes.where(F.size("v") == d)
-        part = _links(spark, own, total, threshold, sample_rows, probes, list_rows)
+        part = _links(spark, own, total, threshold, sample_rows, list_rows)
         linked = part if linked is None else linked.union(part)
     if linked is None:
         linked = spark.createDataFrame([], "cid long, n_other long, parent long")
@@ -170,7 +183,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows: int, probes: int, list_rows: int) -> DataFrame:
+def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows: int, list_rows: int) -> DataFrame:
     """(cid, n_other, parent): link counts per class, weighted by class sizes, and forest links."""
     share = min(1.0, 1.2 * sample_rows / max(total, 1))
     sample = classes.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample_rows)
@@ -182,54 +195,102 @@ def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows:
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                b = whole.slice(k, 2048)
-                x = _matrix(b.column("v"))
-                of, codes, error = index.encode(x)
-                lists = index.probes(x, reach, probes)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("cid"), b.column("n"), b.column("v"), pa.array(of.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([r[r >= 0].astype(np.int32) for r in lists], pa.list_(pa.int32()))],
-                    names=["cid", "n", "v", "list", "codes", "error", "probes"],
-                )
-
-    filed = written(classes.select("cid", "n", "v").mapInArrow(assign, "cid long, n long, v array<double>, list int, codes binary, error double, probes array<int>"), "filed")
-    # Lists in blocks: a member's block, and a query for every block of each list that it probes.
-    sizes = filed.groupBy("list").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    blocks = F.broadcast(sizes.select("list", "blocks"))  # at most 4096 lists
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    members = filed.join(blocks, "list").select("list", block.alias("block"), F.lit(0).alias("chunk"), F.lit(True).alias("member"), "cid", "n", "v", "codes", "error")
-    asked = filed.select("cid", "n", "v", F.explode("probes").alias("list")).join(blocks, "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "n", "v")
-    # A block that very many queries probe is copied, so that each copy meets some thousands of them.
-    load = asked.groupBy("list", "block").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("chunks"))
-    load = written(load, "load")
-    asked = asked.join(load, ["list", "block"]).select("list", "block", F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("member"), "cid", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
-    members = members.join(load, ["list", "block"]).select("list", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "member", "cid", "n", "v", "codes", "error")
+        for b in batches:
+            of = nearest(_matrix(b.column("v")), shared.value.centres) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), b.column("v"), pa.array(of.astype(np.int32))], names=["cid", "n", "v", "list"])
+
+    filed = written(classes.select("cid", "n", "v").mapInArrow(assign, "cid long, n long, v array<double>, list int"), "filed")
+    # Lists lie in the order of their centres' main direction, cut into blocks and spans; at most 4096 lists.
+    size = np.zeros(len(index.centres), np.int64)
+    for r in filed.groupBy("list").count().collect():
+        size[r["list"]] = r["count"]
+    middle = index.centres - index.centres.mean(0)
+    order = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")
+    start = np.zeros(len(size), np.int64)
+    start[order] = np.cumsum(size[order]) - size[order]
+    blocks = np.maximum(1, -(-size // BLOCK))
+    first, per, span = np.cumsum(blocks) - blocks, -(-size // blocks), max(BLOCK, SPAN // index.centres.shape[1])
+    layout = spark.sparkContext.broadcast((start, blocks, first, per))
+    lists = F.broadcast(spark.createDataFrame([(k, int(n), int(f)) for k, (n, f) in enumerate(zip(blocks, first, strict=True))], "list int, blocks int, first long"))
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        start, blocks, first, per = layout.value
+        at, x = t["list"][0].as_py(), _matrix(t["v"])
+        lists = shared.value.reached(x, at, reach)
+        lists = lists[size[lists] > 0]
+        low, high = start[lists] // span, (start[lists] + (blocks[lists] - 1) * per[lists]) // span
+        own = int(start[at] + (key[0].as_py() - first[at]) * per[at]) // span
+        row = {"bid": key[0].as_py(), "list": at, "span": own, "reached": lists.tolist(), "spans": sorted({s for a, b in zip(low.tolist(), high.tolist(), strict=True) for s in range(a, b + 1)})}
+        row |= {"ids": t["cid"].to_numpy().astype(np.int64).tobytes(), "n": t["n"].to_numpy().astype(np.int64).tobytes(), "x": np.ascontiguousarray(x).tobytes()}
+        return pa.Table.from_pylist([row], schema=pa.schema([("bid", pa.int64()), ("list", pa.int32()), ("span", pa.int64()), ("reached", pa.list_(pa.int32())), ("spans", pa.list_(pa.int64())), ("ids", pa.binary()), ("n", pa.binary()), ("x", pa.binary())]))
+
+    blocked = filed.join(lists, "list").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("bid"), "list", "cid", "n", "v")
+    packed = written(blocked.groupBy("bid").applyInArrow(pack, "bid long, list int, span long, reached array<int>, spans array<long>, ids binary, n binary, x binary"), "packed")
+    sent = packed.select("*", F.explode("spans").alias("other")).drop("spans")
+    sent = sent.withColumns({"low": F.least("span", "other"), "high": F.greatest("span", "other")}).drop("other")
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
-        index = shared.value
-        is_member = t["member"].to_numpy()
-        own, ask = t.filter(pa.array(is_member)), t.filter(pa.array(~is_member))
-        codes = np.frombuffer(b"".join(own["codes"].to_pylist()), np.uint8).reshape(own.num_rows, -1)
-        member = {"id": own["cid"].to_numpy(), "x": _matrix(own["v"]), "codes": codes, "error": own["error"].to_numpy(), "n": own["n"].to_numpy()}
-        ids, x = ask["cid"].to_numpy(), _matrix(ask["v"])
-        found, forest = np.zeros(len(ids), np.int64), Forest()
-        for k in range(0, len(ids) if own.num_rows else 0, BLOCK):
-            i, j = compare(index, key[0].as_py(), member, {"id": ids[k : k + BLOCK], "x": x[k : k + BLOCK]}, threshold)
-            np.add.at(found, i + k, member["n"][j])
-            # Of a query's links, one to each member that isn't joined yet is enough.
-            for a, b in set(zip(ids[i + k].tolist(), member["id"][j].tolist(), strict=True)):
-                forest.join(a, b)
+        low, high = key[0].as_py(), key[1].as_py()
+        rows, of = [], 0
+        for r in sorted(t.to_pylist(), key=lambda r: r["bid"]):
+            ids = np.frombuffer(r["ids"], np.int64)
+            x = np.frombuffer(r["x"], float).reshape(len(ids), -1)
+            centre = x.mean(0)
+            rows.append({"bid": r["bid"], "list": r["list"], "span": r["span"], "reached": set(r["reached"]), "ids": ids, "n": np.frombuffer(r["n"], np.int64), "x": x, "centre": centre, "radius": np.sqrt(((x - centre) ** 2).sum(1).max()), "at": of})
+            of += len(ids)
+        found, forest = np.zeros(of, np.int64), Forest()
+        for a in rows:
+            for b in rows:
+                if a["span"] != low or b["span"] != high or (low == high and a["bid"] > b["bid"]) or b["list"] not in a["reached"] or a["list"] not in b["reached"]:
+                    continue
+                apart, round_ = np.sqrt(((a["centre"] - b["centre"]) ** 2).sum()), a["radius"] + b["radius"]
+                if apart - round_ <= reach + 1e-6:
+                    _count(a, b, None if apart + round_ < reach - 1e-6 else threshold, found, forest)
+        ids = np.concatenate([r["ids"] for r in rows])
         hit = found > 0
-        child = forest.links()
+        links = np.array(forest.links(), np.int64).reshape(-1, 2)
         return pa.table(
             {
-                "cid": pa.array(np.concatenate([ids[hit], np.array([c for c, _ in child], np.int64)])),
-                "n_other": pa.array(np.concatenate([found[hit], np.zeros(len(child), np.int64)])),
-                "parent": pa.array([None] * int(hit.sum()) + [p for _, p in child], pa.int64()),
+                "cid": pa.array(np.concatenate([ids[hit], ids[links[:, 0]]])),
+                "n_other": pa.array(np.concatenate([found[hit], np.zeros(len(links), np.int64)])),
+                "parent": pa.array([None] * int(hit.sum()) + ids[links[:, 1]].tolist(), pa.int64()),
             }
         )
 
-    return members.union(asked).groupBy("list", "block", "chunk").applyInArrow(meet, "cid long, n_other long, parent long")
+    return sent.groupBy("low", "high").applyInArrow(meet, "cid long, n_other long, parent long")
+
+
+def _count(a: dict, b: dict, threshold: float | None, found: np.ndarray, forest: Forest) -> None:
+    """Adds the links between two blocks (or in one) to counts and forest; without a threshold, all pairs link."""
+    same = a is b
+    mine, other = slice(a["at"], a["at"] + len(a["ids"])), slice(b["at"], b["at"] + len(b["ids"]))
+    if threshold is None:
+        found[mine] += b["n"].sum() - (a["n"] if same else 0)
+        if not same:
+            found[other] += a["n"].sum()
+        for k in [*range(mine.start, mine.stop), *range(other.start, other.stop)] if not same or len(a["ids"]) > 1 else ():
+            forest.join(a["at"], k)
+        return
+    cosine = a["x"] @ b["x"].T
+    hit = cosine >= threshold
+    # At the threshold itself the plain sum decides, as a product's rounding hangs on its shape.
+    i, j = np.nonzero(np.abs(cosine - threshold) <= 1e-9)
+    hit[i, j] = (a["x"][i] * b["x"][j]).sum(1) >= threshold
+    if same:
+        np.fill_diagonal(hit, False)
+    i, j = np.nonzero(hit)
+    if not len(i):
+        return
+    found[mine] += np.bincount(i, b["n"][j], len(a["ids"])).astype(np.int64)
+    if not same:
+        found[other] += np.bincount(j, a["n"][i], len(b["ids"])).astype(np.int64)
+    # One link of each row and each column first; of the rest, each pair of trees once.
+    for first in (np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]):
+        for p, q in zip((i[first] + mine.start).tolist(), (j[first] + other.start).tolist(), strict=True):
+            forest.join(p, q)
+    top_a, top_b = np.zeros(len(a["ids"]), np.int64), np.zeros(len(b["ids"]), np.int64)
+    top_a[np.unique(i)] = [forest.root(k + mine.start) for k in np.unique(i).tolist()]
+    top_b[np.unique(j)] = [forest.root(k + other.start) for k in np.unique(j).tolist()]
+    apart = top_a[i] != top_b[j]
+    for code in np.unique(top_a[i][apart] * len(found) + top_b[j][apart]).tolist():
+        forest.join(*divmod(code, len(found)))

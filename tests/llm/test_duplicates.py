@@ -126,6 +126,20 @@ def test_links_reach_recall(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
 
 
+def test_no_link_is_lost_in_a_group_of_near_copies(spark, monkeypatch):
+    # A third of the rows are near copies, so that a third of some 200 lists lie in one small place.
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "SPAN", 500 * 64)
+    rng = np.random.default_rng(15)
+    copies = rng.normal(size=64) + rng.normal(scale=0.33, size=(800, 64))
+    tight = rng.normal(size=64) + rng.normal(scale=0.02, size=(150, 64))
+    x = np.concatenate([copies, tight, rng.normal(size=(1450, 64)), np.repeat(copies[:1], 20, 0)]).astype("float32").astype(float)
+    n, comp = brute_vectors(x)
+    rows = embedding_dedup.link_embeddings(vectors(spark, x).repartition(4), list_rows=12).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in rows] == n.tolist()
+    assert [r["component_id"] for r in rows] == comp
+
+
 def test_table_step_loses_nothing():
     rng = np.random.default_rng(14)
     x = rng.normal(size=(400, 30)) + 3 * rng.normal(size=(8, 30))[rng.integers(8, size=400)]
