@@ -6,9 +6,15 @@ a result does not depend on the order of summation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from millrace.functions.text import tokens
 from millrace.operators import index
@@ -60,6 +66,47 @@ def bm25_topk(table: DataFrame, queries: DataFrame, k: int = 20, zero_fill: bool
     return top_k(scored, k, [F.col("score").desc(), F.col("key").asc()])
 
 
+def bm25_topk_long(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """bm25_topk for a batch of long queries: the same rows, without a row per word, query and chunk.
+
+    A chunk's words are all in its own row, so each task scores its chunks for
+    every query and sends out its k best of each. The batch's words and their
+    statistics are gathered and broadcast; the table is counted over all rows.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")).collect()
+    names, ids = sorted({r["term"] for r in asked}), sorted({r["query_id"] for r in asked})
+    stats = index.corpus_stats(table)
+    held = index.term_stats(table.select(F.explode(F.array_distinct("tokens")).alias("term")), stats)
+    known = {r["term"]: r["idf"] for r in held.join(F.broadcast(queries.sparkSession.createDataFrame([(t,) for t in names], "term string")), "term", "left_semi").collect()}
+    avgdl = stats.first()["avgdl"]
+    at, of = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
+    weight = np.zeros((len(names), len(ids)))
+    for r in asked:
+        weight[at[r["term"]], of[r["query_id"]]] = r["qf"] * known.get(r["term"], 0.0) * (index.K1 + 1)
+    shared = queries.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), np.array(ids, np.int64), weight))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, weight = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows if len(ids) else 0, 512):
+                b = whole.slice(start, 512)
+                words, keys = b.column("tokens"), b.column("key").to_numpy()
+                dl = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                found = pc.index_in(words.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(float)
+                row, hit = np.repeat(np.arange(len(dl)), dl), ~np.isnan(found)
+                tf = np.bincount(row[hit] * len(names) + found[hit].astype(np.int64), minlength=len(dl) * len(names)).reshape(len(dl), -1)
+                scores = (tf / (tf + index.K1 * (1 - index.B + index.B * (dl / avgdl if avgdl else dl))[:, None])) @ weight
+                scores = np.round(scores, 6) + 0.0
+                order = np.stack([np.lexsort((keys, -scores[:, q]))[:k] for q in range(len(ids))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order.ravel()]), pa.array(np.take_along_axis(scores.T, order, 1).ravel())], names=["query_id", "key", "score"])
+
+    rows = table.select("key", "tokens").mapInArrow(best, StructType([StructField("query_id", LongType()), table.schema["key"], StructField("score", DoubleType())]))
+    rows = rows.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+    return top_k(rows, k, [F.col("score").desc(), F.col("key").asc()])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; null where a side has no length."""
 

@@ -53,6 +53,11 @@ def _batch(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), first.alias("query"))
 
 
+def _passages_asked(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark text as a query, with all its words."""
+    return _t(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("query"))
+
+
 def _int(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("int") for n in names})
 
@@ -106,6 +111,11 @@ def bm25_batch(spark, d):
     return retrieve.bm25_topk(index.token_table(_docs(spark, d), "key", "text"), _batch(spark, d), 5)
 
 
+@query(S.bm25_top(S.PASSAGES, 5))
+def bm25_batch_whole(spark, d):
+    return retrieve.bm25_topk_long(index.token_table(_docs(spark, d), "key", "text"), _passages_asked(spark, d), 5)
+
+
 # Vector search, fusion, reranking ----------------------------------------------
 
 

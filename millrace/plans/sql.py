@@ -46,6 +46,7 @@ def asked(*ids: int) -> str:
 
 
 BATCH = "SELECT item_id::INT AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark"
+PASSAGES = "SELECT item_id::INT AS query_id, text AS query FROM benchmark"
 
 
 def bm25_top(queries: str, k: int, allowed: str = "true") -> str:

@@ -31,3 +31,28 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_passages_are_asked_whole(spark):
+    # The last word of a passage is past any prefix; its documents must score for it.
+    table = catalog.index.token_table(catalog._docs(spark, SF), "key", "text")
+    whole = {(r["query_id"], r["key"]): r["score"] for r in catalog.QUERIES["bm25_batch_whole"](spark, SF).collect()}
+    asked = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert {q for q, _ in whole} == set(asked)
+    rows = spark.createDataFrame([(q * 100 + k, w) for q, t in list(asked.items())[:4] for k, w in enumerate(t.split())], "query_id int, query string")
+    summed = {}
+    for r in catalog.retrieve.bm25_scores(table, rows).collect():
+        at = (r["query_id"] // 100, r["key"])
+        summed[at] = summed.get(at, 0) + r["score"]
+    for q in list(asked)[:4]:
+        best = sorted((v for (k, _), v in summed.items() if k == q), reverse=True)[:5]
+        got = sorted((v for (k, _), v in whole.items() if k == q), reverse=True)
+        assert got == pytest.approx(best, abs=1e-3)
+
+
+def test_long_queries_rank_as_others(spark):
+    table = catalog.index.token_table(catalog._docs(spark, SF), "key", "text")
+    asked = catalog._asked(spark)
+    shown = [sorted((r["query_id"], r["rank"], r["key"], r["score"]) for r in f(table, asked, 7).collect()) for f in (catalog.retrieve.bm25_topk, catalog.retrieve.bm25_topk_long)]
+    assert shown[0] == shown[1] and {q for q, *_ in shown[0]} == {1, 2, 3}
+    assert catalog.retrieve.bm25_topk_long(table, asked.where("query_id = 4"), 7).count() == 0
