@@ -38,13 +38,15 @@ class PatternRule:
     """A regular expression over the URL with A-Z lower-cased.
 
     tokens: maximal runs of [a-z0-9] that every match holds whole, bounded on
-    both sides by other characters or by the URL's ends.
+    both sides by other characters or by the URL's ends. ends: those of them
+    that a match may also hold as the end of a longer run.
     """
 
     name: str
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
+    ends: tuple[str, ...] = ()
 
 
 HOST_RULES = (
@@ -61,7 +63,7 @@ PATTERN_RULES = (
     PatternRule("adult", "block", r"[^a-z0-9]porn[^a-z0-9]", ("porn",)),
     PatternRule("login", "block", r"/login/?([?#]|$)", ("login",)),
     PatternRule("session", "block", r"[?&;]phpsessid=", ("phpsessid",)),
-    PatternRule("feed", "block", r"/feed/?\?[^#]*format=rss(&|#|$)", ("feed", "format", "rss")),
+    PatternRule("feed", "block", r"/feed/?\?[^#]*format=rss(&|#|$)", ("feed", "format", "rss"), ends=("format",)),
     PatternRule("academic", "allow", r"://[^/?#]*\.edu[/?#:]", ("edu",)),
 )
 
@@ -101,10 +103,14 @@ class PatternIndex:
     def __init__(self, rules: Sequence[PatternRule], rarity: dict[str, int]):
         self.rules = [(r.name, r.verdict, re.compile(r.pattern)) for r in rules]
         self.by_token: dict[str, list[int]] = {}
+        self.by_end: dict[str, list[int]] = {}
         self.always: list[int] = []
         for k, r in enumerate(rules):
             if r.tokens:
-                self.by_token.setdefault(min(r.tokens, key=lambda t: (rarity.get(t, 0), t)), []).append(k)
+                rarest = min(r.tokens, key=lambda t: (rarity.get(t, 0), t))
+                self.by_token.setdefault(rarest, []).append(k)
+                if rarest in r.ends:
+                    self.by_end.setdefault(rarest, []).append(k)
             else:
                 self.always.append(k)
 
@@ -116,6 +122,9 @@ class PatternIndex:
         found = set(self.always)
         for t in set(_TOKEN.findall(low)):
             found.update(self.by_token.get(t, ()))
+            for end, rules in self.by_end.items():
+                if t.endswith(end):
+                    found.update(rules)
         for n, k in enumerate(sorted(found), 1):
             name, verdict, pattern = self.rules[k]
             if pattern.search(low):

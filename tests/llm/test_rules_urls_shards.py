@@ -57,6 +57,13 @@ def test_index_finds_what_all_rules_find():
         assert index.judge(url)[:2] == ((first.name, first.verdict) if first else (None, "allow")), url
 
 
+def test_index_finds_tokens_that_end_longer_ones():
+    for rarity in ({"feed": 431}, {"format": 9, "rss": 9}, {"feed": 1, "format": 1}):
+        index = url_filter.PatternIndex(url_filter.PATTERN_RULES, rarity)
+        assert index.judge("http://a.org/feed?dateformat=rss")[:2] == ("feed", "block")
+        assert index.judge("http://a.org/feed?formatted=rss")[:2] == (None, "allow")
+
+
 def test_urls(spark):
     urls = {
         "http://WWW.Example.com/en/x?a": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
