@@ -444,6 +444,12 @@ def upsert_last_wins(spark, d):
     return index.upsert(docs.where("doc_id < 0"), docs, order="doc_id")
 
 
+@query(_SNAP + "SELECT old_hash AS chunk_id, source_path::BIGINT AS doc_id, 'old' AS version FROM o WHERE old_hash NOT IN (SELECT new_hash FROM n) UNION ALL SELECT new_hash, max(source_path::BIGINT), 'new' FROM n GROUP BY 1")
+def upsert_snapshots(spark, d):
+    old, new = (s.select(F.col("file_hash").alias("chunk_id"), "doc_id", F.lit(v).alias("version")) for s, v in zip(_snapshots(spark, d), ("old", "new"), strict=True))
+    return index.upsert(old, new, order="doc_id")
+
+
 # Conversations -----------------------------------------------------------------
 
 

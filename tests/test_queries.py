@@ -56,3 +56,11 @@ def test_long_queries_rank_as_others(spark):
     shown = [sorted((r["query_id"], r["rank"], r["key"], r["score"]) for r in f(table, asked, 7).collect()) for f in (catalog.retrieve.bm25_topk, catalog.retrieve.bm25_topk_long)]
     assert shown[0] == shown[1] and {q for q, *_ in shown[0]} == {1, 2, 3}
     assert catalog.retrieve.bm25_topk_long(table, asked.where("query_id = 4"), 7).count() == 0
+
+
+def test_upsert_keeps_replaces_and_adds(spark):
+    old, new = ({r["file_hash"] for r in s.collect()} for s in catalog._snapshots(spark, SF))
+    got = catalog.QUERIES["upsert_snapshots"](spark, SF).collect()
+    by = {v: {r["chunk_id"] for r in got if r["version"] == v} for v in ("old", "new")}
+    assert by == {"old": old - new, "new": new} and old - new and old & new and new - old
+    assert sum(r["version"] == "new" for r in got) == len(new)
