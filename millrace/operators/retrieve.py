@@ -19,6 +19,9 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from millrace.functions.text import tokens
 from millrace.operators import index
 
+#: Queries of one block in bm25_topk_long.
+QUERIES = 64
+
 
 def top_k(rows: DataFrame, k: int, by: list[Column], within: str = "query_id", name: str = "rank") -> DataFrame:
     """The first k rows of each query with their rank; k of 0 is an error, as a caller's default belongs to the caller."""
@@ -82,25 +85,46 @@ def bm25_topk_long(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFra
     known = {r["term"]: r["idf"] for r in held.join(F.broadcast(queries.sparkSession.createDataFrame([(t,) for t in names], "term string")), "term", "left_semi").collect()}
     avgdl = stats.first()["avgdl"]
     at, of = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
-    weight = np.zeros((len(names), len(ids)))
+    # Queries go in blocks; a block has its ids, its words' places (-1: not its word), and words times queries.
+    parts: list[list] = [[] for _ in range(0, len(ids), QUERIES)]
     for r in asked:
-        weight[at[r["term"]], of[r["query_id"]]] = r["qf"] * known.get(r["term"], 0.0) * (index.K1 + 1)
-    shared = queries.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), np.array(ids, np.int64), weight))
+        parts[of[r["query_id"]] // QUERIES].append(r)
+    blocks = []
+    for n, part in enumerate(parts):
+        own = sorted({at[r["term"]] for r in part})
+        place, weight = np.full(len(names), -1), np.zeros((len(own), len(ids[n * QUERIES : (n + 1) * QUERIES])))
+        place[own] = range(len(own))
+        for r in part:
+            weight[place[at[r["term"]]], of[r["query_id"]] - n * QUERIES] = r["qf"] * known.get(r["term"], 0.0) * (index.K1 + 1)
+        blocks.append((np.array(ids[n * QUERIES : (n + 1) * QUERIES], np.int64), place, weight))
+    shared = queries.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), blocks))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, weight = shared.value
+        names, blocks = shared.value
+        kept: list = [None] * len(blocks)
         for whole in batches:
-            for start in range(0, whole.num_rows if len(ids) else 0, 512):
+            for start in range(0, whole.num_rows if blocks else 0, 512):
                 b = whole.slice(start, 512)
                 words, keys = b.column("tokens"), b.column("key").to_numpy()
                 dl = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-                found = pc.index_in(words.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(float)
-                row, hit = np.repeat(np.arange(len(dl)), dl), ~np.isnan(found)
-                tf = np.bincount(row[hit] * len(names) + found[hit].astype(np.int64), minlength=len(dl) * len(names)).reshape(len(dl), -1)
-                scores = (tf / (tf + index.K1 * (1 - index.B + index.B * (dl / avgdl if avgdl else dl))[:, None])) @ weight
-                scores = np.round(scores, 6) + 0.0
-                order = np.stack([np.lexsort((keys, -scores[:, q]))[:k] for q in range(len(ids))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order.ravel()]), pa.array(np.take_along_axis(scores.T, order, 1).ravel())], names=["query_id", "key", "score"])
+                found = pc.fill_null(pc.index_in(words.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+                row, found = np.repeat(np.arange(len(dl)), dl)[found >= 0], found[found >= 0]
+                norm = index.K1 * (1 - index.B + index.B * (dl / avgdl if avgdl else dl))
+                for n, (_, place, weight) in enumerate(blocks):
+                    own = place[found]
+                    cell = (row * len(weight) + own)[own >= 0]
+                    tf = np.bincount(cell, minlength=len(dl) * len(weight)).astype(float)
+                    held = np.flatnonzero(tf)
+                    tf[held] /= tf[held] + norm[held // len(weight)]
+                    scores = (np.round(tf.reshape(len(dl), -1) @ weight, 6) + 0.0).T
+                    all_keys = np.broadcast_to(keys, scores.shape)
+                    if kept[n] is not None:
+                        all_keys, scores = np.concatenate([kept[n][0], all_keys], 1), np.concatenate([kept[n][1], scores], 1)
+                    order = np.stack([np.lexsort((x, -y))[:k] for x, y in zip(all_keys, scores, strict=True)])
+                    kept[n] = np.take_along_axis(all_keys, order, 1), np.take_along_axis(scores, order, 1)
+        for (ids, _, _), best_of in zip(blocks, kept, strict=True):
+            if best_of is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_of[0].shape[1])), pa.array(best_of[0].ravel()), pa.array(best_of[1].ravel())], names=["query_id", "key", "score"])
 
     rows = table.select("key", "tokens").mapInArrow(best, StructType([StructField("query_id", LongType()), table.schema["key"], StructField("score", DoubleType())]))
     rows = rows.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))

@@ -185,6 +185,31 @@ def rerank_cached(spark, d):
     return retrieve.rerank(hits.unionByName(shouted)).select("query_id", "key", "score", "rank")
 
 
+def _queries(spark, d) -> DataFrame:
+    """The texts of the documents that share their ids with vector_batch's queries."""
+    ids = _vectors(spark, d).where("key % 100 = 0").select("key")
+    return _docs(spark, d).join(ids, "key", "left_semi").select(F.col("key").cast("int").alias("query_id"), F.col("text").alias("query"))
+
+
+def _fused(spark, d) -> DataFrame:
+    v = _vectors(spark, d)
+    lex = retrieve.bm25_topk_long(index.token_table(_docs(spark, d), "key", "text"), _queries(spark, d), 20)
+    return retrieve.rrf(retrieve.vector_topk(v, _probe(v, F.col("key") % 100 == 0), 20), lex)
+
+
+@query(f"WITH {S.LEGS_BATCH} SELECT f.query_id, f.key, f.score, f.rank::INT AS rank, source, l.rank::INT AS leg_rank, l.score AS leg_score FROM fused f JOIN legs l ON l.query_id = f.query_id AND l.key = f.key WHERE f.rank <= 10")
+def rrf_batch(spark, d):
+    return _fused(spark, d).select("query_id", "key", "score", "rank", F.explode("fusion").alias("f")).select("query_id", "key", "score", "rank", "f.source", F.col("f.rank").alias("leg_rank"), F.col("f.score").alias("leg_score"))
+
+
+@query(f"WITH {S.RERANK_BATCH} SELECT query_id + n AS query_id, key, score, rank::INT AS rank, hybrid_score FROM reranked, (SELECT unnest([0, 50])::INT AS n) WHERE rank <= 5")
+def rerank_batch(spark, d):
+    asked = _queries(spark, d).where(F.size(retrieve.tokens(F.col("query"))) > 0)
+    hits = _docs(spark, d).select("key", F.col("text").alias("content")).join(_fused(spark, d).join(asked, "query_id"), "key")
+    spaced = hits.withColumn("query_id", F.col("query_id") + 50).withColumn("query", F.concat(F.lit(" "), "query"))
+    return retrieve.rerank(hits.unionByName(spaced)).select("query_id", "key", "score", "rank", "hybrid_score")
+
+
 # Access ------------------------------------------------------------------------
 
 

@@ -79,6 +79,19 @@ legs AS (SELECT 1::INT AS query_id, key, 'vector' AS source, rank, score FROM ve
 sums AS (SELECT query_id, key, round(sum(1 / (60 + rank)), 10) AS score, min(rank) FILTER (source = 'vector') AS v, min(rank) FILTER (source = 'bm25') AS b FROM legs GROUP BY ALL),
 fused AS (SELECT query_id, key, score, row_number() OVER (ORDER BY score DESC, v ASC NULLS LAST, b ASC NULLS LAST, key) AS rank FROM sums)"""
 
+LEGS_BATCH = f"""
+qs AS (SELECT doc_id::INT AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+vec AS ({vector_top("vec_id % 100 = 0", 20)}),
+lex AS ({bm25_top("SELECT * FROM qs", 20)}),
+legs AS (SELECT query_id, key, 'vector' AS source, rank, score FROM vec UNION ALL SELECT query_id, key, 'bm25', rank, score FROM lex),
+sums AS (SELECT query_id, key, round(sum(1 / (60 + rank)), 10) AS score, min(rank) FILTER (source = 'vector') AS v, min(rank) FILTER (source = 'bm25') AS b FROM legs GROUP BY ALL),
+fused AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v ASC NULLS LAST, b ASC NULLS LAST, key) AS rank FROM sums)"""
+
+RERANK_BATCH = f"""{LEGS_BATCH},
+hits AS (SELECT f.query_id, f.key, f.score AS hybrid_score, f.rank AS hybrid_rank, query, d.text FROM fused f JOIN qs USING (query_id) JOIN documents d ON d.doc_id = f.key WHERE f.rank <= 10 AND len({tok("query")}) > 0),
+scored AS (SELECT *, round(len(list_intersect(list_distinct({tok("query")}), {tok("text")})) / len(list_distinct({tok("query")})), 6) AS score FROM hits),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hybrid_rank) AS rank FROM scored)"""
+
 RERANK = f"""{LEGS},
 hits AS (SELECT f.query_id, f.key, f.score AS hybrid_score, f.rank AS hybrid_rank, d.text FROM fused f JOIN documents d ON d.doc_id = f.key WHERE f.rank <= 10),
 scored AS (SELECT *, round(len(list_intersect(list_distinct({tok(quoted(ASKED[0][1]))}), {tok("text")})) / len(list_distinct({tok(quoted(ASKED[0][1]))})), 6) AS score FROM hits),

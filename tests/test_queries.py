@@ -64,3 +64,12 @@ def test_upsert_keeps_replaces_and_adds(spark):
     by = {v: {r["chunk_id"] for r in got if r["version"] == v} for v in ("old", "new")}
     assert by == {"old": old - new, "new": new} and old - new and old & new and new - old
     assert sum(r["version"] == "new" for r in got) == len(new)
+
+
+def test_fusion_and_reranking_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(catalog.retrieve, "QUERIES", 1)
+    want = {r["vec_id"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
+    rows = catalog.QUERIES["rrf_batch"](spark, SF).collect()
+    assert {r["query_id"] for r in rows} == want and len(want) > 1
+    first = {(r["query_id"], r["key"]) for r in rows if r["source"] == "bm25" and r["leg_rank"] == 1}
+    assert first == {(r["query_id"], r["query_id"]) for r in catalog._queries(spark, SF).collect()} and len(first) > 1
