@@ -6,8 +6,8 @@ goes to the driver. There, patterns of a few length classes that fill a
 sequence are enumerated; how often to repeat each is fitted to the histogram by
 non-negative least squares and rounded; what is left is packed best-fit, largest
 first, into the remaining room of the patterns and then into new sequences. The
-plan says for the r-th piece of a length where it goes; a piece's r is its rank
-within its task's rows plus the rows of that length in earlier tasks.
+plan says for the r-th piece of a length where it goes. Its size follows the
+number of different lengths and not the number of pieces.
 
 Defined results: a null or empty text is one piece of the end id; repeated rows
 are packed as rows of their own; an empty table gives an empty result; pieces
@@ -16,12 +16,10 @@ of equal length are interchangeable, so any of them may take any of its places.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,67 +28,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from millrace.llm.common import more_fields, written
+from millrace.llm.words import SPACES, Known, gathered, slices, words
 
-#: White-space separated chunks that a worker remembers before it starts anew.
-MEMO_SIZE = 800_000
-MEMO_CHARS = 64
 #: Marks that the pre-tokeniser always parts from the letters before them.
-MARKS = ".,!?*#$%&|;:"
+MARKS = ".,!?*#$%&;:"
 
-_TOKENIZERS: dict[int, tuple] = {}
+#: Groups of tasks within which pieces of a length are numbered.
+GROUPS = 64
 
+_VOCABULARIES: dict[int, Vocabulary] = {}
 
-def _tokenizer(spec: bytes):
-    key = zlib.crc32(spec)
-    if key not in _TOKENIZERS:
-        import json
 
-        from tokenizers import Tokenizer
+class Vocabulary:
+    """A word-end vocabulary on a worker: ids of words as bytes of 32-bit integers."""
 
-        added = json.loads(spec)["added_tokens"]
-        # Cutting at spaces is exact where spaces vanish and no added token holds or eats one.
-        if any(" " in t["content"] or "\n" in t["content"] for t in added):
-            raise ValueError("an added token holds white space")
-        _TOKENIZERS[key] = (Tokenizer.from_str(spec.decode()), {}, {})
-    return _TOKENIZERS[key]
+    def __init__(self, spec: bytes):
+        import json
 
+        from tokenizers import Tokenizer
 
-def _letters(core: str) -> bool:
-    """Whether all is letters, also as the normaliser leaves it: no mark may follow that would join the tail."""
-    return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+        told = json.loads(spec)
+        # Cutting is exact where spaces vanish and no added token holds a space or mark.
+        if any(set(t["content"]) & set(SPACES + MARKS) for t in told["added_tokens"]):
+            raise ValueError("an added token holds white space or a mark")
+        self.added = [t["content"].lower().encode() for t in told["added_tokens"]]
+        self.library = Tokenizer.from_str(spec.decode())
+        end, vocab = told["model"]["end_of_word_suffix"], told["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        # Words of letters end at the first id that ends a word, so many of them are encoded as one text.
+        plain = [w.isascii() and w.isalpha() for w in words]
+        letters = [w for w, p in zip(words, plain, strict=True) if p]
+        some = [" ".join(letters[k : k + 1000]) for k in range(0, len(letters), 1000)]
+        ids = np.array([i for e in self.library.encode_batch_fast(some, add_special_tokens=False) for i in e.ids], np.uint32)
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        data = ids.tobytes()
+        of_letters = iter([data[a:z] for a, z in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)] if letters else [])
+        others = iter(self.library.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(of_letters) if p else array("I", next(others).ids).tobytes() for p in plain]
+
+
+def _vocabulary(spec: bytes) -> Vocabulary:
+    """This worker's vocabulary; loaded once."""
+    key = zlib.crc32(spec)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = Vocabulary(spec)
+    return _VOCABULARIES[key]
 
 
-def encode_words(spec: bytes, texts: list[str]) -> list[bytes]:
-    """The ids of each text as 32-bit integers, as the library gives them for the whole text.
+def encode_words(vocabulary: Vocabulary, texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in one array, and where each text begins in it; known: of the vocabulary's encode.
 
-    The vocabulary's normaliser drops white space and its pre-tokeniser never
-    crosses it, so each chunk between spaces has its own ids; a memo answers the
-    known chunks and the library the others, in one call.
+    They are what the library gives for whole texts: the vocabulary's normaliser
+    drops white space and makes capitals small, its pre-tokeniser never crosses
+    white space and parts letters from the marks after them.
     """
-    tokenizer, memo, parts = _tokenizer(spec)
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set(chain.from_iterable(cut)).difference(memo))
-    if len(memo) + len(new) > MEMO_SIZE:
-        memo.clear()
-        new = list(set(chain.from_iterable(cut)))
-    if len(parts) > MEMO_SIZE:
-        parts.clear()
-    cores = [core if (core := c.rstrip(MARKS)) != c and _letters(core) else c for c in new]
-    # Capitals vanish; only for ASCII is it sure that Python's small letters are the vocabulary's.
-    cores = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
-    tails = [c[len(core) :] for c, core in zip(new, cores, strict=True)]
-    missing = list({*cores, *tails}.difference(parts))
-    if missing:
-        parts.update(zip(missing, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-    memo.update(zip(new, (parts[core] + parts[tail] for core, tail in zip(cores, tails, strict=True)), strict=True))
-    out = [b"".join(map(memo.__getitem__, c)) for c in cut]
-    for t in new:
-        if len(t) > MEMO_CHARS:
-            del memo[t]
-    for t in missing:
-        if len(t) > MEMO_CHARS:
-            del parts[t]
-    return out
+    found, code, bounds = words(texts, lower=True, marks=MARKS, spare=vocabulary.added)
+    ids, ends = gathered(known.of(found), code)
+    return ids, ends[bounds]
 
 
 def tokenised_pieces(docs: DataFrame, spec: bytes, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -107,27 +104,23 @@ def tokenised_pieces(docs: DataFrame, spec: bytes, capacity: int = 4096, end_id:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, seen, end = TaskContext.get().partitionId(), defaultdict(int), array("I", [end_id]).tobytes()
-        for b in batches:
-            texts, done = b.column("_text").to_pylist(), 0
-            while done < len(texts):
-                stop, n = done, 0
-                while stop < len(texts) and n < 400_000:
-                    n += len(texts[stop] or "")
-                    stop += 1
+        vocabulary = _vocabulary(shared.value)
+        part, seen, end, known = TaskContext.get().partitionId(), defaultdict(int), np.array([end_id], np.uint32), Known(vocabulary.encode)
+        for whole in batches:
+            for b in slices(whole, 1):
+                ids, at = encode_words(vocabulary, b.column(1), known)
+                # The end id goes behind each text's own.
+                ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
                 rows: list[tuple] = []
-                for k, ids in enumerate(encode_words(shared.value, [t or "" for t in texts[done:stop]]), done):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        length = len(own) // 4
-                        rows.append((k, p, at // 4, length, zlib.crc32(own), part, seen[length], own))
+                for k, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    for p, start in enumerate(range(a, z, capacity)):
+                        length = min(z - start, capacity)
+                        rows.append((k, p, start - a, length, zlib.crc32(ids[start : start + length]), seen[length], start))
                         seen[length] += 1
-                done = stop
                 cols = list(zip(*rows, strict=True))
-                out = [b.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:5]], pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int64())]
+                out = [b.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:5]], pa.array(np.full(len(rows), part, np.int32)), pa.array(cols[5], pa.int64())]
                 if with_ids:
-                    out.append(pa.array([np.frombuffer(x, "<i4") for x in cols[7]], pa.list_(pa.int32())))
+                    out.append(pa.ListArray.from_arrays(pa.array([*cols[6], len(ids)], pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "part", "rank"] + ["ids"] * with_ids
@@ -286,31 +279,43 @@ def segments(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """pieces (written) with sequence_id and offset instead of part and rank."""
+    """pieces (written) with sequence_id and offset instead of part and rank.
+
+    A piece's number among those of its length is its place within one of GROUPS
+    groups of tasks, by a sort, and what the groups before it hold: that table
+    has at most GROUPS rows a length, whatever the number of tasks.
+    """
     spark = pieces.sparkSession
-    counts = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(segments(pack(histogram, capacity)))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    ranked = pieces.join(written(bases, "bases"), ["length", "part"]).withColumn("_r", F.col("_before") + F.col("rank"))
     names = [c for c in pieces.columns if c not in ("part", "rank")]
+    group = F.pmod(F.xxhash64("part"), F.lit(GROUPS)).cast("int")
+    # Nested, so that no column of the caller's meets one of these.
+    held = pieces.select(F.struct(*names).alias("p"), F.col("length").alias("n"), group.alias("g"), "part", "rank")
+    counts = held.groupBy("n", "g").agg(F.count("*").alias("c")).toArrow()
+    before = np.zeros((capacity + 1, GROUPS), np.int64)
+    before[counts["n"].to_numpy(), counts["g"].to_numpy()] = counts["c"].to_numpy()
+    total = before.sum(1)
+    before = np.cumsum(before, 1) - before
+    shared = spark.sparkContext.broadcast((segments(pack({n: int(total[n]) for n in np.flatnonzero(total).tolist()}, capacity)), before))
+    place = F.row_number().over(Window.partitionBy("n", "g").orderBy("part", "rank")) - 1
+    ranked = held.select("p", "n", "g", place.cast("long").alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = shared.value
+        plan, before = shared.value
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("_r").to_numpy()
+            length = b.column("n").to_numpy()
+            rank = b.column("r").to_numpy() + before[length, b.column("g").to_numpy()]
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for n in np.unique(length):
-                own = length == n
-                rows = plan[int(n)]
+            order = np.argsort(length, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+                n = int(length[own[0]])
+                rows = plan[n]
                 at = rows[np.searchsorted(rows[:, 0], rank[own], "right") - 1]
                 j = rank[own] - at[:, 0]
                 sequence[own] = at[:, 1] + j // at[:, 2]
                 offset[own] = at[:, 3] + j % at[:, 2] * n
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.column("p").flatten(), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_r").mapInArrow(run, pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(docs: DataFrame, spec: bytes, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -4,13 +4,16 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from millrace.llm import nbsvm, packing
 from millrace.llm.queries import QUERIES, vocabulary
+from millrace.llm.words import Known
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..conftest import SF
 
-ALPHA = [*"ab cd  \n\t\r.,!éßñ中文😀'sΣİ\x1c\x85\xa0́ﬁ", "<|endoftext|>", "<|startoftext|>", "'ll", "123", "Word.", "word!"]
+ALPHA = [*"ab cd  \n\t\r.,!éßñ中文😀'sΣİ\x1c\x85\xa0́ﬁ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'ll", "123", "Word.", "word!"]
 
 
 def test_ids_are_the_librarys():
@@ -18,8 +21,12 @@ def test_ids_are_the_librarys():
     library = Tokenizer.from_str(spec.decode())
     rnd = random.Random(6)
     texts = ["".join(rnd.choice(ALPHA) for _ in range(rnd.randrange(40))) for _ in range(5000)]
-    for text, ids in zip(texts, packing.encode_words(spec, texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    own = packing.Vocabulary(spec)
+    known = Known(own.encode, entries=50)
+    for some in (texts[:10], texts, *[[t] for t in texts], [None, "", " \n"], []):
+        ids, at = packing.encode_words(own, pa.array(some, pa.string()), known)
+        for k, text in enumerate(some):
+            assert ids[at[k] : at[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_plan_places_everything_tightly():
@@ -95,7 +102,8 @@ def test_dual_descent_parts_the_classes():
     rows = [np.unique(rng.integers(0, 20, 5)) for _ in range(200)]
     label = np.array([float(3 in r) for r in rows])
     model = nbsvm.fit_rows(rows, label)
-    assert np.mean([(model.score(r) >= 0.5) == bool(y) for r, y in zip(rows, label, strict=True)]) > 0.97
+    score = model.scores(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
+    assert np.mean((score >= 0.5) == (label > 0)) > 0.97
 
 
 def test_hinge_optimum():
@@ -110,6 +118,9 @@ def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
     docs = odd_docs.withColumnRenamed("source", "score")
     out = nbsvm.score(docs, model, column="p")
     assert out.columns == [*docs.columns, "p"] and out.count() == docs.count() and out.where("p is null or p < 0 or p > 1").isEmpty()
+    assert nbsvm.keep_good(docs, model).columns == docs.columns
+    odd = docs.withColumnsRenamed({"lang": "_text", "n_chars": "_score"}).withColumn("in", F.lit(1))
+    assert nbsvm.score(odd, model, column="_p").count() == docs.count() and nbsvm.keep_good(odd, model).columns == odd.columns
     empty = nbsvm.fit(no_docs, labels)
     assert nbsvm.score(odd_docs, empty).where("score <> 0.5").isEmpty() and nbsvm.score(no_docs, model).count() == 0
     ones = nbsvm.fit(odd_docs, labels.where("quality = 1"))
