@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import dropped, join_unique, written
 
 
 class Forest:
@@ -69,16 +69,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     links: two long columns; either order, repeats and self-links allowed.
     """
     edges = links.select(F.col(a).cast("long").alias("child"), F.col(b).cast("long").alias("parent")).where("child is not null and parent is not null")
-    edges = written(edges.mapInArrow(_contracted, "child long, parent long").distinct(), "links")
+    step = written(edges.mapInArrow(_contracted, "child long, parent long").distinct(), "links")
     for _ in range(most_rounds):
-        least = written(edges.groupBy("child").agg(F.min("parent").alias("least"), F.max("parent").alias("most")), "least")
-        held = edges.join(least.select("child", "least"), "child")
+        edges = step.select("child", "parent")
+        least = written(edges.groupBy("child").agg(F.min("parent").alias("least"), F.max("parent").alias("most"), F.count("*").alias("n")), "least")
+        held = join_unique(edges, least.select("child", "least", "n"), "child", "n")
         new = held.select("child", F.col("least").alias("parent")).union(held.where("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent")))
         flat = written(new.distinct(), "hooked")
-        top = written(flat.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("up")), "tops")
-        jumped = flat.join(top, "parent", "left").select("child", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
-        step = written(jumped.groupBy("child", "parent").agg(F.max("moved").alias("moved")), "jumped")
-        edges = step.select("child", "parent")
-        if step.where("moved").isEmpty() and least.where("least <> most").isEmpty():
-            return edges
+        top = flat.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("up"))
+        # A parent may have very many children; its row says how many.
+        up = written(flat.groupBy("parent").agg(F.count("*").alias("n")).join(top, "parent", "left"), "tops")
+        jumped = join_unique(flat, up, "parent", "n").select("child", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
+        last, step = step, written(jumped.groupBy("child", "parent").agg(F.max("moved").alias("moved")), "jumped")
+        settled = step.where("moved").isEmpty() and least.where("least <> most").isEmpty()
+        dropped(last, least, flat, up)
+        if settled:
+            return step.select("child", "parent")
     raise RuntimeError("components did not settle")

@@ -7,28 +7,30 @@ shingle goes to one bin in turn, so after 2 T rounds none is empty. Two sketches
 agree in a coordinate with the sets' Jaccard similarity, concentrated as if the
 coordinates were independent.
 
-Documents with equal sets are one class. Classes that share a band of the sketch
-are candidates. A bucket's classes are first held against its smallest one only,
-which settles large groups of copies in a number of comparisons that is linear
-in them. Then, for buckets that still hold several components, all pairs across
-components are compared in blocks of bounded size, by sketch and then on the
-full sets. Every candidate pair is thereby either compared, or inside one
-component already. At the threshold of 0.8, a pair misses all 32 bands of 5 with
-a chance of 3e-6, and the sketch comparison lies 5.5 deviations below.
+Documents with equal sets are one class, which has a number, a row to stand for
+it and that row's text. Classes that share a band of the sketch are candidates.
+A bucket's classes are first held against its smallest one only, which settles
+large groups of copies in a number of comparisons that is linear in them. Then,
+for buckets that still hold several components, all pairs across components are
+compared in blocks of bounded size, by sketch and then on the full sets. Every
+candidate pair is thereby either compared, or inside one component already. At
+the threshold of 0.8, a pair misses all 32 bands of 5 with a chance of 3e-6, and
+the sketch comparison lies 5.5 deviations below.
 
 Defined results: words are runs of characters other than space and \\t to \\r,
 with A-Z lower-cased; fewer words than a shingle has make the whole sequence one
 shingle; a null text, or one without words, has an empty set, links with nothing
-and is its own component. Ids are integers; a null id takes part in no link.
-Repeated rows are one class, and each gets its row; an id is one document: of
-several texts under one id, the smallest stands in comparisons. Empty tables give empty results;
-other columns are not read.
+and is its own component. Ids are integers and only name rows: rows of one id
+with different texts are different documents, and each is linked by its own
+text; a null id takes part in no link. Repeated rows are one class, and each
+gets its row. Empty tables give empty results; other columns are not read, and
+may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,61 +38,73 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, mix64, written
+from millrace.llm.common import addressed, dropped, join_unique, mix64, settled, written
 from millrace.llm.components import Forest, components
+from millrace.llm.words import slices, words
 
 T, BANDS, ROWS = 160, 32, 5
-#: Classes of a bucket that meet at a time.
-BLOCK = 512
-#: Shingles of one block's members, and of the sets that a task holds at a time.
-BLOCK_SHINGLES = 4_000_000
+#: Members of a hub that are compared in one part, and classes of a bucket that meet at a time.
+PART, BLOCK = 4096, 1024
+#: Bytes of text of one block's members, and of texts whose sets are made together.
+BLOCK_BYTES, SLICE = 16 << 20, 4 << 20
 
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 40) - 1)
 _EMPTY = np.uint64(2**64 - 1)
 _PRIME = np.uint64(0x9FB21C651E98DF25)
-_MEMO = Memo(xxhash.xxh64_intdigest, 400_000)
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_MEMO.__getitem__, words), np.uint64, n)
-    k = min(size, n)
-    acc = h[: n - k + 1]
-    for j in range(1, k):
-        acc = mix64(acc * _PRIME) + h[j : n - k + 1 + j]
-    return np.unique(mix64(acc + np.uint64(k)))
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """The T coordinates of a non-empty set: round number over 40 bits of hash."""
-    out, r, n = np.full(T, _EMPTY), 0, len(s)
-    while r < 2 * T:
-        many = min(1 + 512 // n, T - r if r < T else 2 * T - r)
+
+
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all texts in one array, and where each text's begin."""
+    found, code, at = words(texts, lower=True)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))[code]
+    n = np.diff(at)
+    many = np.where(n >= size, n - size + 1, n > 0)
+    ends = np.append(0, np.cumsum(many))
+    first = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], many)
+    long = np.repeat(np.minimum(n, size), many)
+    out, acc = np.zeros(ends[-1], np.uint64), h
+    for k in range(1, size + 1):
+        own = np.flatnonzero(long == k)
+        out[own] = mix64(acc[first[own]] + np.uint64(k))
+        acc = mix64(acc[:-1] * _PRIME) + h[k:] if len(acc) else acc
+    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[a:z].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[ends[:-1][many > 0]] = True
+    return out[new], np.append(0, np.cumsum(new))[ends]
+
+
+def sketches(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The T coordinates of each set: round number over 40 bits of hash; those of an empty set stay at the top."""
+    out = np.full((len(at) - 1, T), _EMPTY)
+    flat, of, r = out.reshape(-1), np.repeat(np.arange(len(at) - 1), np.diff(at)), 0
+    live = np.flatnonzero(np.diff(at))
+    while len(live) and r < 2 * T:
+        # Further rounds don't change a full sketch, so few shingles take many rounds at once.
+        many = min(1 + 65536 // len(s), T - r if r < T else 2 * T - r)
         h = mix64(s[None, :] ^ _SEEDS[r : r + many, None])
-        value = (np.arange(r, r + many, dtype=np.uint64)[:, None] << np.uint64(40)) | (h & _LOW)
-        if r < T:
-            bins = ((h >> np.uint64(40)) * np.uint64(T) >> np.uint64(24)).astype(np.intp)
-            np.minimum.at(out, bins.ravel(), value.ravel())
-        else:
-            at = slice(r - T, r - T + many)
-            out[at] = np.minimum(out[at], value.min(1))
+        rounds = np.arange(r, r + many, dtype=np.uint64)[:, None]
+        bins = ((h >> np.uint64(40)) * np.uint64(T) >> np.uint64(24)).astype(np.int64) if r < T else (rounds - np.uint64(T)).astype(np.int64)
+        np.minimum.at(flat, (of[None, :] * T + bins).ravel(), ((rounds << np.uint64(40)) | (h & _LOW)).ravel())
         r += many
-        if (out != _EMPTY).all():
-            break
+        full = (out[live] != _EMPTY).all(1)
+        if full.any():
+            live = live[~full]
+            more = np.zeros(len(out), bool)
+            more[live] = True
+            more = more[of]
+            s, of = s[more], of[more]
     return out
 
 
-def bands(sketch_: np.ndarray) -> np.ndarray:
-    """One signed 64-bit hash per band, the band's number included."""
-    rows = sketch_.reshape(BANDS, ROWS)
-    acc = mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
+def bands(sketch: np.ndarray) -> np.ndarray:
+    """Per sketch one signed 64-bit hash for each band, the band's number included."""
+    rows = sketch.reshape(-1, BANDS, ROWS)
+    acc = np.broadcast_to(mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(1)), rows.shape[:2])
     for j in range(ROWS):
-        acc = mix64(acc * _PRIME + rows[:, j])
+        acc = mix64(acc * _PRIME + rows[:, :, j])
     return acc.view(np.int64)
 
 
@@ -112,100 +126,100 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 
 
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), key (of the set; null where empty), bands, and low sketch bytes."""
+    """id, address, n (set size), bytes, key (of the set; null where empty), bands, and low sketch bytes; docs: settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
-                n, key, band, low = [], [], [], []
-                for text in b.column("_text").to_pylist():
-                    s = shingles(text, size)
-                    n.append(len(s))
-                    if len(s):
-                        sk = sketch(s)
-                        key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        band.append(bands(sk))
-                        low.append((sk & np.uint64(255)).astype(np.uint8).tobytes())
-                    else:
-                        key.append(None)
-                        band.append(None)
-                        low.append(None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["id", "n", "key", "bands", "low"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).mapInArrow(run, "id long, n long, key binary, bands array<long>, low binary")
+            for b in slices(whole, "text", SLICE):
+                s, at = shingle_sets(b.column("text"), size)
+                sketch = sketches(s, at)
+                low, data, n = (sketch & np.uint64(255)).astype(np.uint8).tobytes(), s.tobytes(), np.diff(at)
+                key = [hashlib.blake2b(data[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                band = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands(sketch).ravel()))
+                cols = [*[b.column(c) for c in ("id", "file", "row", "bytes")], pa.array(n, pa.int64()), pa.array(key, pa.binary()), band, pa.array([low[T * k : T * (k + 1)] for k in range(len(n))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "file", "row", "bytes", "n", "key", "bands", "low"])
+
+    size_of = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    rows = addressed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), size_of.alias("bytes"))
+    return rows.mapInArrow(run, "id long, file long, row long, bytes long, n long, key binary, bands array<long>, low binary")
+
+
+def _against_hubs(pairs: DataFrame, nodes: DataFrame, column: str, check: Callable[[pa.Array], Callable[[int, int], np.ndarray]]) -> DataFrame:
+    """The pairs (a, b) of a class and its hub that hold under ``check`` of their nodes' ``column``.
+
+    A hub's members come in parts, each behind a copy of the hub's row, so that a
+    large group is spread over tasks; rows are streamed and no group is gathered.
+    check takes an array of values and gives a function of two positions.
+    """
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    sizes = written(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", parts), "hub-sizes")
+    of = nodes.select("cid", F.col(column).alias("v"))
+    members = join_unique(pairs, sizes, "b", "n").select("b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "a")
+    members = members.join(of.withColumnRenamed("cid", "a"), "a").select("b", "part", "a", "v")
+    heads = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(of.withColumnRenamed("cid", "b"), "b")
+    rows = members.unionByName(heads.select("b", "part", F.lit(None).cast("long").alias("a"), "v"))
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: pa.Array | None = None
+        for whole in batches:
+            for b in slices(whole, "v", SLICE):
+                is_head = b.column("a").is_null().to_numpy(zero_copy_only=False)
+                values = b.column("v") if head is None else pa.concat_arrays([head, b.column("v")])
+                carried = int(head is not None)
+                holds, good, at = check(values), np.zeros(b.num_rows, bool), 0
+                for k in range(b.num_rows):
+                    if is_head[k]:
+                        at = k + carried
+                    else:
+                        good[k] = holds(k + carried, at)
+                head = values.slice(at, 1)
+                yield b.select(["a", "b"]).filter(pa.array(good))
 
-def _agreeing(pairs: DataFrame, low: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in enough coordinates."""
+    return rows.mapInArrow(run, "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, T) for c in ("la", "lb"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    rows = pairs.join(low.select(F.col("cid").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("cid").alias("b"), F.col("low").alias("lb")), "b")
-    return rows.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+def _sketch_check(least: int):
+    def check(values: pa.Array):
+        low = np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, T)
+        return lambda k, at: int((low[k] == low[at]).sum()) >= least
 
+    return check
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets are similar enough; texts: (id, t)."""
-    pairs = written(pairs, "candidates")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of = None, None
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                b = batch.slice(k, 256)
-                good = []
-                for ta, tb in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-                    if tb != last:
-                        last, of = tb, shingles(tb, size)
-                    good.append(similar(shingles(ta, size), of, threshold))
-                yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _text_check(size: int, threshold: float):
+    def check(values: pa.Array):
+        s, at = shingle_sets(values, size)
+        return lambda k, of: similar(s[at[k] : at[k + 1]], s[at[of] : at[of + 1]], threshold)
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return check
 
 
 def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float) -> DataFrame:
     """Links (a, b) across components, of buckets that hold several.
 
-    bucketed: (bh, cid, hub). A pair is compared in the first band it shares,
-    and not where it was compared as (member, hub) before. The members of a
-    block bring their texts, so that what leaves a task is links alone.
+    bucketed: (bh, cid, hub). A pair is compared in the first band it shares, and
+    not where it was compared as (member, hub) before. Blocks first meet with
+    their sketches; only members that have a candidate come again with their
+    texts, and what leaves a task then is links alone.
     """
     least = least_agreement(threshold)
-    rows = bucketed.join(roots, F.col("cid") == F.col("child"), "left").select("bh", "cid", "hub", F.coalesce("parent", "cid").alias("comp"))
-    rows = written(rows.join(nodes.select("cid", "n"), "cid"), "placed")
-    mixed = rows.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    mixed = written(mixed.where("lo <> hi and size > 2").select("bh", blocks.alias("blocks")), "mixed")
+    placed = bucketed.join(roots, F.col("cid") == F.col("child"), "left").select("bh", "cid", "hub", F.coalesce("parent", "cid").alias("comp"))
+    placed = written(placed.join(nodes.select("cid", "bytes"), "cid"), "placed")
+    mixed = placed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("bytes").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
+    mixed = written(mixed.where("lo <> hi and size > 2").select("bh", "size", blocks.alias("blocks")), "mixed")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = rows.join(mixed, "bh").withColumn("own", own).select("bh", "cid", "hub", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = join_unique(placed, mixed, "bh", "size").withColumn("own", own)
+    rows = rows.select("bh", "cid", "hub", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "hub", "comp")
-    rows = rows.join(nodes.select("cid", "bands", "low", "t"), "cid")
 
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
+    def candidates(key: tuple, t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         bh, i, j = (k.as_py() for k in key)
         cid, comp, own, hub = (t[c].to_numpy() for c in ("cid", "comp", "own", "hub"))
-        band = np.array(t["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
+        band = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, T)
-        texts, sets, held = t["t"], {}, 0
-
-        def set_of(k: int) -> np.ndarray:
-            nonlocal held
-            if k not in sets:
-                if held > BLOCK_SHINGLES:
-                    sets.clear()
-                    held = 0
-                sets[k] = shingles(texts[k].as_py(), size)
-                held += len(sets[k])
-            return sets[k]
-
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        forest, found = Forest(), []
         for x in left:
             y = right[(comp[right] != comp[x]) & (cid[right] != hub[x]) & (cid[x] != hub[x])]
             if i == j:
@@ -214,44 +228,77 @@ def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int,
                 y = y[(low[y] == low[x]).sum(1) >= least]
             if len(y):
                 y = y[band[x][(band[y] == band[x]).argmax(1)] == bh]
+            if len(y):
+                yield int(x), y
+
+    def involved(key: tuple, t: pa.Table) -> pa.Table:
+        hit = np.zeros(t.num_rows, bool)
+        for x, y in candidates(key, t):
+            hit[x] = hit[y] = True
+        return t.select(["bh", "i", "j", "own", "cid", "hub", "comp"]).filter(pa.array(hit))
+
+    def meet(key: tuple, t: pa.Table) -> pa.Table:
+        cid, comp = t["cid"].to_numpy(), t["comp"].to_numpy()
+        s, at = shingle_sets(t["t"].combine_chunks(), size)
+        forest, found = Forest(), []
+        for x, y in candidates(key, t):
             for k in y.tolist():
                 # What this block's links have joined already needs no further link.
                 p, q = int(comp[x]), int(comp[k])
-                if forest.root(p) != forest.root(q) and similar(set_of(int(x)), set_of(k), threshold):
+                if forest.root(p) != forest.root(q) and similar(s[at[x] : at[x + 1]], s[at[k] : at[k + 1]], threshold):
                     forest.join(p, q)
                     found.append((int(cid[x]), int(cid[k])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("bh", "i", "j").applyInArrow(meet, "a long, b long")
+    some = rows.join(nodes.select("cid", "bands", "low"), "cid").groupBy("bh", "i", "j").applyInArrow(involved, rows.schema)
+    some = written(some, "involved").join(nodes.select("cid", "bands", "low", "t"), "cid")
+    return some.groupBy("bh", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id linked, over any number of links) and kept per row."""
-    least = least_agreement(threshold)
+def _resolved(docs: DataFrame, size: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """id, address, n, key, and the least (id, address) of the component: ``top``; null where nothing can link. docs: settled."""
     sig = written(signatures(docs, size, id_col, text_col), "signatures")
-    reps = sig.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
-    reps = written(reps, "classes")
+    rep = F.min(F.struct("id", "file", "row")).alias("rep")
+    reps = sig.where("key is not null and id is not null").groupBy("key").agg(rep, F.count("*").alias("n_rows"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    # Classes are numbered as they are written, so the numbers are fixed from here on.
+    reps = written(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
     rows = reps.select("cid", F.explode("bands").alias("bh"))
-    hubs = rows.groupBy("bh").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1").select("bh", "hub")
-    # Both sides of these joins grow with the data, so neither is ever broadcast.
-    bucketed = written(rows.join(written(hubs, "hubs").hint("merge"), "bh"), "bucketed")
-    needed = written(bucketed.select(F.col("cid").alias("id")).distinct(), "needed")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(needed.hint("merge"), "id", "left_semi")
-    texts = texts.groupBy("id").agg(F.min("t").alias("t")).hint("merge")
-    nodes = written(texts.join(reps.select(F.col("cid").alias("id"), "n", "bands", "low"), "id").withColumnRenamed("id", "cid"), "nodes")
-    star = bucketed.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    first = written(verified(_agreeing(star, nodes.select("cid", "low"), least), nodes.select(F.col("cid").alias("id"), "t"), size, threshold), "star")
+    hubs = written(rows.groupBy("bh").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
+    bucketed = written(join_unique(rows, hubs, "bh", "size"), "bucketed")
+    needed = written(bucketed.select("cid").distinct(), "needed")
+    light = reps.join(needed.hint("merge"), "cid", "left_semi").select("cid", F.col("rep.file").alias("file"), F.col("rep.row").alias("row"), "bytes", "bands", "low")
+    texts = addressed(docs, F.col(text_col).alias("t"))
+    nodes = written(light.hint("merge").join(texts, ["file", "row"]).select("cid", "bytes", "bands", "low", "t"), "nodes")
+    star = written(bucketed.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "star")
+    agreeing = written(_against_hubs(star, nodes, "low", _sketch_check(least_agreement(threshold))), "agreeing")
+    first = written(_against_hubs(agreeing, nodes, "t", _text_check(size, threshold)), "first")
     roots = components(first)
     rest = written(_across(bucketed, nodes, roots, size, threshold), "rest")
     if not rest.isEmpty():
         roots = components(roots.toDF("a", "b").union(rest))
-    by_key = reps.select("key", "cid").join(roots, F.col("cid") == F.col("child"), "left").select("key", F.coalesce("parent", "cid").alias("root"))
-    out = sig.select("id", "n", "key").join(written(by_key, "by_key"), "key", "left")
-    root = F.coalesce("root", "id")
+    classes = written(reps.select("key", "rep", "n_rows", "cid").join(roots, F.col("cid") == F.col("child"), "left").select("key", "rep", "n_rows", F.coalesce("parent", "cid").alias("root")), "rooted")
+    tops = written(classes.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("n")), "component-tops")
+    by_key = written(join_unique(classes.drop("rep"), tops, "root", "n").select("key", "top", "n_rows"), "by-key")
+    dropped(reps, hubs, bucketed, needed, nodes, star, agreeing, first, rest, classes, tops)
+    narrow = sig.select("id", "file", "row", "n", "key")
+    able = F.col("key").isNotNull() & F.col("id").isNotNull()
+    unable = narrow.where(~able).withColumn("top", F.lit(None).cast(by_key.schema["top"].dataType))
+    return join_unique(narrow.where(able), by_key, "key", "n_rows").unionByName(unable)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id linked, over any number of links) and kept per row."""
+    out = _resolved(settled(docs), size, threshold, id_col, text_col)
+    root = F.coalesce(F.col("top.id"), F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near-duplicate of smaller id in their component."""
-    gone = near_duplicates(docs, size, threshold, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == F.col("_gone"), "left_anti")
+    """docs with one row of each component: that of the smallest id, and of repeated rows one; all columns as they are.
+
+    Rows without words or without an id link with nothing and all stay.
+    """
+    docs = settled(docs)
+    gone = _resolved(docs, size, threshold, id_col, text_col).where("top is not null and (file <> top.file or row <> top.row)").select("file", "row")
+    rows = addressed(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("in"))
+    return rows.join(gone.hint("merge"), ["file", "row"], "left_anti").select("in.*")

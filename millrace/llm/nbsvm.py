@@ -1,8 +1,8 @@
 """A quality classifier: naive Bayes features under a linear support vector machine.
 
-A text is the set of its n-grams: hashed words, and one to three neighbouring
-word forms (case, closing mark, length, and whether the word repeats the one
-before). Each indicator is scaled by its log-count ratio between the classes; a
+A text is the set of its n-grams: hashed words, hashed pairs of neighbouring
+words, and one to three neighbouring word forms (case, closing mark, length, and
+whether the word repeats the one before). Each indicator is scaled by its log-count ratio between the classes; a
 hinge-loss linear model is fitted on the scaled rows by dual coordinate descent,
 and a logistic curve turns its margin into a score.
 
@@ -13,7 +13,7 @@ however long it is. Scoring reads every row once and needs no shuffle.
 Defined results: a null or empty text has no n-grams and gets the score of the
 model's bias; with no labels of one class, all texts score the smoothed share
 of ones; a null id is never held out; repeated rows each get a row; an empty
-table gives an empty result.
+table gives an empty result. Rows travel nested, so columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, more_fields
+from millrace.llm.common import mix64, more_fields
+from millrace.llm.words import slices, words
 
-WORDS = 1 << 17
+WORDS, PAIRS = 1 << 17, 1 << 18
 FORMS = 64
-DIMS = WORDS + FORMS + FORMS**2 + FORMS**3
+DIMS = WORDS + PAIRS + FORMS + FORMS**2 + FORMS**3
+#: Parts of the labelled rows, each judged by weights of the others, for the logistic curve.
+FOLDS = 5
 
 
 def _form(word: str) -> int:
@@ -46,21 +49,24 @@ def _packed(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) << 8 | _form(word)
 
 
-_MEMO = Memo(_packed, 400_000)
-
-
-def ngrams(text: str | None) -> np.ndarray:
-    """The sorted distinct n-gram numbers of a text."""
-    words = (text or "").split()
-    if not words:
-        return np.zeros(0, np.int32)
-    packed = np.fromiter(map(_MEMO.__getitem__, words), np.int64, len(words))
-    form = packed & 255
-    form[1:] += 32 * (packed[1:] == packed[:-1])
+def ngram_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-gram numbers of all texts in one array, and where each text's begin."""
+    found, code, at = words(texts)
+    packed = np.fromiter(map(_packed, found), np.int64, len(found))[code]
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    near, nearer = text[1:] == text[:-1], text[2:] == text[:-2]
+    word, form = packed >> 8, packed & 255
+    form[1:] += 32 * (near & (packed[1:] == packed[:-1]))
+    pair = (mix64((word[:-1].astype(np.uint64) << np.uint64(32)) | word[1:].astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
     two = form[:-1] * FORMS + form[1:]
     three = two[:-1] * FORMS + form[2:]
-    at = WORDS + FORMS
-    return np.unique(np.concatenate([(packed >> 8) % WORDS, WORDS + form, at + two, at + FORMS**2 + three])).astype(np.int32)
+    base = text * DIMS
+    first = WORDS + PAIRS
+    groups = [base + word % WORDS, base + first + form, (base[1:] + WORDS + pair)[near], (base[1:] + first + FORMS + two)[near], (base[2:] + first + FORMS + FORMS**2 + three)[nearer]]
+    ids = np.concatenate(groups)
+    ids.sort()
+    ids = ids[np.append(True, ids[1:] != ids[:-1])] if len(ids) else ids
+    return (ids % DIMS).astype(np.int32), np.searchsorted(ids, np.arange(len(at)) * DIMS)
 
 
 @dataclass
@@ -72,11 +78,14 @@ class QualityModel:
     slope: float
     bias: float
 
-    def score(self, ids: np.ndarray) -> float:
-        z = self.bias
-        if len(ids):
-            z += self.slope * float(self.weight[ids].sum()) / max(float(np.sqrt(self.square[ids].sum())), 1e-9)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    def margins(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each text (its n-grams in ids from at), 0 where it has none."""
+        of, n = np.repeat(np.arange(len(at) - 1), np.diff(at)), len(at) - 1
+        length = np.sqrt(np.bincount(of, self.square[ids], n))
+        return np.bincount(of, self.weight[ids], n) / np.maximum(length, 1e-9)
+
+    def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.margins(ids, at), -40, 40)))
 
 
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, sign: np.ndarray, cost: float = 1.0, epochs: int = 15, seed: int = 3) -> np.ndarray:
@@ -105,21 +114,37 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, sign: np.ndarray, co
     return w
 
 
+def _linear(rows: list[np.ndarray], label: np.ndarray, smoothing: float) -> QualityModel:
+    """Log-count ratios and the hinge-loss weights over them; not yet calibrated."""
+    counts = np.zeros((2, DIMS))
+    for r, y in zip(rows, label, strict=True):
+        counts[int(y), r] += 1
+    counts += smoothing
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    w = dual_descent(rows, ratio, np.where(label > 0, 1.0, -1.0))
+    return QualityModel((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), 1.0, 0.0)
+
+
 def fit_rows(rows: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0) -> QualityModel:
     """The model of n-gram sets and their labels 0 or 1."""
     ones = int(label.sum())
     if not 0 < ones < len(label):
         share = (ones + 1) / (len(label) + 2)
         return QualityModel(np.zeros(DIMS, np.float32), np.ones(DIMS, np.float32), 0.0, float(np.log(share / (1 - share))))
-    counts = np.zeros((2, DIMS))
-    for r, y in zip(rows, label, strict=True):
-        counts[int(y), r] += 1
-    counts += smoothing
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    sign = np.where(label > 0, 1.0, -1.0)
-    w = dual_descent(rows, ratio, sign)
-    model = QualityModel((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), 1.0, 0.0)
-    margin = np.array([float(model.weight[r].sum()) / max(float(np.sqrt(model.square[r].sum())), 1e-9) if len(r) else 0.0 for r in rows])
+    model = _linear(rows, label, smoothing)
+    # Margins of rows that the weights were not fitted on: those of their own rows are all too sure.
+    fold = np.arange(len(rows)) % FOLDS
+    margin, judged = np.zeros(len(rows)), np.zeros(len(rows), bool)
+    for k in range(FOLDS):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if 0 < label[rest].sum() < len(rest) and len(own):
+            ids = [rows[i] for i in own]
+            margin[own] = _linear([rows[i] for i in rest], label[rest], smoothing).margins(np.concatenate(ids), np.cumsum([0, *map(len, ids)]))
+            judged[own] = True
+    if not judged.any():
+        margin, judged = model.margins(np.concatenate(rows), np.cumsum([0, *map(len, rows)])), ~judged
+    margin, label = margin[judged], label[judged]
+    ones = int(label.sum())
     # A logistic curve through the margins, on smoothed targets.
     target = np.where(label > 0, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
     x, ab = np.stack([margin, np.ones_like(margin)], 1), np.array([1.0, 0.0])
@@ -148,9 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [ngrams(t) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(got, pa.list_(pa.int32()))], names=["_id", "_y", "ids"])
+        for whole in batches:
+            for b in slices(whole, "_text"):
+                ids, at = ngram_sets(b.column("_text"))
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=["_id", "_y", "ids"])
 
     rows = text.join(F.broadcast(drawn), "_id").select("_id", "_y", "_text").mapInArrow(run, more_fields(text.select("_id").schema, "_y int, ids array<int>"))
     # An id that is repeated in docs must not unbound the sample.
@@ -158,16 +184,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_rows([np.array(r["ids"], np.int32) for r in got], np.array([r["_y"] for r in got]))
 
 
-def score(docs: DataFrame, model: QualityModel, text_col: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The keep columns (all, where not given) and a double between 0 and 1 per row."""
+def _scored(docs: DataFrame, model: QualityModel, text_col: str, keep: list[str]) -> DataFrame:
+    """The keep columns nested in ``in``, and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("in"), docs[f"`{text_col}`"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            got = [model.score(ngrams(t)) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(keep))], pa.array(got, pa.float64())], names=[*keep, column])
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("in"), pa.array(shared.value.scores(*ngram_sets(b.column("text"))))], names=["in", "score"])
+
+    return rows.mapInArrow(run, rows.select("in").schema.add("score", "double"))
+
+
+def score(docs: DataFrame, model: QualityModel, text_col: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The keep columns (all, where not given) and a double between 0 and 1 per row."""
+    return _scored(docs, model, text_col, docs.columns if keep is None else keep).select("in.*", F.col("score").alias(column))
+
 
-    carried = docs.select(*[F.col(c) for c in keep])
-    return docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text")).mapInArrow(run, carried.schema.add(column, "double"))
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose score is at least ``least``, with all their columns as they are."""
+    return _scored(docs, model, text_col, docs.columns).where(F.col("score") >= least).select("in.*")
