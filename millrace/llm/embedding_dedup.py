@@ -1,39 +1,40 @@
-"""Embedding near-duplicates: coarse lists, exact bounds between cells, exact cosine.
-
-Vectors are brought to unit length and equal ones become one class. Coarse
-centres are trained on a bounded sample, and every class is filed in the list
-of its nearest centre. Long lists are cut into blocks. Two blocks meet unless a
-bound shows that no link is between them: no vector of one comes within reach
-of the other's cell, or their balls are too far apart. Where balls lie so near
-that all pairs must link, they are counted without being compared; every other
-pair of blocks is compared by products in double precision. Nothing limits how
-many lists a vector is compared with, so no link is lost.
+"""Embedding near-duplicates: product quantisation with exact bounds, exact cosine rerank.
+
+Vectors are brought to unit length and equal ones become one class, which has a
+number. Coarse centres and codebooks of their residuals are trained on a bounded
+sample; every class is filed in the list of its nearest centre, with the codes
+of its residual and the length that the codes miss. Long lists are cut into
+blocks. A block probes every list whose cell comes within reach of one of its
+vectors, so no link can lie outside the probes; blocks whose balls are too far
+apart are left out too. In a pair of blocks, table look-ups give the product of
+each vector with each coded one; the missed length bounds the error, and what
+may still link is reranked by exact products in double precision. Where balls
+lie so near that all pairs must link, they are counted without being compared.
 
 Blocks travel packed, in spans of lists; a task takes two spans at most, so
 that neither rows nor tasks grow with a list. Tasks give counts per vector and
 a spanning forest of their links, never the pairs.
 
-``PqIndex`` also holds residual codes, and ``compare`` the table distances with
-their proven error bound; the query does without them, as whole products of
-blocks cost less than table look-ups.
-
 Defined results: a null, empty or zero vector, or one with a null or non-finite
-component, links with nothing and is its own component; vectors of different
-lengths never link; repeated ids each get a row, and are other vectors to each
-other; an empty table gives an empty result.
+component, links with nothing and is its own component, and so is one without an
+id; vectors of different lengths never link; ids only name rows: repeated ids
+each get a row, and are other vectors to each other; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import dropped, join_unique, more_fields, written
 from millrace.llm.components import Forest, components
 
 #: Members of one block of a list.
@@ -76,21 +77,6 @@ class PqIndex:
         plane = ((d - d[:, own : own + 1]) / np.maximum(2 * apart, 1e-12)).min(0)
         return np.flatnonzero((plane <= reach + 1e-6) | (apart < 1e-6))
 
-    def probes(self, q: np.ndarray, reach: float, most: int) -> np.ndarray:
-        """For each query the lists whose cells come within ``reach``, nearest first, at most ``most``; -1 fills.
-
-        A cell's nearness is the distance from the query to the plane that parts
-        it from the query's own cell.
-        """
-        d = ((q[:, None, :] - self.centres[None]) ** 2).sum(2) if len(q) * self.centres.size < 1 << 24 else _squares(q, self.centres)
-        own = d.argmin(1)
-        apart = np.sqrt(np.maximum(_squares(self.centres, self.centres), 0))[own]
-        plane = (d - d[np.arange(len(q)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-        plane[np.arange(len(q)), own] = 0
-        most = min(most, d.shape[1])
-        first = np.argpartition(plane, most - 1, axis=1)[:, :most]
-        return np.where(np.take_along_axis(plane, first, 1) <= reach, first, -1)
-
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None]
@@ -118,7 +104,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def train(sample: np.ndarray, lists: int, subspaces: int = 8, codewords: int = 64, seed: int = 5) -> PqIndex:
+def train(sample: np.ndarray, lists: int, subspaces: int = 8, codewords: int = 256, seed: int = 5) -> PqIndex:
     d = sample.shape[1]
     centres = kmeans(sample, lists, 8, seed)
     width = -(-d // min(subspaces, d))
@@ -129,52 +115,74 @@ def train(sample: np.ndarray, lists: int, subspaces: int = 8, codewords: int = 6
     return PqIndex(centres, np.stack(books))
 
 
-def compare(index: PqIndex, at: int, member: dict, query: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (query, member) of the links between queries and one block of list ``at``."""
-    q, x = query["x"], member["x"]
-    table = index.tables(q)
-    near = (q @ index.centres[at])[:, None] + sum(table[:, m, :][:, member["codes"][:, m]] for m in range(table.shape[1]))
-    i, j = np.nonzero((near + member["error"][None] >= threshold - 1e-9) & (query["id"][:, None] != member["id"][None]))
-    cosine = np.concatenate([(q[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-    good = cosine >= threshold
-    return i[good], j[good]
+def candidates(index: PqIndex, at: int, codes: np.ndarray, error: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+    """Which (query, member) pairs of a block of list ``at`` may link: look-ups plus the members' missed lengths reach the threshold."""
+    table = index.tables(q).astype(np.float32)
+    near = np.repeat((q @ index.centres[at]).astype(np.float32)[:, None], len(codes), 1)
+    for m in range(table.shape[1]):
+        near += np.take(table[:, m], codes[:, m], axis=1)
+    # The slack is far above what single precision loses in so few sums of products of unit vectors.
+    return near >= (threshold - 1e-4 - error).astype(np.float32)[None]
+
 
+def _units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id, v (of unit length; null where it can't link) and k, a digest of v."""
 
-def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000, probes: int = 24, list_rows: int = 400) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(1)
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+            start = np.cumsum(size) - size
+            unit: list[np.ndarray | None] = [None] * len(size)
+            for d in np.unique(size[size > 0]).tolist():
+                own = np.flatnonzero(size == d)
+                x = flat[start[own][:, None] + np.arange(d)]
+                big = np.abs(x).max(1)
+                able = np.isfinite(x).all(1) & (big > 0)
+                # The largest component is brought to 1 first, so that squares neither vanish nor overflow.
+                x = x[able] / big[able, None]
+                x = x / np.sqrt((x * x).sum(1))[:, None] + 0.0
+                for k, row in zip(own[able].tolist(), x, strict=True):
+                    unit[k] = row
+            key = [None if u is None or i is None else hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u, i in zip(unit, b.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit, pa.list_(pa.float64())), pa.array(key, pa.binary())], names=["id", "v", "k"])
+
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, "id long, v array<double>, k binary")
+
+
+def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000, list_rows: int = 400, most_lists: int = 4096) -> DataFrame:
     """id, n_links, component_id and kept for every row.
 
     sample_rows bounds what the index is fitted on; list_rows is the mean length
-    of a list, up to 4096 lists. probes limits nothing any more: a vector is
-    compared in every list that it could have links in.
+    of a list, up to most_lists lists. None of them changes the result: every
+    list in which a vector could have links is probed.
     """
     spark = vectors.sparkSession
-    x = F.transform(F.col("_v"), lambda e: e.cast("double"))
-    square = F.aggregate(x, F.lit(0.0), lambda a, e: a + e * e)
-    sound = F.col("_v").isNotNull() & F.forall(F.coalesce(x, F.array().cast("array<double>")), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    # The largest component is brought to 1 first, so that squares neither vanish nor overflow.
-    big = F.array_max(F.transform(x, lambda e: F.abs(e)))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("_v")).withColumn("_v", F.when(sound & (big > 0), F.transform(x, lambda e: e / big)))
-    unit = F.when(F.col("_v").isNotNull(), F.transform(x, lambda e: e / F.sqrt(square)))
-    rows = written(rows.select("id", unit.alias("v")).withColumn("k", F.when(F.col("v").isNotNull() & F.col("id").isNotNull(), F.sha2(F.concat_ws(",", F.transform("v", lambda e: (e + 0.0).cast("string"))), 256))), "vectors")
-    known = rows.where("k is not null")
-    classes = written(known.groupBy("k").agg(F.min("id").alias("cid"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
+    rows = written(_units(vectors, id_col, vec_col), "vectors")
+    classes = rows.where("k is not null").groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     total = classes.count()
     dims = [r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
     linked = None
     for d in dims:
         own = classes.where(F.size("v") == d)
-        part = _links(spark, own, total, threshold, sample_rows, list_rows)
+        part = _links(spark, own, total, threshold, sample_rows, min(most_lists, max(1, total // list_rows)))
         linked = part if linked is None else linked.union(part)
     if linked is None:
         linked = spark.createDataFrame([], "cid long, n_other long, parent long")
     linked = written(linked, "pairs")
     counts = linked.where("n_other > 0").groupBy("cid").agg(F.sum("n_other").alias("n_other"))
     roots = components(linked.where("parent is not null"), "cid", "parent")
-    by_class = classes.select("k", "cid", "n").join(counts, "cid", "left").join(roots, F.col("cid") == F.col("child"), "left")
-    by_class = written(by_class.select("k", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), F.coalesce("parent", "cid").alias("root")), "by_class")
-    out = rows.select("id", "k").join(by_class, "k", "left")
-    root = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))
+    by_class = classes.select("k", "cid", "least", "n").join(counts, "cid", "left").join(roots, F.col("cid") == F.col("child"), "left")
+    by_class = written(by_class.select("k", "n", "least", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), F.coalesce("parent", "cid").alias("root")), "rooted")
+    tops = written(by_class.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("weight")), "tops")
+    by_key = written(join_unique(by_class.drop("least"), tops, "root", "weight").select("k", "n", "n_links", "top"), "by-key")
+    dropped(classes, linked, by_class, tops)
+    narrow = rows.select("id", "k")
+    unable = narrow.where("k is null").select("k", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("top"))
+    out = join_unique(narrow.where("k is not null"), by_key, "k", "n").unionByName(unable)
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("top").alias("component_id"), F.coalesce(F.col("id") == F.col("top"), F.lit(False)).alias("kept"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -183,24 +191,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows: int, list_rows: int) -> DataFrame:
+def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows: int, lists: int) -> DataFrame:
     """(cid, n_other, parent): link counts per class, weighted by class sizes, and forest links."""
     share = min(1.0, 1.2 * sample_rows / max(total, 1))
     sample = classes.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample_rows)
     x = np.array([r["v"] for r in sample.collect()], float)
     if len(x) == 0:
         x = np.array([r["v"] for r in classes.select("v").limit(sample_rows).collect()], float)
-    index = train(x[np.lexsort(x.T[::-1])], int(min(4096, max(1, total // list_rows))))
+    index = train(x[np.lexsort(x.T[::-1])], lists)
     shared = spark.sparkContext.broadcast(index)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = nearest(_matrix(b.column("v")), shared.value.centres) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), b.column("v"), pa.array(of.astype(np.int32))], names=["cid", "n", "v", "list"])
+            of, codes, error = shared.value.encode(_matrix(b.column("v"))) if b.num_rows else (np.zeros(0), np.zeros((0, 1), np.uint8), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), b.column("v"), pa.array(of.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["cid", "n", "v", "list", "codes", "error"])
 
-    filed = written(classes.select("cid", "n", "v").mapInArrow(assign, "cid long, n long, v array<double>, list int"), "filed")
-    # Lists lie in the order of their centres' main direction, cut into blocks and spans; at most 4096 lists.
+    held = classes.select("cid", "n", "v")
+    filed = written(held.mapInArrow(assign, more_fields(held.schema, "list int, codes binary, error double")), "filed")
+    # Lists lie in the order of their centres' main direction, cut into blocks and spans; at most most_lists of them.
     size = np.zeros(len(index.centres), np.int64)
     for r in filed.groupBy("list").count().collect():
         size[r["list"]] = r["count"]
@@ -221,11 +230,12 @@ def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows:
         low, high = start[lists] // span, (start[lists] + (blocks[lists] - 1) * per[lists]) // span
         own = int(start[at] + (key[0].as_py() - first[at]) * per[at]) // span
         row = {"bid": key[0].as_py(), "list": at, "span": own, "reached": lists.tolist(), "spans": sorted({s for a, b in zip(low.tolist(), high.tolist(), strict=True) for s in range(a, b + 1)})}
-        row |= {"ids": t["cid"].to_numpy().astype(np.int64).tobytes(), "n": t["n"].to_numpy().astype(np.int64).tobytes(), "x": np.ascontiguousarray(x).tobytes()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("bid", pa.int64()), ("list", pa.int32()), ("span", pa.int64()), ("reached", pa.list_(pa.int32())), ("spans", pa.list_(pa.int64())), ("ids", pa.binary()), ("n", pa.binary()), ("x", pa.binary())]))
+        row |= {"ids": t["cid"].to_numpy().astype(np.int64).tobytes(), "n": t["n"].to_numpy().astype(np.int64).tobytes(), "x": np.ascontiguousarray(x).tobytes(), "codes": b"".join(t["codes"].to_pylist()), "error": t["error"].to_numpy().tobytes()}
+        kinds = {"bid": pa.int64(), "list": pa.int32(), "span": pa.int64(), "reached": pa.list_(pa.int32()), "spans": pa.list_(pa.int64())}
+        return pa.Table.from_pylist([row], schema=pa.schema([(name, kinds.get(name, pa.binary())) for name in row]))
 
-    blocked = filed.join(lists, "list").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("bid"), "list", "cid", "n", "v")
-    packed = written(blocked.groupBy("bid").applyInArrow(pack, "bid long, list int, span long, reached array<int>, spans array<long>, ids binary, n binary, x binary"), "packed")
+    blocked = filed.join(lists, "list").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("bid"), "list", "cid", "n", "v", "codes", "error")
+    packed = written(blocked.groupBy("bid").applyInArrow(pack, "bid long, list int, span long, reached array<int>, spans array<long>, ids binary, n binary, x binary, codes binary, error binary"), "packed")
     sent = packed.select("*", F.explode("spans").alias("other")).drop("spans")
     sent = sent.withColumns({"low": F.least("span", "other"), "high": F.greatest("span", "other")}).drop("other")
 
@@ -235,8 +245,8 @@ def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows:
         for r in sorted(t.to_pylist(), key=lambda r: r["bid"]):
             ids = np.frombuffer(r["ids"], np.int64)
             x = np.frombuffer(r["x"], float).reshape(len(ids), -1)
-            centre = x.mean(0)
-            rows.append({"bid": r["bid"], "list": r["list"], "span": r["span"], "reached": set(r["reached"]), "ids": ids, "n": np.frombuffer(r["n"], np.int64), "x": x, "centre": centre, "radius": np.sqrt(((x - centre) ** 2).sum(1).max()), "at": of})
+            centre, codes = x.mean(0), np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
+            rows.append({"codes": codes, "error": np.frombuffer(r["error"]), "bid": r["bid"], "list": r["list"], "span": r["span"], "reached": set(r["reached"]), "ids": ids, "n": np.frombuffer(r["n"], np.int64), "x": x, "centre": centre, "radius": np.sqrt(((x - centre) ** 2).sum(1).max()), "at": of})
             of += len(ids)
         found, forest = np.zeros(of, np.int64), Forest()
         for a in rows:
@@ -245,7 +255,7 @@ def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows:
                     continue
                 apart, round_ = np.sqrt(((a["centre"] - b["centre"]) ** 2).sum()), a["radius"] + b["radius"]
                 if apart - round_ <= reach + 1e-6:
-                    _count(a, b, None if apart + round_ < reach - 1e-6 else threshold, found, forest)
+                    _count(shared.value, a, b, None if apart + round_ < reach - 1e-6 else threshold, found, forest)
         ids = np.concatenate([r["ids"] for r in rows])
         hit = found > 0
         links = np.array(forest.links(), np.int64).reshape(-1, 2)
@@ -260,7 +270,7 @@ def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows:
     return sent.groupBy("low", "high").applyInArrow(meet, "cid long, n_other long, parent long")
 
 
-def _count(a: dict, b: dict, threshold: float | None, found: np.ndarray, forest: Forest) -> None:
+def _count(index: PqIndex, a: dict, b: dict, threshold: float | None, found: np.ndarray, forest: Forest) -> None:
     """Adds the links between two blocks (or in one) to counts and forest; without a threshold, all pairs link."""
     same = a is b
     mine, other = slice(a["at"], a["at"] + len(a["ids"])), slice(b["at"], b["at"] + len(b["ids"]))
@@ -271,11 +281,15 @@ def _count(a: dict, b: dict, threshold: float | None, found: np.ndarray, forest:
         for k in [*range(mine.start, mine.stop), *range(other.start, other.stop)] if not same or len(a["ids"]) > 1 else ():
             forest.join(a["at"], k)
         return
-    cosine = a["x"] @ b["x"].T
-    hit = cosine >= threshold
+    hit = candidates(index, b["list"], b["codes"], b["error"], a["x"], threshold)
+    # Rerank: products of the rows and columns that hold a candidate.
+    rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+    cosine = a["x"][rows] @ b["x"][columns].T
+    own = hit[np.ix_(rows, columns)] & (cosine >= threshold)
     # At the threshold itself the plain sum decides, as a product's rounding hangs on its shape.
     i, j = np.nonzero(np.abs(cosine - threshold) <= 1e-9)
-    hit[i, j] = (a["x"][i] * b["x"][j]).sum(1) >= threshold
+    own[i, j] = (a["x"][rows[i]] * b["x"][columns[j]]).sum(1) >= threshold
+    hit[np.ix_(rows, columns)] = own
     if same:
         np.fill_diagonal(hit, False)
     i, j = np.nonzero(hit)

@@ -4,8 +4,13 @@ The normaliser is this module's own: it follows the compiled character map by
 longest prefix and keeps, for each normalised character, the place in the
 source that it came from. The normalised text is cut into pre-tokens at places
 that no vocabulary piece crosses, so each pre-token's pieces are those it has
-within the whole text. A worker keeps the pre-tokens it met in a bounded memo;
-the library encodes the others.
+within the whole text. A task keeps the pre-tokens it met in a bounded cache; the
+library encodes the others. Where the map is empty, as in the model of the
+registered queries, normalising only marks spaces, and the bytes themselves are
+cut; other models, and texts that hold the mark, go character by character.
+
+Token counts look distinct pre-tokens up in two tiers: a compact broadcast table
+of the frequent ones, which never changes, then the task's cache.
 
 Defined results: a null or empty text has no pieces (begin and end ids still
 stand where asked for). Texts are taken whole, however long; a pre-token too
@@ -21,22 +26,17 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import more_fields
+from millrace.llm.words import Known, chunks, gathered, is_letter, is_one_of, slices, text_bytes
 
 SPACE = "▁"
-#: Pre-tokens longer than this are not remembered.
-MEMO_CHARS = 48
-#: Pre-tokens that one worker remembers before it starts anew.
-MEMO_SIZE = 400_000
-
-
 class CharacterMap:
     """The compiled character map of a model: a double-array trie and its replacements."""
 
@@ -141,13 +141,15 @@ class PieceModel:
         model.normalizer_spec.remove_extra_whitespaces = False
         self.core = spm.SentencePieceProcessor(model_proto=model.SerializeToString())
         normal = [p.piece for p in model.pieces if p.type in (1, 4, 5)]
-        self.cut = self._cutter(normal) if model.trainer_spec.model_type == model.trainer_spec.BPE and all(p.type != 4 for p in model.pieces) else None
+        able = model.trainer_spec.model_type == model.trainer_spec.BPE and all(p.type != 4 for p in model.pieces)
+        self.cut, self.marks, self.line = self._cutter(normal) if able else (None, "", False)
         self.chars = [0 if p.type == 6 else len(p.piece) for p in model.pieces]
         self.bytes_from = {i for i, p in enumerate(model.pieces) if p.type == 6}
+        self.quick = self.normaliser.plain and self.normaliser.prefix and self.cut is not None
 
     @staticmethod
     def _cutter(normal: list[str]):
-        """A function from normalised text to pre-tokens, or None.
+        """A function from normalised text to pre-tokens (or None), the marks and whether line ends cut.
 
         Merges never cross two neighbouring characters that no piece holds side
         by side. So a cut is safe before a run of spaces, around a line end that
@@ -155,13 +157,28 @@ class PieceModel:
         piece has after one.
         """
         if any(SPACE in p.lstrip(SPACE) for p in normal):
-            return None
+            return None, "", False
         after = {b for p in normal for a, b in zip(p, p[1:], strict=False) if a.isalnum()}
         line = "" if any("\n" in p for p in normal) else "\n"
-        marks = re.escape("".join(c for c in ".,!?*#$%&|;:" if c not in after))
+        marks = "".join(c for c in ".,!?*#$%&|;:" if c not in after)
         if not marks:
-            return re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n").findall
-        return re.compile(f"{SPACE}*[^{SPACE}{line}](?:[^{SPACE}{line}{marks}]+|(?<![^\\W_])[{marks}])*|{SPACE}+|\n").findall
+            return re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n").findall, "", bool(line)
+        some = re.escape(marks)
+        return re.compile(f"{SPACE}*[^{SPACE}{line}](?:[^{SPACE}{line}{some}]+|(?<![^\\W_])[{some}])*|{SPACE}+|\n").findall, marks, bool(line)
+
+    def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens of quick texts, with a space before each text, and their places as words.chunks has them."""
+        some = pc.not_equal(pc.binary_length(texts), 0)
+        raw, at = text_bytes(pc.if_else(some, pc.binary_join_element_wise(" ", texts, ""), texts))
+        cut = raw == 32
+        cut[1:] &= ~cut[:-1]
+        if self.line:
+            end = raw == 10
+            cut |= end
+            cut[1:] |= end[:-1]
+        if self.marks:
+            cut[1:] |= is_one_of(raw, self.marks)[1:] & (is_letter(raw) | (raw - np.uint8(48) < 10))[:-1]
+        return chunks(raw, at, cut)
 
     def pre_tokens(self, normal: str) -> list[str]:
         if self.cut is None:
@@ -182,6 +199,19 @@ class PieceModel:
             made.append((array("I", ids).tobytes(), array("I", ends).tobytes()))
         return made
 
+    def encode_chunks(self, some: list[str]) -> list[tuple[bytes, bytes]]:
+        """encode of chunks with plain spaces; per id how many bytes of the source it ends."""
+        made = self.encode([c.replace(" ", SPACE) for c in some])
+        for k, c in enumerate(some):
+            if not c.isascii():
+                size = np.cumsum([0, *(len(x.encode()) for x in c)])
+                at = np.cumsum([0, *np.frombuffer(made[k][1], "<u4").tolist()])
+                made[k] = made[k][0], np.diff(size[at]).astype("<u4").tobytes()
+        return made
+
+    def count_chunks(self, some: list[str]) -> list[int]:
+        return self.count([c.replace(" ", SPACE) for c in some])
+
     def _ends(self, pre_token: str, ids: list[int]) -> list[int]:
         ends, at, k = [], 0, 0
         while k < len(ids):
@@ -197,8 +227,6 @@ class PieceModel:
 
 
 _MODELS: dict[tuple[int, int], PieceModel] = {}
-_MEMOS: dict[tuple, dict] = {}
-
 
 def model_of(proto: bytes) -> PieceModel:
     """This worker's model; loaded once."""
@@ -208,50 +236,42 @@ def model_of(proto: bytes) -> PieceModel:
     return _MODELS[key]
 
 
-def looked_up(proto: bytes, kind: str, texts: list[list[str]], first: dict | None = None) -> list[list]:
-    """For each list of pre-tokens, what ``kind`` (count or encode) gives for them.
-
-    A worker's memo answers what it knows (before it, ``first``); the library
-    gets the others in one call. The memo starts anew when full.
-    """
-    memo = _MEMOS.setdefault((len(proto), zlib.crc32(proto), kind), {})
-    if first and not memo:
-        memo.update(first)
-    new = list(set(chain.from_iterable(texts)).difference(memo))
-    if len(memo) + len(new) > MEMO_SIZE:
-        memo.clear()
-        memo.update(first or {})
-        new = list(set(chain.from_iterable(texts)).difference(memo))
-    memo.update(zip(new, getattr(model_of(proto), kind)(new), strict=True))
-    out = [list(map(memo.__getitem__, t)) for t in texts]
-    for t in new:
-        if len(t) > MEMO_CHARS:
-            del memo[t]
-    return out
-
-
-def encode_texts(proto: bytes, texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
-    """Per text its ids as bytes, and the byte of the source at which each piece ends."""
-    model = model_of(proto)
-    normal = [model.normaliser.aligned(t or "") for t in texts]
-    made = []
-    for (_, at), got in zip(normal, looked_up(proto, "encode", [model.pre_tokens(n) for n, _ in normal]), strict=True):
-        ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in got]), "<u4"), dtype=np.int64)
-        made.append((b"".join([g[0] for g in got]), at[ends]))
-    return made
-
-
-def blocks(texts: list[str | None], chars: int = 400_000) -> Iterator[list[str | None]]:
-    """texts in runs of about so many characters, to bound what is held at once."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t or "")
-        if n >= chars:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+def _quick(model: PieceModel, texts: pa.Array) -> np.ndarray:
+    """Which texts can be cut as bytes: those without the mark that stands for a space."""
+    if not model.quick:
+        return np.zeros(len(texts), bool)
+    return ~pc.match_substring(texts, SPACE).to_numpy(zero_copy_only=False)
+
+
+class Encoder:
+    """A task's encoder: a model, and what is known of its chunks and pre-tokens."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.chunks, self.pre_tokens = Known(model.encode_chunks, 100_000), Known(model.encode, 100_000)
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text its ids, and the byte of the source at which each piece ends."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        quick = _quick(self.model, texts)
+        found, code, at = self.model.chunks(texts.filter(pa.array(quick)))
+        known = self.chunks.of(found.to_pylist())
+        ids, ends = gathered([k[0] for k in known], code)
+        sizes, _ = gathered([k[1] for k in known], code)
+        upto, ends = np.append(0, np.cumsum(sizes, dtype=np.int64)), ends[at].tolist()
+        bounds = iter(zip(ends[:-1], ends[1:], strict=True))
+        made = []
+        for text, q in zip(texts.to_pylist() if not quick.all() else [None] * len(texts), quick.tolist(), strict=True):
+            if q:
+                a, z = next(bounds)
+                # The space put before the text is no byte of the source.
+                made.append((ids[a:z], np.maximum(upto[a + 1 : z + 1] - upto[a] - 1, 0)))
+            else:
+                normal, source = self.model.normaliser.aligned(text)
+                got = self.pre_tokens.of(self.model.pre_tokens(normal))
+                chars = np.cumsum(np.frombuffer(b"".join([g[1] for g in got]), "<u4"), dtype=np.int64)
+                made.append((np.frombuffer(b"".join([g[0] for g in got]), "<u4"), source[chars]))
+        return made
 
 
 #: What encode_documents can return besides the id.
@@ -287,12 +307,12 @@ def encode_documents(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text
         tail = struct.pack("<I", model.eos) if eos else b""
         decode = {"decoded", "decoded_sha256"} & set(outputs)
         kinds = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "long": pa.int64()}
-        for b in batches:
-            done = 0
-            for texts in blocks(b.column("_text").to_pylist()):
+        encoder = Encoder(model)
+        for whole in batches:
+            for b in slices(whole, 1):
                 made: dict[str, list] = {o: [] for o in outputs}
-                for ids, ends in encode_texts(proto, texts):
-                    ids = head + ids + tail
+                for own, ends in encoder.encode(b.column(1)):
+                    ids = head + own.tobytes() + tail
                     decoded = model.library.decode(np.frombuffer(ids, "<u4").tolist()) if decode else ""
                     for o in outputs:
                         made[o].append(
@@ -305,9 +325,7 @@ def encode_documents(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text
                             else zlib.crc32(ends.astype("<u4").tobytes()) if o == "ends_crc32"
                             else int(ends[-1]) if len(ends) else 0
                         )
-                key = b.column(0).slice(done, len(texts))
-                done += len(texts)
-                yield pa.RecordBatch.from_arrays([key, *[pa.array(made[o], kinds[ENCODED[o]]) for o in outputs]], names=[id_col, *outputs])
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(made[o], kinds[ENCODED[o]]) for o in outputs]], names=[id_col, *outputs])
 
     schema = more_fields(docs.select(F.col(id_col)).schema, ", ".join(f"{o} {ENCODED[o]}" for o in outputs))
     return narrow.mapInArrow(run, schema)
@@ -329,49 +347,78 @@ def decode_documents(df: DataFrame, proto: bytes, id_col: str = "doc_id", ids_co
 # Token counts ---------------------------------------------------------------
 
 
-def frequent_lengths(docs: DataFrame, proto: bytes, text_col: str = "text", sample_docs: int = 2000, entries: int = 32_768) -> tuple[str, bytes]:
-    """The first tier: frequent pre-tokens, joined by spaces, and their token counts as bytes.
+class Counter:
+    """A task's token counts: the broadcast tier, then a cache, then the library."""
 
-    It is drawn from sample_docs rows and holds at most ``entries`` pre-tokens of
-    at most MEMO_CHARS characters: it only saves work, and no count depends on
-    it, so a bounded sample is enough at any size of the corpus.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(proto)
+    def __init__(self, model: PieceModel, table: tuple[pa.Array, np.ndarray] = (pa.array([], pa.string()), np.zeros(0, np.int64))):
+        self.model, (self.frequent, self.lengths) = model, table
+        self.chunks, self.pre_tokens = Known(model.count_chunks, 200_000), Known(model.count, 100_000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    def of_chunks(self, found: pa.Array) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(found, value_set=self.frequent), -1).to_numpy(zero_copy_only=False)
+        out, missing = np.zeros(len(found), np.int64), np.flatnonzero(at < 0)
+        out[at >= 0] = self.lengths[at[at >= 0]]
+        if len(missing):
+            out[missing] = self.chunks.of(found.take(pa.array(missing)).to_pylist())
+        return out
 
-        model, seen = model_of(shared.value), Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(t for t in model.pre_tokens(model.normaliser.text(text or "")) if len(t) <= MEMO_CHARS and " " not in t)
-        top = [t for t, _ in seen.most_common(entries)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(model.count(top), pa.int64())], names=["t", "n"])
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        quick = _quick(self.model, texts)
+        found, code, at = self.model.chunks(texts.filter(pa.array(quick)))
+        out = np.zeros(len(texts), np.int64)
+        out[quick] = np.diff(np.append(0, np.cumsum(self.of_chunks(found)[code]))[at])
+        for k in np.flatnonzero(~quick).tolist():
+            out[k] = sum(self.pre_tokens.of(self.model.pre_tokens(self.model.normaliser.text(texts[k].as_py()))))
+        return out
 
-    rows = docs.select(F.col(text_col)).limit(sample_docs).mapInArrow(run, "t string, n long").limit(entries).collect()
-    rows = [r for r in rows if r["n"] < 256]
-    return " ".join(r["t"] for r in rows), bytes(r["n"] for r in rows)
 
+def frequent_lengths(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text", share: int = 16, entries: int = 32_768, of_task: int = 4096) -> tuple[list[str], list[int]]:
+    """The first tier: frequent pre-tokens and their token counts, at most ``entries``.
 
-def count_tokens(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table: tuple[str, bytes] | None = None) -> DataFrame:
-    """id, n_bytes, n_tokens and over_limit per row, without begin and end; no shuffle.
+    One row in ``share``, by a hash, is counted inside the task that reads it; a
+    task sends its ``of_task`` most frequent pre-tokens, and only these few rows
+    are summed. The table saves work, and no count depends on it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(proto)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = model_of(shared.value), {}
+        for whole in batches:
+            for b in slices(whole, 0):
+                texts = pc.fill_null(b.column(0).cast(pa.string()), "")
+                found, code, _ = model.chunks(texts.filter(pa.array(_quick(model, texts))))
+                for t, n in zip(found.to_pylist(), np.bincount(code, minlength=len(found)).tolist(), strict=True):
+                    seen[t] = seen.get(t, 0) + n
+                if len(seen) > 50 * of_task:
+                    seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: 10 * of_task])
+        top = [(t, n) for t, n in sorted(seen.items(), key=lambda x: -x[1])[:of_task] if len(t) <= 64]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array(model.count_chunks([t for t, _ in top]), pa.int64()), pa.array([n for _, n in top], pa.int64())], names=["t", "n", "seen"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(share)) == 0).select(F.col(text_col))
+    rows = some.mapInArrow(run, "t string, n long, seen long").groupBy("t", "n").agg(F.sum("seen").alias("seen"))
+    got = rows.orderBy(F.desc("seen"), "t").limit(entries).collect()
+    return [r["t"] for r in got], [r["n"] for r in got]
+
+
+def count_tokens(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table: tuple[list[str], list[int]] | None = None) -> DataFrame:
+    """id, n_bytes, n_tokens and over_limit per row, without begin and end; no pre-token is shuffled.
 
     table: what frequent_lengths gives; made from docs where absent.
     """
     spark = docs.sparkSession
-    if table is None:
-        table = frequent_lengths(docs, proto, text_col)
-    shared = spark.sparkContext.broadcast((proto, *table))
+    known, lengths = frequent_lengths(docs, proto, id_col, text_col) if table is None else table
+    shared = spark.sparkContext.broadcast((proto, pa.array(known, pa.string()), np.array(lengths, np.int64)))
     narrow = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proto, known, lengths = shared.value
-        model = model_of(proto)
-        first = dict(zip(known.split(" "), lengths, strict=True)) if known else {}
-        for b in batches:
-            texts = b.column("_text").to_pylist()
-            n = [sum(got) for run in blocks(texts) for got in looked_up(proto, "count", [model.pre_tokens(model.normaliser.text(t or "")) for t in run], first)]
-            size = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+        counter = Counter(model_of(proto), (known, lengths))
+        for whole in batches:
+            for b in slices(whole, 1):
+                n = counter.count(b.column(1))
+                size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return narrow.mapInArrow(run, docs.select(F.col(id_col)).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean"))

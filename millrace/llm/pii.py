@@ -4,11 +4,14 @@ Base patterns find spans of four kinds exactly. Looser patterns propose further
 spans. For every span, labelers (patterns, gazetteers, context words) vote yes,
 no or nothing. Expectation-maximisation over the counts of vote patterns in the
 whole corpus estimates each labeler's reliability; a logistic classifier of
-spans is then trained on the posteriors. Base spans always stay; proposed ones
-are added where the classifier is sure.
+spans is then trained on the posteriors. Besides the votes it sees what no
+labeler looks at: the span's length and separators, and the kinds of character
+on both sides. Base spans always stay; proposed ones are added where the
+classifier is sure.
 
-What reaches the driver is a histogram of vote patterns, whose size is bounded
-by the labelers (at most 4 kinds x 3 ** 6 patterns x 2) and not by the corpus.
+What reaches the driver is a histogram of vote patterns and shapes, whose size
+is bounded by the labelers (at most 4 kinds x 2 x 72 patterns x 256 shapes) and
+not by the corpus.
 
 Defined results: a null text counts as empty; offsets are code points, end
 exclusive; every scan is linear in the text's length; repeated rows each get a
@@ -27,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.words import slices
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -53,6 +58,8 @@ _CONTEXT = {
     "card": ("card", "visa", "mastercard", "amex", "credit", "karte", "carte", "tarjeta", "pay"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp", "telefon", "numéro", "llama"),
 }
+#: Lengths at which a span of a kind counts as longer.
+_LENGTHS = {"email": (12, 20, 40), "ip": (9, 16, 30), "card": (16, 18, 20), "phone": (11, 14, 17)}
 _AGAINST = ("isbn", "order", "invoice", "version", "sku", "serial", "ticket", "ref", "issue", "article", "page", "§", "€", "$", "=")
 
 
@@ -88,7 +95,7 @@ def find_base(text: str) -> list[tuple[str, int, int]]:
     """The base spans (kind, start, end), by kind as listed and then start."""
     found = [("email", s, e) for s, e in find_emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
         found += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
@@ -140,26 +147,55 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     )
 
 
+def _beside(c: str) -> str:
+    """The kind of the nearest character beside a span: n none, a letter, d digit, o other."""
+    return "n" if not c else "a" if c.isalpha() else "d" if c.isdigit() else "o"
+
+
+def shape(text: str, kind: str, start: int, end: int) -> str:
+    """One character each for length, separators, and what stands before and after; 256 shapes at most."""
+    size = end - start
+    long = "0123"[sum(size >= x for x in _LENGTHS[kind])]
+    apart = {c for c in text[start:end] if not c.isalnum()} if size <= 400 else {"."}
+    marks = "0" if not apart else "3" if apart & set("()[]{}") else "1" if len(apart) == 1 else "2"
+    return long + marks + _beside(text[max(0, start - 3) : start].strip()[-1:]) + _beside(text[end : end + 3].strip()[:1])
+
+
 def pattern_key(text: str, span: tuple[str, int, int], base: bool) -> str:
-    return f"{span[0]} {'base' if base else 'loose'} {votes(text, *span, base)}"
+    return f"{span[0]} {'base' if base else 'loose'} {votes(text, *span, base)} {shape(text, *span)}"
+
+
+def features(key: str) -> list[float]:
+    """What the classifier sees of a key: kind, votes, and the shape, its length for each kind apart.
+
+    The base pattern's vote is left out; it is constant on what is judged.
+    """
+    kind, _, cast, form = key.split(" ")
+    seen = [1.0, *(float(kind == k) for k in KINDS), *(float(c == "y") - float(c == "n") for c in cast[1:])]
+    seen += [float(kind == k and form[0] == x) for k in KINDS for x in "0123"]
+    return seen + [float(form[1] == x) for x in "0123"] + [float(form[i] == x) for i in (2, 3) for x in "nado"]
 
 
 @dataclass
 class PiiModel:
-    """Which vote patterns of proposed spans count as personal data."""
+    """The span classifier: which proposed spans count as personal data."""
 
     threshold: float = 0.9
     reliability: dict[str, list[float]] = field(default_factory=dict)
-    probability: dict[str, float] = field(default_factory=dict)
+    weights: list[float] = field(default_factory=list)
+    probability: dict[str, float] = field(default_factory=dict)  # of keys met
 
     def accepts(self, key: str) -> bool:
-        return self.probability.get(key, 0.0) >= self.threshold
+        if key not in self.probability:
+            z = sum(w * x for w, x in zip(self.weights, features(key), strict=True))
+            self.probability[key] = float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.probability[key] >= self.threshold
 
     def spans(self, text: str | None) -> tuple[list, list]:
         """Base spans and all spans, each by kind as listed and then start."""
         text = text or ""
         base = find_base(text)
-        loose = find_loose(text, base) if self.probability else []
+        loose = find_loose(text, base) if self.weights else []
         added = [s for s in loose if self.accepts(pattern_key(text, s, False))]
         order = {k: i for i, k in enumerate(KINDS)}
         return base, sorted([*base, *added], key=lambda s: (order[s[0]], s[1])) if added else base
@@ -204,12 +240,13 @@ def fit(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> PiiM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    base = find_base(text)
-                    seen.update(pattern_key(text, s, True) for s in base)
-                    seen.update(pattern_key(text, s, False) for s in find_loose(text, base))
+        for whole in batches:
+            for b in slices(whole, 0):
+                for text in b.column(0).to_pylist():
+                    if text:
+                        base = find_base(text)
+                        seen.update(pattern_key(text, s, True) for s in base)
+                        seen.update(pattern_key(text, s, False) for s in find_loose(text, base))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
 
     rows = docs.select(F.col(text_col)).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
@@ -226,20 +263,13 @@ def fit_counts(histogram: dict[str, int], threshold: float = 0.9) -> PiiModel:
     for kind in KINDS:
         own = [i for i, k in enumerate(keys) if k.split(" ")[0] == kind]
         if own:
-            # The first letter is the base pattern itself; it votes like the others.
+            # The first letter is the base pattern itself; it votes like the others. Shapes don't vote.
             post[own], rel = em([keys[i].split(" ")[2] for i in own], [histogram[keys[i]] for i in own])
             model.reliability[kind] = rel.ravel().tolist()
-
-    def features(key: str) -> list[float]:
-        kind, _, cast = key.split(" ")
-        # The classifier sees the votes other than the base pattern's, which is constant on what it judges.
-        return [1.0, *(float(kind == k) for k in KINDS), *(float(c == "y") - float(c == "n") for c in cast[1:])]
-
     x = np.array([features(k) for k in keys])
     n = np.array([histogram[k] for k in keys], float)
     w = logistic(x, post, n)
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    model.probability = {k: float(v) for k, v in zip(keys, p, strict=True) if " loose " in k}
+    model.weights = w.tolist()
     return model
 
 
@@ -251,11 +281,12 @@ def find_pii(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col:
     """id, base (string), spans (string), and per kind the number of base spans; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [model.spans(t) for t in b.column(1).to_pylist()]
-            counts = [Counter(s[0] for s in base) for base, _ in got]
-            cols = [b.column(0), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS], pa.array([joined(base) for base, _ in got], pa.string()), pa.array([joined(s) for _, s in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, *[f"n_{k}" for k in KINDS], "base", "spans"])
+        for whole in batches:
+            for b in slices(whole, 1):
+                got = [model.spans(t) for t in b.column(1).to_pylist()]
+                counts = [Counter(s[0] for s in base) for base, _ in got]
+                cols = [b.column(0), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS], pa.array([joined(base) for base, _ in got], pa.string()), pa.array([joined(s) for _, s in got], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, *[f"n_{k}" for k in KINDS], "base", "spans"])
 
     schema = docs.select(F.col(id_col)).schema
     for k in KINDS:
@@ -277,10 +308,11 @@ def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFram
     """docs with every span of the text replaced; null texts stay null, other columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.schema.get_field_index(text_col)
-            text = [t and redact_text(t, model.spans(t)[1]) for t in b.column(k).to_pylist()]
-            yield b.set_column(k, b.schema.field(k), pa.array(text, b.schema.field(k).type))
+        for whole in batches:
+            k = whole.schema.get_field_index(text_col)
+            for b in slices(whole, k):
+                text = [t and redact_text(t, model.spans(t)[1]) for t in b.column(k).to_pylist()]
+                yield b.set_column(k, b.schema.field(k), pa.array(text, b.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 from functools import cache
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import embedding_dedup, minhash_dedup, nbsvm, packing, pieces, pii, quality_rules, shards, url_filter
 
-#: Where the public vocabulary files lie; only the driver reads them.
-TOKENIZERS = "/opt/tokenizers"
-
 
 @cache
-def vocabulary(name: str, folder: str = TOKENIZERS) -> bytes:
-    return Path(folder, name).read_bytes()
+def vocabulary(name: str) -> bytes:
+    """A public vocabulary file; only the driver reads it, the workers get its bytes."""
+    return Path(public_tokenizers.path(name)).read_bytes()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """URL filtering: host rules, and pattern rules indexed by their rarest literal token.
 
-A pattern rule is a regular expression with the literal tokens that any match
-must hold. The rule is filed under that one of its tokens which the fewest URLs
-hold. A URL's own tokens fetch its candidate rules; only those run.
+A pattern rule is a regular expression. The literal tokens that any match must
+hold are read off the expression, and the rule is filed under that one of them
+which the fewest URLs hold. A URL's own tokens fetch its candidate rules; only
+those run. Rules can be loaded from a file.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 no rule, and is judged by the patterns over its whole string (null: allowed).
@@ -14,14 +15,18 @@ whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from re import _constants as C
+from re._parser import parse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[a-z0-9]+")
+_TOKEN_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @dataclass(frozen=True)
@@ -35,18 +40,95 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over the URL with A-Z lower-cased.
-
-    tokens: maximal runs of [a-z0-9] that every match holds whole, bounded on
-    both sides by other characters or by the URL's ends. ends: those of them
-    that a match may also hold as the end of a longer run.
-    """
+    """A regular expression over the URL with A-Z lower-cased."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
-    ends: tuple[str, ...] = ()
+
+    @cached_property
+    def tokens(self) -> tuple[str, ...]:
+        """Runs of [a-z0-9] that every match holds and that end there: after each stands another character or the URL's end."""
+        return tuple(t for t, _ in literal_tokens(self.pattern))
+
+    @cached_property
+    def ends(self) -> tuple[str, ...]:
+        """Those of the tokens that a match may also hold as the end of a longer run."""
+        return tuple(t for t, whole in literal_tokens(self.pattern) if not whole)
+
+
+def _takes(node: tuple, code: int) -> bool:
+    """Whether a node of one character takes the character; unknown kinds count as taking it."""
+    op, arg = node
+    if op is C.LITERAL:
+        return arg == code
+    if op is C.NOT_LITERAL:
+        return arg != code
+    if op is C.RANGE:
+        return arg[0] <= code <= arg[1]
+    if op is C.IN:
+        negated = arg[0][0] is C.NEGATE
+        return any(_takes(x, code) for x in arg[negated:]) != negated
+    return True
+
+
+def _bounded(nodes: list[tuple], last: bool, outside: bool) -> bool:
+    """Whether every match of the sequence has, at its last (or first) place, no character of [a-z0-9].
+
+    outside: whether what stands beyond the sequence is bounded, which counts
+    where the sequence may be empty.
+    """
+    if not nodes:
+        return outside
+    (op, arg), rest = (nodes[-1], nodes[:-1]) if last else (nodes[0], nodes[1:])
+    if op in (C.LITERAL, C.NOT_LITERAL, C.IN, C.ANY):
+        return not any(_takes((op, arg), ord(c)) for c in _TOKEN_CHARS)
+    if op is C.AT:
+        return arg in (C.AT_BEGINNING, C.AT_BEGINNING_STRING, C.AT_END, C.AT_END_STRING)
+    beyond = _bounded(rest, last, outside)
+    if op is C.SUBPATTERN:
+        return _bounded(list(arg[-1]), last, beyond)
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+        return _bounded(list(arg[2]), last, beyond) and (arg[0] > 0 or beyond)
+    if op is C.BRANCH:
+        return all(_bounded(list(b), last, beyond) for b in arg[1])
+    return False
+
+
+def literal_tokens(pattern: str) -> list[tuple[str, bool]]:
+    """Tokens that every match of the expression holds, and whether each is a whole run.
+
+    Only runs of literal characters outside groups and repeats are taken, and of
+    these only those after which no character of [a-z0-9] can stand.
+    """
+    nodes = list(parse(pattern))
+    found, k = [], 0
+    while k < len(nodes):
+        z = k
+        while z < len(nodes) and nodes[z][0] is C.LITERAL and chr(nodes[z][1]) in _TOKEN_CHARS:
+            z += 1
+        if z > k and _bounded(nodes[z:], False, False):
+            found.append(("".join(chr(c) for _, c in nodes[k:z]), _bounded(nodes[:k], True, False)))
+        k = max(z, k + 1)
+    return found
+
+
+def parse_rules(lines: Iterable[str]) -> tuple[PatternRule, ...]:
+    """Rules from lines of a name, allow or block, and the expression; empty lines and those from # are passed over."""
+    rules = []
+    for line in lines:
+        if line.strip() and not line.lstrip().startswith("#"):
+            name, verdict, pattern = line.split(None, 2)
+            if verdict not in ("allow", "block"):
+                raise ValueError(f"rule {name}: neither allow nor block")
+            re.compile(pattern := pattern.rstrip())
+            rules.append(PatternRule(name, verdict, pattern))
+    return tuple(rules)
+
+
+def load_rules(spark: SparkSession, path: str) -> tuple[PatternRule, ...]:
+    """The rules of a text file that Spark can read; a rule list is small and is held by the driver."""
+    return parse_rules(spark.sparkContext.wholeTextFiles(path).first()[1].splitlines())
 
 
 HOST_RULES = (
@@ -57,14 +139,14 @@ HOST_RULES = (
     HostRule("block", "net", "/fr/"),
 )
 PATTERN_RULES = (
-    PatternRule("ad-host", "block", r"://([^/?#]*[.-])?ads[.-]", ("ads",)),
-    PatternRule("tracker", "block", r"[.-]track[.-][^/?#]*/", ("track",)),
-    PatternRule("casino", "block", r"[^a-z0-9]casino[^a-z0-9]", ("casino",)),
-    PatternRule("adult", "block", r"[^a-z0-9]porn[^a-z0-9]", ("porn",)),
-    PatternRule("login", "block", r"/login/?([?#]|$)", ("login",)),
-    PatternRule("session", "block", r"[?&;]phpsessid=", ("phpsessid",)),
-    PatternRule("feed", "block", r"/feed/?\?[^#]*format=rss(&|#|$)", ("feed", "format", "rss"), ends=("format",)),
-    PatternRule("academic", "allow", r"://[^/?#]*\.edu[/?#:]", ("edu",)),
+    PatternRule("ad-host", "block", r"://([^/?#]*[.-])?ads[.-]"),
+    PatternRule("tracker", "block", r"[.-]track[.-][^/?#]*/"),
+    PatternRule("casino", "block", r"[^a-z0-9]casino[^a-z0-9]"),
+    PatternRule("adult", "block", r"[^a-z0-9]porn[^a-z0-9]"),
+    PatternRule("login", "block", r"/login/?([?#]|$)"),
+    PatternRule("session", "block", r"[?&;]phpsessid="),
+    PatternRule("feed", "block", r"/feed/?\?[^#]*format=rss(&|#|$)"),
+    PatternRule("academic", "allow", r"://[^/?#]*\.edu[/?#:]"),
 )
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -64,6 +64,26 @@ def test_index_finds_tokens_that_end_longer_ones():
         assert index.judge("http://a.org/feed?formatted=rss")[:2] == (None, "allow")
 
 
+def test_tokens_are_read_off_the_expressions(spark, tmp_path):
+    known = {r.name: url_filter.literal_tokens(r.pattern) for r in url_filter.PATTERN_RULES}
+    assert known["feed"] == [("feed", True), ("format", False), ("rss", True)] and known["login"] == [("login", True)]
+    for pattern, want in {"abc": [], "^abc$": [("abc", True)], "/abc[0-9]?/": [], "(abc)/": [], "a/b+/c/": [("a", False), ("c", True)], "/x(y|z)": [], "[^a]f/": [("f", False)], "/f[^a-z]": [], r"/f\b": [], "/f(/|)": [], "/f(/|$)": [("f", True)], "/f(?=/)": []}.items():
+        assert url_filter.literal_tokens(pattern) == want, pattern
+    # Random expressions: whatever one matches holds its tokens, as runs or as the ends of runs.
+    rnd = random.Random(17)
+    parts = ["ab", "cd", "x", "1", "/", r"\.", "[^/]*", "[a-c]", "(ab|/)", "(/|$)", "c?", "/?", "[?#]", "a+", "^", "[^a-z0-9]"]
+    texts = ["".join(rnd.choice(["ab", "cd", "x", "1", "/", ".", "a", "c", "?", "#", "z"]) for _ in range(rnd.randrange(8))) for _ in range(1500)]
+    for _ in range(1500):
+        rule = url_filter.PatternRule("r", "block", "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 6))))
+        for token in rule.tokens:
+            index = url_filter.PatternIndex([rule], {t: int(t != token) for t in rule.tokens})
+            for text in rnd.sample(texts, 40):
+                assert (index.judge(text)[0] == "r") == bool(text and re.search(rule.pattern, text)), (rule.pattern, token, text)
+    (tmp_path / "rules").write_text("# a list\n\nshop block [.-]shop[.-]\nschool allow /school /x y\n")
+    rules = url_filter.load_rules(spark, f"file://{tmp_path}/rules")
+    assert [(r.name, r.verdict, r.pattern, r.tokens) for r in rules] == [("shop", "block", "[.-]shop[.-]", ("shop",)), ("school", "allow", "/school /x y", ("school", "x"))]
+
+
 def test_urls(spark):
     urls = {
         "http://WWW.Example.com/en/x?a": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
@@ -120,5 +140,10 @@ def test_shards_are_seeded_and_mixed(spark, docs_of, tmp_path):
     assert all(r["law"] == "rows" and r["grown_shard"] is None for r in out)
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert all(r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) and r["size"] == len(text[r["doc_id"]].encode()) + 16 for r in out)
+    by = Counter(r["shard"] for r in out)
+    assert sorted(by) == list(range(40)) and max(by.values()) - min(by.values()) <= 1 and Counter(r["doc_id"] for r in out) == Counter(text.keys())
+    assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in range(40) for k in range(by[s])]
+    clash = spark.read.parquet(f"{tmp_path}/d").withColumnsRenamed({"lang": "_bucket", "source": "file", "n_chars": "row"})
+    assert shards.shuffled_shards(clash, columns=["doc_id", "text", "_bucket", "file", "row"]).count() == 500
     shards.write_shards(shards.shuffled_shards(docs, n_shards=4), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").groupBy("shard").count().count() == 4
