@@ -5,7 +5,8 @@ last return the columns of documents. A stage sees every row that the one
 before it kept, read back from Parquet.
 
 Defined results: as the operators state them; an empty documents table passes
-through all stages and gives no pieces. Null texts fail the rules.
+through all stages and gives no pieces. Null texts fail the rules. Further
+columns are carried by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = nbsvm.fit(raw, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return nbsvm.score(docs, model, column="_score").where("_score >= 0.5").drop("_score")
+    return nbsvm.keep_good(docs, model, 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
