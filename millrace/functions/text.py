@@ -77,11 +77,14 @@ def normalize(text: Column, latin: bool = True) -> Column:
     """A struct of the cleaned text and its language hint; Uzbek Cyrillic becomes Latin unless told not to."""
 
     def hinted(clean: Column) -> Column:
-        hint = detect_script(clean)
-        turn = (hint == "uz-cyrl") & F.lit(latin)
-        return F.struct(F.when(turn, to_latin(clean)).otherwise(clean).alias("text"), F.when(turn, "uz-latn").otherwise(hint).alias("hint"))
+        return F.struct(clean.alias("text"), detect_script(clean).alias("hint"))
 
-    return F.transform(F.array(clean_whitespace(text)), hinted)[0]
+    def turned(s: Column) -> Column:
+        turn = (s["hint"] == "uz-cyrl") & F.lit(latin)
+        return F.struct(F.when(turn, to_latin(s["text"])).otherwise(s["text"]).alias("text"), F.when(turn, "uz-latn").otherwise(s["hint"]).alias("hint"))
+
+    # Each step of one element, so that what it gives is computed once.
+    return F.transform(F.transform(F.array(clean_whitespace(text)), hinted), turned)[0]
 
 
 def tokens(text: Column) -> Column:

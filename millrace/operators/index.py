@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.folders import kept
 from millrace.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -27,13 +28,18 @@ def token_table(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return chunks.select(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
 
 
+def exploded(terms: Column) -> Column:
+    """One row per term, and a null for none: an inner explode would test for none by tokenising twice."""
+    return F.explode_outer(terms).alias("term")
+
+
 def doc_lengths(table: DataFrame) -> DataFrame:
     return table.select("key", F.size("tokens").cast("long").alias("dl"))
 
 
 def postings(table: DataFrame) -> DataFrame:
     """(term, key, tf); summed before the shuffle."""
-    return table.select("key", F.explode("tokens").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"))
+    return table.select("key", exploded(F.col("tokens"))).where("term is not null").groupBy("term", "key").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(table: DataFrame) -> DataFrame:
@@ -45,14 +51,67 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(n - df + 0.5) - F.ln(df + 0.5)
 
 
-def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative idf becomes a quarter of the mean over all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("raw"))
+def term_stats(table: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) of a token_table; a negative idf becomes a quarter of the mean over all terms."""
+    stats = corpus_stats(table) if stats is None else stats
+    df = table.select(exploded(F.array_distinct("tokens"))).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("raw"))  # stats is one row
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def asked_terms(table: DataFrame, asked: DataFrame) -> tuple[DataFrame, float]:
+    """asked (query_id, term, qf) with idf, and the chunks' mean length; one pass over the token_table.
+
+    The terms' counts are summed before the shuffle and written, since both the
+    batch's words and the mean over all terms are read from them.
+    """
+    held = table.select(F.size("tokens").alias("dl"), exploded(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))))
+    # The empty word stands for every chunk.
+    counts = kept(held.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")), "terms")
+    whole = counts.where("term = ''").select("df", "dl").first()
+    n, words = (whole["df"], whole["dl"]) if whole else (0, 0)
+    raw = idf(F.lit(n), F.col("df"))
+    mean = counts.where("term <> ''").agg(F.avg(raw).alias("mean")).first()["mean"] or 0.0
+    own = counts.where("term <> ''").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    terms = own.select("term", F.when(raw < 0, EPSILON * mean).otherwise(raw).alias("idf"))
+    return asked.join(F.broadcast(terms), "term"), words / n if n else 0.0
+
+
+# The stored lexical index -----------------------------------------------------
+
+
+def write_lexical(table: DataFrame, path: str, parts: int = 64) -> None:
+    """Postings by term, chunk lengths, term statistics and the corpus's own, from one tokenised pass.
+
+    Postings lie in folders by a hash of their term, sorted by term: a search
+    opens the folders of its words and skips within them.
+    """
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    post = postings(table).withColumn("part", part)
+    post.repartition("part").sortWithinPartitions("part", "term", "key").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+    doc_lengths(table).write.mode("overwrite").parquet(f"{path}/lengths")
+    spark = table.sparkSession
+    stats = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(parts).alias("parts"))
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    n = spark.read.parquet(f"{path}/stats").first()["n"]
+    df = spark.read.parquet(f"{path}/postings").groupBy("part", "term").agg(F.count("*").alias("df")).withColumn("raw", idf(F.lit(n), F.col("df")))
+    df.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    terms.agg(F.avg("raw").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/mean")
+
+
+def stored_terms(spark: SparkSession, path: str, asked: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """asked with idf, the postings of its words (term, key, tf, dl), and the mean length; only their folders are read."""
+    stats, mean = spark.read.parquet(f"{path}/stats").first(), spark.read.parquet(f"{path}/mean").first()["mean"]
+    words = sorted(r["term"] for r in asked.select("term").distinct().collect())  # of the batch
+    parts = sorted({r["p"] for r in spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(stats["parts"])).cast("int").alias("p")).collect()})
+    own = F.col("part").isin(parts) & F.col("term").isin(words)
+    terms = spark.read.parquet(f"{path}/terms").where(own).select("term", F.when(F.col("raw") < 0, EPSILON * (mean or 0.0)).otherwise(F.col("raw")).alias("idf"))
+    post = spark.read.parquet(f"{path}/postings").where(own).select("term", "key", "tf").join(spark.read.parquet(f"{path}/lengths"), "key")
+    return asked.join(F.broadcast(terms), "term"), post, stats["avgdl"] or 0.0
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("chunk_id",), order: str | None = None) -> DataFrame:
     """old with new's rows over those of equal keys; within new, the last by ``order`` wins."""
     if order is not None:

@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from millrace.functions.folders import kept
 from millrace.functions.text import tokens
 from millrace.operators import index
 
@@ -30,43 +31,68 @@ def top_k(rows: DataFrame, k: int, by: list[Column], within: str = "query_id", n
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(within).orderBy(*by))).where(F.col(name) <= k)
 
 
+def words_of(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qf): the queries' words; a word counts as often as the query has it."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def _scored(hits: DataFrame, avgdl: float) -> DataFrame:
+    """(query_id, key, score) of hits (query_id, key, qf, idf, tf, dl)."""
+    norm = F.col("dl") / (avgdl or 1.0)
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (index.K1 + 1) / (F.col("tf") + index.K1 * (1 - index.B + index.B * norm))
+    return hits.groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def bm25_scores(table: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score) of every chunk that holds a query word; words count as often as the query has them.
+    """(query_id, key, score) of every chunk that holds a query word.
 
     table: token_table. Statistics are of the whole table. The queries' words
-    are broadcast: a batch of queries is small beside the postings.
+    are broadcast: a batch of queries is small beside the table. Two passes over
+    the table, and only hits are moved.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    stats = index.corpus_stats(table)
-    post = index.postings(table)
-    terms = index.term_stats(post, stats).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    hits = post.join(F.broadcast(asked), "term").join(F.broadcast(terms.select("term", "idf")), "term")
-    hits = hits.join(index.doc_lengths(table), "key").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (index.K1 + 1) / (F.col("tf") + index.K1 * (1 - index.B + index.B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score"))
+    terms, avgdl = index.asked_terms(table, words_of(queries))
+    held = table.select("key", F.size("tokens").alias("dl"), index.exploded(F.col("tokens"))).join(F.broadcast(terms), "term")
+    hits = held.groupBy("query_id", "key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("qf").alias("qf"), F.first("idf").alias("idf"))
+    return _scored(hits, avgdl)
+
 
+def stored_scores(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """bm25_scores from what index.write_lexical wrote: only the postings of the queries' words are read."""
+    terms, post, avgdl = index.stored_terms(spark, path, words_of(queries))
+    return _scored(post.join(F.broadcast(terms), "term"), avgdl)
 
-def bm25_topk(table: DataFrame, queries: DataFrame, k: int = 20, zero_fill: bool = True, allowed: DataFrame | None = None) -> DataFrame:
+
+def bm25_topk(table: DataFrame, queries: DataFrame, k: int = 20, zero_fill: bool = True, allowed: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank); allowed: (query_id, key) pairs that a query may see.
 
     Chunks without any query word score 0 and fill up to k, the smallest keys
-    first. For that, at most k + (scored chunks) smallest keys could matter, so
-    only each query's k smallest unscored keys are added. Queries without words
-    give nothing.
+    first. Only queries with fewer than k chunks above 0 are filled: the keys
+    that they can need are the table's smallest, k and one for each chunk that
+    such a query has scored. Queries without words give nothing. scores: what
+    bm25_scores or stored_scores gave, where it is at hand; table then has keys only.
     """
-    scored = bm25_scores(table, queries)
+    scored = bm25_scores(table, queries) if scores is None else scores
     if allowed is not None:
         scored = scored.join(allowed.select("query_id", "key"), ["query_id", "key"], "left_semi")
-    if zero_fill:
-        words = queries.where(F.size(tokens(F.col("query"))) > 0).select("query_id")
-        if allowed is None:
-            pairs = table.select("key").crossJoin(F.broadcast(words))  # each chunk scores 0 or more for each query
-        else:
-            pairs = allowed.select("query_id", "key").join(F.broadcast(words), "query_id", "left_semi")
-        rest = pairs.join(scored.select("query_id", "key"), ["query_id", "key"], "left_anti")
-        rest = top_k(rest, k, [F.col("key").asc()], name="_n").drop("_n")
-        scored = scored.unionByName(rest.withColumn("score", F.lit(0.0)))
-    return top_k(scored, k, [F.col("score").desc(), F.col("key").asc()])
+    if not zero_fill:
+        return top_k(scored, k, [F.col("score").desc(), F.col("key").asc()])
+    # What is scored is read several times from here on.
+    scored = kept(scored, "scored")
+    best = top_k(scored, k, [F.col("score").desc(), F.col("key").asc()])
+    asked = queries.where(F.size(tokens(F.col("query"))) > 0).select("query_id").distinct()
+    full = best.where((F.col("rank") == k) & (F.col("score") > 0)).select("query_id")
+    short = asked.join(F.broadcast(full), "query_id", "left_anti")
+    scarce = scored.join(F.broadcast(short), "query_id", "left_semi")
+    if allowed is None:
+        most = scarce.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+        if short.isEmpty():
+            return best
+        first = table.select("key").orderBy("key").limit(k + most)
+        pairs = F.broadcast(short).join(first)  # queries of the batch with k keys or a few more
+    else:
+        pairs = allowed.select("query_id", "key").join(F.broadcast(short), "query_id", "left_semi")
+    rest = pairs.join(scarce.select("query_id", "key"), ["query_id", "key"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(scored.unionByName(rest), k, [F.col("score").desc(), F.col("key").asc()])
 
 
 def bm25_topk_long(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -78,12 +104,10 @@ def bm25_topk_long(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFra
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")).collect()
+    words = words_of(queries)
+    terms, avgdl = index.asked_terms(table, words)
+    asked, known = words.collect(), {r["term"]: r["idf"] for r in terms.select("term", "idf").distinct().collect()}
     names, ids = sorted({r["term"] for r in asked}), sorted({r["query_id"] for r in asked})
-    stats = index.corpus_stats(table)
-    held = index.term_stats(table.select(F.explode(F.array_distinct("tokens")).alias("term")), stats)
-    known = {r["term"]: r["idf"] for r in held.join(F.broadcast(queries.sparkSession.createDataFrame([(t,) for t in names], "term string")), "term", "left_semi").collect()}
-    avgdl = stats.first()["avgdl"]
     at, of = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
     # Queries go in blocks; a block has its ids, its words' places (-1: not its word), and words times queries.
     parts: list[list] = [[] for _ in range(0, len(ids), QUERIES)]
@@ -186,6 +210,28 @@ def rerank(hits: DataFrame, scorer=overlap_score, k: int = 5) -> DataFrame:
     return top_k(ordered, k, [F.col("score").desc(), F.col("hybrid_rank").asc()]).drop("_q", "_k")
 
 
+def rerank_stored(hits: DataFrame, path: str, scorer=overlap_score, k: int = 5) -> DataFrame:
+    """rerank with scores kept at ``path`` between calls; only pairs that have none there are scored, and appended.
+
+    The table (query, key, score) only grows: a pair is scored once, and clearing
+    it is a matter of deleting the folder.
+    """
+    spark = hits.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    schema = "query string, key string, score double"
+    known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    stored = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+    norm = F.lower(F.trim("query"))
+    pairs = hits.groupBy(norm.alias("query"), F.col("key").cast("string").alias("key")).agg(F.min("query").alias("_query"), F.first("content").alias("_content"))
+    fresh = pairs.join(stored, ["query", "key"], "left_anti")
+    fresh.select("query", "key", scorer(F.col("_query"), F.col("_content")).cast("double").alias("score")).write.mode("append").parquet(path)
+    # Two runs at a time may both have scored a pair.
+    scores = spark.read.schema(schema).parquet(path).groupBy("query", "key").agg(F.max("score").alias("_new")).withColumnsRenamed({"query": "_q", "key": "_k"})
+    joined = hits.join(scores, (norm == F.col("_q")) & (F.col("key").cast("string") == F.col("_k"))).drop("_q", "_k")
+    ordered = joined.withColumnsRenamed({"score": "hybrid_score", "rank": "hybrid_rank"}).withColumnRenamed("_new", "score")
+    return top_k(ordered, k, [F.col("score").desc(), F.col("hybrid_rank").asc()])
+
+
 def hash_embedder(dims: int = 64):
     """The offline embedder: signed feature hashing of words, to unit length."""
 

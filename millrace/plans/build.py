@@ -2,9 +2,11 @@
 
 The index is a log. Each run appends one version: the chunks and vectors that it
 adds, the (path, hash) pairs that it removes, and last the manifest rows, which
-commit the version. What a run writes therefore follows what changed, not the
-size of the index. Readers take versions up to the last committed one, and leave
-out chunks that a later version removes.
+commit the version. What a run writes there follows what changed, not the size
+of the index. Readers take versions up to the last committed one, and leave out
+chunks that a later version removes. After that the run writes the lexical index
+of the version anew, since its statistics are of all chunks; a search before
+this is done counts them from the chunks.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ _TABLES = {
 def _log(spark: SparkSession, index_dir: str, name: str) -> DataFrame:
     """All rows of a table's versions; empty before the first run."""
     path = f"{index_dir}/{name}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+    if not _exists(spark, path):
         return spark.createDataFrame([], _TABLES[name])
     return spark.read.schema(_TABLES[name]).parquet(path)
 
@@ -59,6 +60,20 @@ def vectors(spark: SparkSession, index_dir: str) -> DataFrame:
     return _current(spark, index_dir, "vectors")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _lexical(index_dir: str, version: int) -> str:
+    return f"{index_dir}/lexical-{version}"
+
+
+def _keyed(table: DataFrame) -> DataFrame:
+    """table with key, which is path and chunk id."""
+    return table.select(F.concat_ws("#", "source_path", "chunk_id").alias("key"), "*")
+
+
 def stats(spark: SparkSession, index_dir: str) -> DataFrame:
     """One row: files, chunks and vectors."""
     of = lambda df, name: df.agg(F.count("*").alias(name))
@@ -99,6 +114,7 @@ def build_index(spark: SparkSession, raw_dir: str, index_dir: str, department: s
     count = index.next_manifest(good.select("source_path", "file_hash"), rows)
     dropped = changes.where("status = 'deleted'").select("source_path", F.lit(None).cast("string").alias("file_hash"), F.lit(0).alias("chunk_count"))
     count.unionByName(dropped).write.mode("overwrite").parquet(f"{index_dir}/manifest/version={version}")
+    index.write_lexical(index.token_table(_keyed(chunks(spark, index_dir)), "key", "content"), _lexical(index_dir, version))
     failed = parsed.agg(F.count_if(F.col("error").isNotNull()).alias("failed"))
     return index.run_summary(changes).join(failed)
 
@@ -110,11 +126,13 @@ def search(spark: SparkSession, index_dir: str, queries: DataFrame, config: Conf
     reader may not see is filtered after scoring, and before ranking.
     """
     config, embed = config or Config(), embedder or retrieve.hash_embedder()
-    key = F.concat_ws("#", "source_path", "chunk_id").alias("key")
-    table = chunks(spark, index_dir).select(key, "*")
+    table = _keyed(chunks(spark, index_dir))
     allowed = access.readable_pairs(queries.select("query_id", "department", "clearance"), table.select("key", "department", "access_level")).select("query_id", "key")
-    lexical = retrieve.bm25_topk(index.token_table(table, "key", "content"), queries, config.retrieval.top_k_bm25, allowed=allowed)
-    own = vectors(spark, index_dir).select(key, "v").join(table.select("key", F.col("department").alias("_d"), "access_level"), "key")
+    stored, words = _lexical(index_dir, last_version(spark, index_dir)), index.token_table(table, "key", "content")
+    # The mean is the last of its tables that a run writes.
+    scores = retrieve.stored_scores(spark, stored, queries) if _exists(spark, f"{stored}/mean/_SUCCESS") else retrieve.bm25_scores(words, queries)
+    lexical = retrieve.bm25_topk(words, queries, config.retrieval.top_k_bm25, allowed=allowed, scores=scores)
+    own = _keyed(vectors(spark, index_dir)).select("key", "v").join(table.select("key", F.col("department").alias("_d"), "access_level"), "key")
     asked = queries.select("query_id", F.col("department").alias("_dq"), "clearance", embed("query").alias("q"))
     may = access.readable(F.col("_dq"), F.col("clearance"), F.col("_d"), F.col("access_level"))
     vector = retrieve.vector_topk(own, asked, config.retrieval.top_k_vector, may)

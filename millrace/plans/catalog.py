@@ -7,6 +7,7 @@ the tables lack, are made from them inside the queries, alike on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from millrace.config import Agent
 from millrace.functions import tables, text
-from millrace.operators import access, agent, audit, chunk, index, reports, retrieve
+from millrace.functions.folders import kept, shared_folder
+from millrace.operators import access, agent, audit, chunk, index, models, reports, retrieve
 from millrace.plans import sql as S
 from millrace.sources import files
 
@@ -48,11 +50,6 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(S.ASKED, "query_id int, query string")
 
 
-def _batch(spark: SparkSession, d: str) -> DataFrame:
-    first = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    return _t(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), first.alias("query"))
-
-
 def _passages_asked(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark text as a query, with all its words."""
     return _t(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("query"))
@@ -74,7 +71,7 @@ def tokenize_stats(spark, d):
 @query(f"WITH {S.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark, d):
     table = index.token_table(_docs(spark, d), "key", "text")
-    return index.term_stats(index.postings(table), index.corpus_stats(table)).withColumn("idf", F.round("idf", 6))
+    return index.term_stats(table).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {S.BM25} SELECT key, dl FROM dl")
@@ -106,14 +103,17 @@ def bm25_topk_filtered(spark, d):
     return retrieve.bm25_topk(index.token_table(docs, "key", "text"), asked, 10, allowed=allowed)
 
 
-@query(S.bm25_top(S.BATCH, 5))
+@query(S.bm25_top(S.PASSAGES, 5))
 def bm25_batch(spark, d):
-    return retrieve.bm25_topk(index.token_table(_docs(spark, d), "key", "text"), _batch(spark, d), 5)
+    return retrieve.bm25_topk_long(index.token_table(_docs(spark, d), "key", "text"), _passages_asked(spark, d), 5)
 
 
-@query(S.bm25_top(S.PASSAGES, 5))
-def bm25_batch_whole(spark, d):
-    return retrieve.bm25_topk_long(index.token_table(_docs(spark, d), "key", "text"), _passages_asked(spark, d), 5)
+@query(S.bm25_top(S.asked(1, 2, 3, 4), 10))
+def bm25_stored(spark, d):
+    path = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+    index.write_lexical(index.token_table(_docs(spark, d), "key", "text"), path)
+    asked = _asked(spark)
+    return retrieve.bm25_topk(_docs(spark, d), asked, 10, scores=retrieve.stored_scores(spark, path, asked))
 
 
 # Vector search, fusion, reranking ----------------------------------------------
@@ -185,6 +185,46 @@ def rerank_cached(spark, d):
     return retrieve.rerank(hits.unionByName(shouted)).select("query_id", "key", "score", "rank")
 
 
+@query(f"WITH {S.RERANK} SELECT query_id + n AS query_id, key, score, rank::INT AS rank FROM reranked, (SELECT unnest([0, 10])::INT AS n) WHERE rank <= 5")
+def rerank_stored(spark, d):
+    # The second call finds its pairs' scores where the first one left them; a scorer that gives null shows it.
+    hits, path = kept(_hits(spark, d), "hits"), f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    retrieve.rerank_stored(hits, path)
+    shouted = hits.withColumn("query_id", F.col("query_id") + 10).withColumn("query", F.concat(F.lit(" "), F.upper("query")))
+    again = retrieve.rerank_stored(hits.unionByName(shouted), path, scorer=lambda q, c: F.lit(None).cast("double"))
+    return again.select("query_id", "key", "score", "rank")
+
+
+@query(S.STAGES)
+def retrieval_report(spark, d):
+    v, asked = _vectors(spark, d), _asked(spark).where("query_id = 1")
+    table, docs = index.token_table(_docs(spark, d), "key", "text"), _docs(spark, d).select("key", F.col("text").alias("content"))
+    stages = {
+        "vector": lambda _: retrieve.vector_topk(v, _probe(v, F.col("key") == 0).withColumn("query_id", F.lit(1)), 20),
+        "bm25": lambda _: retrieve.bm25_topk(table, asked, 20),
+        "hybrid": lambda done: retrieve.rrf(done["vector"], done["bm25"]),
+        "reranked": lambda done: retrieve.rerank(docs.join(F.broadcast(done["hybrid"].join(asked, "query_id")), "key")),
+    }
+    return reports.staged(stages).drop("seconds")
+
+
+@query(S.ACCESS_TOP)
+def access_matrix_top(spark, d):
+    docs = _docs(spark, d)
+    readers = spark.createDataFrame([(i, dep, "internal") for i, dep in enumerate(S.READERS)], "reader int, department string, clearance string")
+    asked = _asked(spark).where("query_id < 4").join(F.broadcast(readers))  # three queries and three readers
+    asked = asked.select((F.col("query_id") * 10 + F.col("reader")).alias("query_id"), "query", "department", "clearance")
+    allowed = access.readable_pairs(asked.select("query_id", "department", "clearance"), docs.select("key", "department", "access_level")).select("query_id", "key")
+    hits = retrieve.bm25_topk(index.token_table(docs, "key", "text"), asked, 3, allowed=allowed)
+    return docs.join(F.broadcast(hits), "key").select("query_id", "key", "score", "rank", "department")
+
+
+@query(S.PROMPTED)
+def prompt_grade(spark, d):
+    rows = _t(spark, d, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", F.sha2(models.prompt("relevant", query=F.col("text"), passage=F.concat(F.col("text"), F.lit(" {query}"))), 256).alias("sha"))
+
+
 def _queries(spark, d) -> DataFrame:
     """The texts of the documents that share their ids with vector_batch's queries."""
     ids = _vectors(spark, d).where("key % 100 = 0").select("key")
@@ -327,12 +367,21 @@ def table_guard(spark, d):
 
 @query(S.PARAGRAPHS)
 def paragraph_blocks(spark, d):
+    rows = _grouped(spark, d)
+    return rows.select("doc_id", "block", F.sha2("content", 256).alias("sha"), F.length("content").alias("n"), "page")
+
+
+def _grouped(spark, d) -> DataFrame:
     @F.pandas_udf("array<struct<content: string, page: int>>")
     def grouped(t: pd.Series) -> pd.Series:
         return t.map(lambda x: [{"content": c, "page": p} for c, p in files.grouped_paragraphs((x or "").split("\n"))])
 
-    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(grouped("text")).alias("block", "b"))
-    return rows.select("doc_id", "block", F.sha2("b.content", 256).alias("sha"), F.length("b.content").alias("n"), "b.page")
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(grouped("text")).alias("block", "b")).select("doc_id", "block", "b.content", "b.page")
+
+
+@query(f"SELECT doc_id, count(*) AS n_blocks, count(*) AS n_text, 0::BIGINT AS n_table, sum(n)::BIGINT AS chars, max(n)::BIGINT AS longest, max(page)::INT AS pages FROM ({S.PARAGRAPHS}) GROUP BY 1")
+def ingest_report(spark, d):
+    return reports.block_report(_grouped(spark, d).withColumn("kind", F.lit("text")), "doc_id")
 
 
 @query("SELECT doc_id, i::INT AS line, greatest(1, (sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i)) // 1500)::INT AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)")
@@ -378,6 +427,23 @@ def recursive_split(spark, d):
     return rows.select("doc_id", "piece", F.length("content").alias("n"), F.sha2("content", 256).alias("sha"))
 
 
+@query("SELECT doc_id, true AS short, true AS found, true AS begins, true AS ends, true AS whole, CASE WHEN length(text) <= 800 THEN 1::BIGINT END AS n_short FROM documents WHERE text IS NOT NULL AND (length(text) <= 800 OR regexp_matches(text, '[^ \n]'))")
+def split_laws(spark, d):
+    """What holds of the pieces of every text: their size, places, ends, and that nothing but white space is left out."""
+    docs = _t(spark, d, "documents").where("text is not null")
+    pieces = docs.select("doc_id", F.explode(chunk.split_column(F.col("text"), 800, 120)).alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("p"))  # of one text
+    t, marks = F.col("text"), lambda c: F.length(F.regexp_replace(c, r"[\x00-\x20]", ""))
+    laws = {
+        "short": F.forall("p", lambda c: F.length(c) <= 800),
+        "found": F.forall("p", lambda c: F.contains(t, c)),
+        "begins": F.ltrim(F.regexp_replace(t, r"^\s+", "")).startswith(F.get("p", F.lit(0))) | (F.length(t) <= 800),
+        "ends": F.regexp_replace(t, r"\s+\z", "").endswith(F.element_at("p", -1)) | (F.length(t) <= 800),
+        "whole": F.aggregate("p", F.lit(0), lambda a, c: a + marks(c)) >= marks(t),
+        "n_short": F.when(F.length(t) <= 800, F.size("p").cast("long")),
+    }
+    return docs.join(pieces, "doc_id").select("doc_id", *[v.alias(k) for k, v in laws.items()])
+
+
 @query()
 def chunk_documents(spark, d):
     rows = _legal(spark, d).select(
@@ -478,8 +544,10 @@ def upsert_snapshots(spark, d):
 # Conversations -----------------------------------------------------------------
 
 
-def _turns(spark, d) -> DataFrame:
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+def _turns(spark, d, n: int | None = None) -> DataFrame:
+    """Turns with what came before them in their conversation: all of it, or the last n turns."""
+    first = Window.unboundedPreceding if n is None else -n
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(first, -1)
     history = F.collect_list(F.struct("role", F.col("text").alias("content"))).over(before)
     return _t(spark, d, "conversations").select("conv_id", "turn", "role", "text", history.cast(agent.TURNS).alias("history"))
 
@@ -496,21 +564,22 @@ FROM (SELECT c.conv_id, c.turn, p.role, p.text, p.turn AS k FROM
   LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) p ON p.conv_id = c.conv_id AND p.r BETWEEN c.r - 4 AND c.r - 1)
 GROUP BY ALL""")
 def history_window(spark, d):
-    return _turns(spark, d).select("conv_id", "turn", agent.history_text(F.col("history")).alias("history"))
+    return _turns(spark, d, 4).select("conv_id", "turn", agent.history_text(F.col("history")).alias("history"))
 
 
 @query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS last_user FROM conversations")
 def last_user_turn(spark, d):
-    return _turns(spark, d).select("conv_id", "turn", agent.last_user(F.col("history")).alias("last_user"))
+    return agent.with_last_user(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "last_user")
 
 
 @query(S.GATES)
 def contextualize_gates(spark, d):
-    last = agent.last_user(F.col("history"))
-    n = F.col("turn") % 5
+    rows = agent.with_last_user(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    n, last = F.col("turn") % 5, F.col("last_user")
     new = F.when(n == 0, F.translate("text", S.ABC, S.ABC.upper())).when(n == 1, "ab").when(n == 2, text.strip(last)).when(n == 3, "entirely other words stand here").otherwise(F.concat("text", F.lit(" more")))
-    rows = _turns(spark, d).withColumn("rewritten", new).withColumn("reason", agent.rewrite_gate(F.col("text"), F.col("rewritten"), F.col("history")))
-    return rows.select("conv_id", "turn", "reason", F.when(F.col("reason").isNotNull(), agent.forced_join(F.col("text"), F.col("history"))).otherwise(F.col("rewritten")).alias("final"))
+    rows = agent.with_asked_before(rows.withColumn("rewritten", new), "conv_id", "turn", "role", "text", "rewritten")
+    rows = rows.withColumn("reason", agent.gate(F.col("text"), F.col("rewritten"), F.col("asked_before")))
+    return rows.select("conv_id", "turn", "reason", F.when(F.col("reason").isNotNull(), agent.joined_with(F.col("text"), last)).otherwise(F.col("rewritten")).alias("final"))
 
 
 # Grading and routing -----------------------------------------------------------

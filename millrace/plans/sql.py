@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.functions import text
-from millrace.operators import agent
+from millrace.operators import agent, models
 
 #: Queries of the examples; "qqqq" is in no text.
 ASKED = [(1, "thereon the eaux standing"), (2, "qqqq"), (3, "Thoran qqqq Thoran"), (4, "...")]
@@ -33,19 +33,19 @@ def words(x: str) -> str:
 # Retrieval -----------------------------------------------------------------------
 
 BM25 = f"""
-dl AS (SELECT doc_id AS key, len({tok("coalesce(text, '')")})::BIGINT AS dl FROM documents),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-post AS (SELECT term, key, count(*) AS tf FROM (SELECT doc_id AS key, unnest({tok("coalesce(text, '')")}) AS term FROM documents) GROUP BY ALL),
+dl AS MATERIALIZED (SELECT doc_id AS key, len({tok("coalesce(text, '')")})::BIGINT AS dl FROM documents),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+post AS MATERIALIZED (SELECT term, key, count(*) AS tf FROM (SELECT doc_id AS key, unnest({tok("coalesce(text, '')")}) AS term FROM documents) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, st),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, st),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raws),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raws, mean)"""
 
 
 def asked(*ids: int) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in ASKED if i in ids) + ") AS q(query_id, query)"
 
 
-BATCH = "SELECT item_id::INT AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS query FROM benchmark"
 PASSAGES = "SELECT item_id::INT AS query_id, text AS query FROM benchmark"
 
 
@@ -97,6 +97,23 @@ hits AS (SELECT f.query_id, f.key, f.score AS hybrid_score, f.rank AS hybrid_ran
 scored AS (SELECT *, round(len(list_intersect(list_distinct({tok(quoted(ASKED[0][1]))}), {tok("text")})) / len(list_distinct({tok(quoted(ASKED[0][1]))})), 6) AS score FROM hits),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hybrid_rank) AS rank FROM scored)"""
 
+STAGES = f"""WITH {RERANK}
+SELECT 0::INT AS place, 'vector' AS stage, 1::INT AS query_id, rank::INT AS rank, key, score FROM vec WHERE rank <= 5
+UNION ALL SELECT 1::INT, 'bm25', query_id, rank::INT, key, score FROM lex WHERE rank <= 5
+UNION ALL SELECT 2::INT, 'hybrid', query_id, rank::INT, key, score FROM fused WHERE rank <= 5
+UNION ALL SELECT 3::INT, 'reranked', query_id, rank::INT, key, score FROM reranked WHERE rank <= 5"""
+
+READERS = ("src1", "src2", "general")
+_READER = f"CASE q.query_id % 10 {' '.join(f'WHEN {i} THEN {quoted(r)}' for i, r in enumerate(READERS))} END"
+_BY_READER = f"SELECT query_id * 10 + reader AS query_id, query FROM ({asked(1, 2, 3)}), (SELECT unnest(range({len(READERS)}))::INT AS reader)"
+ACCESS_TOP = f"""
+SELECT query_id, key, score, rank, source AS department FROM ({bm25_top(_BY_READER, 3, f"department IN ({_READER}, 'general') AND access_level IN ('public', 'internal')")})
+JOIN documents ON doc_id = key"""
+
+# A value that looks like a name is not filled in again.
+_TEMPLATE = quoted(models.PROMPTS["relevant"].replace("{{", "{").replace("}}", "}"))
+PROMPTED = f"SELECT conv_id, turn, sha256(replace(replace({_TEMPLATE}, '{{query}}', text), '{{passage}}', text || ' {{query}}')) AS sha FROM conversations WHERE role = 'user'"
+
 # Text ------------------------------------------------------------------------------
 
 

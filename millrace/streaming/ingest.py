@@ -37,11 +37,9 @@ def ingest_files(spark: SparkSession, raw_dir: str, manifest_path: str, checkpoi
 def latest_manifest(spark: SparkSession, path: str) -> DataFrame:
     """source_path and its last file_hash; empty before the first batch."""
     schema = "source_path string, file_hash string, at timestamp"
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-        rows.schema  # noqa: B018
-    except Exception:
-        rows = spark.createDataFrame([], schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    rows = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
     return rows.groupBy("source_path").agg(F.max_by("file_hash", "at").alias("file_hash"))
 
 

@@ -36,7 +36,7 @@ def test_entry(spark):
 def test_passages_are_asked_whole(spark):
     # The last word of a passage is past any prefix; its documents must score for it.
     table = catalog.index.token_table(catalog._docs(spark, SF), "key", "text")
-    whole = {(r["query_id"], r["key"]): r["score"] for r in catalog.QUERIES["bm25_batch_whole"](spark, SF).collect()}
+    whole = {(r["query_id"], r["key"]): r["score"] for r in catalog.QUERIES["bm25_batch"](spark, SF).collect()}
     asked = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     assert {q for q, _ in whole} == set(asked)
     rows = spark.createDataFrame([(q * 100 + k, w) for q, t in list(asked.items())[:4] for k, w in enumerate(t.split())], "query_id int, query string")

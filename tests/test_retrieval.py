@@ -4,7 +4,7 @@ import json
 
 import pytest
 from millrace.config import Agent
-from millrace.operators import access, agent, audit, index, reports, retrieve
+from millrace.operators import access, agent, audit, index, models, reports, retrieve
 from millrace.streaming import ingest
 from pyspark.sql import functions as F
 
@@ -176,6 +176,47 @@ def test_loop_without_passages(spark):
     assert earlier["final_reason"] == "no_docs"
 
 
+def test_endpoint(spark):
+    # Failing, slow and senseless replies are asked again, then the loop's defaults count; equal prompts are asked once.
+    def endpoint():
+        seen = {}
+
+        def call(prompt, settings):
+            n = seen[prompt] = seen.get(prompt, 0) + 1
+            if "wordless" in prompt:
+                raise OSError("down")
+            if "Reply with JSON" not in prompt:
+                assert settings == models.GENERATOR
+                return "thirty days [1]"
+            assert settings == models.GRADER
+            field = next(f for f in ("standalone_query", "rewritten", "relevant", "grounded", "addresses") if f'{{"{f}"' in prompt)
+            if n == 1 and field == "relevant":
+                return "no object here"
+            return '{"%s": "%s", "reason": "so"}' % (field, "and theirs, the leave of teachers" if field in ("standalone_query", "rewritten") else "yes")
+
+        return call
+
+    own = models.EndpointModels(endpoint=endpoint)
+    queries = spark.createDataFrame([("a", "how long is the leave of teachers this year", []), ("b", "and theirs", [("user", "leave of teachers")]), ("c", "a wordless question that nothing can ever answer", [])], f"query_id string, query string, history {agent.TURNS}")
+    passage = F.array(F.struct(F.lit("c0").alias("chunk_id"), F.lit("leave lasts thirty days").alias("content"), F.lit("f").alias("filename"), F.lit(1).alias("page"), F.lit("").alias("article_label"), F.lit("v1").alias("doc_version"), F.lit(0.3).alias("score")))
+    out = {r["query_id"]: r for r in agent.answer_batch(queries, lambda q: q.select("query_id", passage.alias("passages")), own).collect()}
+    assert (out["a"]["final_reason"], out["a"]["answer"]) == ("ok", "thirty days [1]") and out["b"]["contextualized_query"] == "and theirs, the leave of teachers"
+    assert out["c"]["final_reason"] == "no_docs"
+    notes = reports.trace_report(spark.createDataFrame([(r["query_id"], r["final_reason"], r["steps"], r["rewrite_count"], r["generation_count"], r["relevant"], r["notes"]) for r in out.values()], f"query_id string, final_reason string, steps int, rewrite_count int, generation_count int, relevant array<{agent.PASSAGE}>, notes array<string>"))
+    assert notes.where("query_id = 'a' and node = 'grade_docs'").count() == 1
+    assert models.usable('x {"a": "b"} y', "a") and not models.usable('{"a": 1}', "a") and not models.usable("{}", "a") and not models.usable(None, None)
+    slow = models.asked(lambda: lambda p, s: __import__("time").sleep(5) or "late", {}, None, 1, 0.2, 2)
+    assert spark.createDataFrame([("p",), (None,)], "p string").select(slow(F.col("p")).alias("r")).where("r is not null").count() == 0
+
+
+def test_reports_of_stages(spark):
+    rows = spark.createDataFrame([(1, "k", 1.0, 1), (1, "l", 0.5, 2)], "query_id int, key string, score double, rank int")
+    got = reports.staged({"one": lambda _: rows, "two": lambda done: done["one"].where("rank = 1")}, k=2).collect()
+    assert sorted((r["stage"], r["key"]) for r in got) == [("one", "k"), ("one", "l"), ("two", "k")] and all(r["seconds"] > 0 for r in got)
+    blocks = spark.createDataFrame([("d", "text", "abc", 2), ("d", "table", "x", None), ("e", "text", "", None)], "doc string, kind string, content string, page int")
+    assert sorted(map(tuple, reports.block_report(blocks, "doc").collect())) == [("d", 2, 1, 1, 4, 3, 2), ("e", 1, 1, 0, 0, 0, 1)]
+
+
 def test_audit(spark, tmp_path):
     row = spark.createDataFrame([("hr", "public", "sav​ol?", "javob", ["t"])], "department string, clearance string, query string, answer string, trace array<string>")
     passage = F.struct(*[F.lit(v).alias(k) for k, v in {"filename": "f", "page": 1, "article_label": "", "chunk_id": "c", "doc_version": "v1", "content": "secret"}.items()])
