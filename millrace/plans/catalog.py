@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.config import Agent
 from millrace.functions import tables, text
 from millrace.functions.folders import kept, shared_folder
+from millrace.functions.spread import spread
 from millrace.operators import access, agent, audit, chunk, index, models, reports, retrieve
 from millrace.plans import sql as S
 from millrace.sources import files
@@ -38,7 +39,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name == "documents" else table  # its texts are what takes time
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
