@@ -72,17 +72,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     step = written(edges.mapInArrow(_contracted, "child long, parent long").distinct(), "links")
     for _ in range(most_rounds):
         edges = step.select("child", "parent")
-        least = written(edges.groupBy("child").agg(F.min("parent").alias("least"), F.max("parent").alias("most"), F.count("*").alias("n")), "least")
-        held = join_unique(edges, least.select("child", "least", "n"), "child", "n")
-        new = held.select("child", F.col("least").alias("parent")).union(held.where("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent")))
-        flat = written(new.distinct(), "hooked")
+        # A child has one parent a task at most at first, and few later on; a parent may have very many children.
+        least = edges.groupBy("child").agg(F.min("parent").alias("least"), F.max("parent").alias("most"))
+        held = edges.join(least, "child")
+        links_ = F.array(F.struct("child", F.col("least").alias("parent")), F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")))
+        new = held.select(F.explode(F.when(F.col("parent") == F.col("least"), F.slice(links_, 1, 1)).otherwise(links_)).alias("l"), (F.col("least") != F.col("most")).alias("torn"))
+        flat = written(new.groupBy("l.child", "l.parent").agg(F.max("torn").alias("torn")), "hooked")
         top = flat.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("up"))
-        # A parent may have very many children; its row says how many.
         up = written(flat.groupBy("parent").agg(F.count("*").alias("n")).join(top, "parent", "left"), "tops")
-        jumped = join_unique(flat, up, "parent", "n").select("child", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
+        jumped = join_unique(flat, up, "parent", "n").select("child", F.coalesce("up", "parent").alias("parent"), (F.col("up").isNotNull() | F.col("torn")).alias("moved"))
         last, step = step, written(jumped.groupBy("child", "parent").agg(F.max("moved").alias("moved")), "jumped")
-        settled = step.where("moved").isEmpty() and least.where("least <> most").isEmpty()
-        dropped(last, least, flat, up)
+        settled = step.where("moved").isEmpty()
+        dropped(last, flat, up)
         if settled:
             return step.select("child", "parent")
     raise RuntimeError("components did not settle")

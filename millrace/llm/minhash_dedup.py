@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.spread import spread
 from millrace.llm.common import addressed, dropped, join_unique, mix64, settled, written
 from millrace.llm.components import Forest, components
 from millrace.llm.words import slices, words
@@ -141,7 +142,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
 
     size_of = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     rows = addressed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), size_of.alias("bytes"))
-    return rows.mapInArrow(run, "id long, file long, row long, bytes long, n long, key binary, bands array<long>, low binary")
+    return spread(rows).mapInArrow(run, "id long, file long, row long, bytes long, n long, key binary, bands array<long>, low binary")
 
 
 def _against_hubs(pairs: DataFrame, nodes: DataFrame, column: str, check: Callable[[pa.Array], Callable[[int, int], np.ndarray]]) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.spread import spread
 from millrace.llm.common import mix64, more_fields
 from millrace.llm.words import slices, words
 
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scored(docs: DataFrame, model: QualityModel, text_col: str, keep: list[str]) -> DataFrame:
     """The keep columns nested in ``in``, and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("in"), docs[f"`{text_col}`"].alias("text"))
+    rows = spread(docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("in"), docs[f"`{text_col}`"].alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from millrace.functions.spread import spread
 from millrace.llm.common import more_fields, written
 from millrace.llm.words import SPACES, Known, gathered, slices, words
 
@@ -125,7 +126,7 @@ def tokenised_pieces(docs: DataFrame, spec: bytes, capacity: int = 4096, end_id:
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "part", "rank"] + ["ids"] * with_ids
     schema = more_fields(docs.select(F.col(id_col)).schema, "piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids)
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))).mapInArrow(run, schema)
 
 
 # The plan -------------------------------------------------------------------

@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.spread import spread
 from millrace.llm.common import more_fields
 from millrace.llm.words import Known, chunks, gathered, is_letter, is_one_of, slices, text_bytes
 
@@ -298,7 +299,7 @@ def encode_documents(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(proto)
-    narrow = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    narrow = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proto = shared.value
@@ -397,7 +398,7 @@ def frequent_lengths(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array(model.count_chunks([t for t, _ in top]), pa.int64()), pa.array([n for _, n in top], pa.int64())], names=["t", "n", "seen"])
 
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(share)) == 0).select(F.col(text_col))
-    rows = some.mapInArrow(run, "t string, n long, seen long").groupBy("t", "n").agg(F.sum("seen").alias("seen"))
+    rows = spread(some).mapInArrow(run, "t string, n long, seen long").groupBy("t", "n").agg(F.sum("seen").alias("seen"))
     got = rows.orderBy(F.desc("seen"), "t").limit(entries).collect()
     return [r["t"] for r in got], [r["n"] for r in got]
 
@@ -410,7 +411,7 @@ def count_tokens(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     known, lengths = frequent_lengths(docs, proto, id_col, text_col) if table is None else table
     shared = spark.sparkContext.broadcast((proto, pa.array(known, pa.string()), np.array(lengths, np.int64)))
-    narrow = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    narrow = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proto, known, lengths = shared.value

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.spread import spread
 from millrace.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -249,7 +250,7 @@ def fit(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> PiiM
                         seen.update(pattern_key(text, s, False) for s in find_loose(text, base))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
 
-    rows = docs.select(F.col(text_col)).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = spread(docs.select(F.col(text_col))).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     return fit_counts({r["key"]: r["n"] for r in rows}, threshold)
 
 
@@ -291,7 +292,7 @@ def find_pii(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col:
     schema = docs.select(F.col(id_col)).schema
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema.add("base", "string").add("spans", "string"))
+    return spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))).mapInArrow(run, schema.add("base", "string").add("spans", "string"))
 
 
 def redact_text(text: str, spans: Sequence[tuple[str, int, int]]) -> str:
@@ -314,6 +315,6 @@ def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFram
                 text = [t and redact_text(t, model.spans(t)[1]) for t in b.column(k).to_pylist()]
                 yield b.set_column(k, b.schema.field(k), pa.array(text, b.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.spread import spread
+
 SPACE = r"[\x20\x09-\x0D]"
 _TRIM = " \t\n\x0b\x0c\r"
 
@@ -90,7 +92,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     trimmed = F.btrim(text, F.lit(_TRIM))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_TRIM)) != "")
-    first = docs.select(F.struct(F.col(id_col), *[F.col(c) for c in keep]).alias("_row"), text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
+    first = spread(docs).select(F.struct(F.col(id_col), *[F.col(c) for c in keep]).alias("_row"), text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
     measures = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
