@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import dropped, join_unique, written
@@ -71,17 +71,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     edges = links.select(F.col(a).cast("long").alias("child"), F.col(b).cast("long").alias("parent")).where("child is not null and parent is not null")
     step = written(edges.mapInArrow(_contracted, "child long, parent long").distinct(), "links")
     for _ in range(most_rounds):
-        edges = step.select("child", "parent")
         # A child has one parent a task at most at first, and few later on; a parent may have very many children.
-        least = edges.groupBy("child").agg(F.min("parent").alias("least"), F.max("parent").alias("most"))
-        held = edges.join(least, "child")
+        own = Window.partitionBy("child")
+        held = step.select("child", "parent", F.min("parent").over(own).alias("least"), F.max("parent").over(own).alias("most"))
         links_ = F.array(F.struct("child", F.col("least").alias("parent")), F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")))
         new = held.select(F.explode(F.when(F.col("parent") == F.col("least"), F.slice(links_, 1, 1)).otherwise(links_)).alias("l"), (F.col("least") != F.col("most")).alias("torn"))
         flat = written(new.groupBy("l.child", "l.parent").agg(F.max("torn").alias("torn")), "hooked")
-        top = flat.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("up"))
-        up = written(flat.groupBy("parent").agg(F.count("*").alias("n")).join(top, "parent", "left"), "tops")
+        # Per parent its number of children and its own least parent.
+        ends = F.array(F.struct(F.col("parent").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("up")), F.struct(F.col("child").alias("at"), F.lit(0).alias("n"), F.col("parent").alias("up")))
+        up = flat.select(F.inline(ends)).groupBy(F.col("at").alias("parent")).agg(F.sum("n").alias("n"), F.min("up").alias("up")).where("n > 0")
+        up = written(up, "tops")
         jumped = join_unique(flat, up, "parent", "n").select("child", F.coalesce("up", "parent").alias("parent"), (F.col("up").isNotNull() | F.col("torn")).alias("moved"))
-        last, step = step, written(jumped.groupBy("child", "parent").agg(F.max("moved").alias("moved")), "jumped")
+        # Repeats are dropped as the next round hooks; in the last one nothing moves, so there are none.
+        last, step = step, written(jumped, "jumped")
         settled = step.where("moved").isEmpty()
         dropped(last, flat, up)
         if settled:

@@ -44,7 +44,7 @@ from millrace.llm.components import Forest, components
 from millrace.llm.words import slices, words
 
 T, BANDS, ROWS = 160, 32, 5
-#: Members of a hub that are compared in one part, and classes of a bucket that meet at a time.
+#: Members of a hub that are compared in one part at least, and classes of a bucket that meet at a time.
 PART, BLOCK = 4096, 1024
 #: Bytes of text of one block's members, and of texts whose sets are made together.
 BLOCK_BYTES, SLICE = 16 << 20, 4 << 20
@@ -148,16 +148,19 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
 def _against_hubs(pairs: DataFrame, nodes: DataFrame, column: str, check: Callable[[pa.Array], Callable[[int, int], np.ndarray]]) -> DataFrame:
     """The pairs (a, b) of a class and its hub that hold under ``check`` of their nodes' ``column``.
 
-    A hub's members come in parts, each behind a copy of the hub's row, so that a
-    large group is spread over tasks; rows are streamed and no group is gathered.
+    A large hub's members come in parts, each behind a copy of the hub's row, so that
+    they are spread over tasks; rows are streamed and no group is gathered.
     check takes an array of values and gives a function of two positions.
     """
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    sizes = written(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", parts), "hub-sizes")
+    sizes = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "hub-sizes")
+    # Hubs with over a thousandth of all pairs, a thousand at most, are broadcast with their numbers of parts.
+    least = max(PART, (sizes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    large = F.broadcast(sizes.where(F.col("n") > least).select("b", F.ceil(F.col("n") / least).cast("int").alias("parts")))
     of = nodes.select("cid", F.col(column).alias("v"))
-    members = join_unique(pairs, sizes, "b", "n").select("b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "a")
+    members = pairs.join(large, "b", "left").select("b", F.coalesce(F.pmod(F.xxhash64("a"), "parts").cast("int"), F.lit(0)).alias("part"), "a")
     members = members.join(of.withColumnRenamed("cid", "a"), "a").select("b", "part", "a", "v")
-    heads = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(of.withColumnRenamed("cid", "b"), "b")
+    heads = sizes.join(large, "b", "left").select("b", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    heads = heads.join(of.withColumnRenamed("cid", "b"), "b")
     rows = members.unionByName(heads.select("b", "part", F.lit(None).cast("long").alias("a"), "v"))
     rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
@@ -199,14 +202,14 @@ def _text_check(size: int, threshold: float):
 def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float) -> DataFrame:
     """Links (a, b) across components, of buckets that hold several.
 
-    bucketed: (bh, cid, hub). A pair is compared in the first band it shares, and
+    bucketed: (bh, cid, bytes, hub). A pair is compared in the first band it shares, and
     not where it was compared as (member, hub) before. Blocks first meet with
     their sketches; only members that have a candidate come again with their
     texts, and what leaves a task then is links alone.
     """
     least = least_agreement(threshold)
-    placed = bucketed.join(roots, F.col("cid") == F.col("child"), "left").select("bh", "cid", "hub", F.coalesce("parent", "cid").alias("comp"))
-    placed = written(placed.join(nodes.select("cid", "bytes"), "cid"), "placed")
+    placed = bucketed.join(roots, F.col("cid") == F.col("child"), "left").select("bh", "cid", "hub", "bytes", F.coalesce("parent", "cid").alias("comp"))
+    placed = written(placed, "placed")
     mixed = placed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("bytes").alias("total"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
     mixed = written(mixed.where("lo <> hi and size > 2").select("bh", "size", blocks.alias("blocks")), "mixed")
@@ -263,11 +266,10 @@ def _resolved(docs: DataFrame, size: int, threshold: float, id_col: str, text_co
     reps = sig.where("key is not null and id is not null").groupBy("key").agg(rep, F.count("*").alias("n_rows"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     # Classes are numbered as they are written, so the numbers are fixed from here on.
     reps = written(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    rows = reps.select("cid", F.explode("bands").alias("bh"))
+    rows = reps.select("cid", "bytes", F.explode("bands").alias("bh"))
     hubs = written(rows.groupBy("bh").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
     bucketed = written(join_unique(rows, hubs, "bh", "size"), "bucketed")
-    needed = written(bucketed.select("cid").distinct(), "needed")
-    light = reps.join(needed.hint("merge"), "cid", "left_semi").select("cid", F.col("rep.file").alias("file"), F.col("rep.row").alias("row"), "bytes", "bands", "low")
+    light = reps.join(bucketed.select("cid").hint("merge"), "cid", "left_semi").select("cid", F.col("rep.file").alias("file"), F.col("rep.row").alias("row"), "bytes", "bands", "low")
     texts = addressed(docs, F.col(text_col).alias("t"))
     nodes = written(light.hint("merge").join(texts, ["file", "row"]).select("cid", "bytes", "bands", "low", "t"), "nodes")
     star = written(bucketed.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "star")
@@ -280,7 +282,7 @@ def _resolved(docs: DataFrame, size: int, threshold: float, id_col: str, text_co
     classes = written(reps.select("key", "rep", "n_rows", "cid").join(roots, F.col("cid") == F.col("child"), "left").select("key", "rep", "n_rows", F.coalesce("parent", "cid").alias("root")), "rooted")
     tops = written(classes.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("n")), "component-tops")
     by_key = written(join_unique(classes.drop("rep"), tops, "root", "n").select("key", "top", "n_rows"), "by-key")
-    dropped(reps, hubs, bucketed, needed, nodes, star, agreeing, first, rest, classes, tops)
+    dropped(reps, hubs, bucketed, nodes, star, agreeing, first, rest, classes, tops)
     narrow = sig.select("id", "file", "row", "n", "key")
     able = F.col("key").isNotNull() & F.col("id").isNotNull()
     unable = narrow.where(~able).withColumn("top", F.lit(None).cast(by_key.schema["top"].dataType))
