@@ -1,10 +1,11 @@
 """Connected components of a link table, without gathering links anywhere.
 
-The links are (child, parent) rows with parent < child. Each round gives every
-child its smallest parent, links its other parents to that one, and then lets
-each parent stand for its own smallest parent. The rounds end when no parent is
-a child; trees halve in depth each round. Every round is written to the shared
-folder. Before the first, each task reduces its own links to a spanning forest.
+The links are (child, parent) rows with parent < child. In each round every task
+first reduces its own links to a spanning forest, in runs of bounded size; then
+every child gets its smallest parent, its other parents are linked to that one,
+and each parent stands for its own smallest parent. The rounds end when no parent
+is a child; trees halve in depth each round at least. Every round is written to
+the shared folder.
 """
 
 from __future__ import annotations
@@ -73,7 +74,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         # A child has one parent a task at most at first, and few later on; a parent may have very many children.
         own = Window.partitionBy("child")
-        held = step.select("child", "parent", F.min("parent").over(own).alias("least"), F.max("parent").over(own).alias("most"))
+        forests = step.select("child", "parent").mapInArrow(_contracted, "child long, parent long")
+        held = forests.select("child", "parent", F.min("parent").over(own).alias("least"), F.max("parent").over(own).alias("most"))
         links_ = F.array(F.struct("child", F.col("least").alias("parent")), F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")))
         new = held.select(F.explode(F.when(F.col("parent") == F.col("least"), F.slice(links_, 1, 1)).otherwise(links_)).alias("l"), (F.col("least") != F.col("most")).alias("torn"))
         flat = written(new.groupBy("l.child", "l.parent").agg(F.max("torn").alias("torn")), "hooked")
