@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding_dedup, minhash_dedup, nbsvm, packing, pieces, pii, quality_rules, shards, url_filter
+from millrace.llm import embedding_dedup, filter_audit, line_dedup, minhash_dedup, nbsvm, packing, pieces, pii, quality_rules, replay, shards, url_filter
 
 
 @cache
@@ -70,6 +70,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.clean(_table(spark, sf_dir, "documents"), least_documents=10, least_length=1)
+    return rows.select("in.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_cascading_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +95,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_minhash": op10_minhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_cascading_release": op13_cascading_release,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -163,10 +180,81 @@ root AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id)
 SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept
 FROM d JOIN root USING (id) LEFT JOIN n USING (id)"""
 
+_FAILS = " || ".join(
+    f"CASE WHEN {c} THEN '{f}' ELSE '' END"
+    for f, c in (
+        ("A", "len(w) < 200"),
+        ("B", "100 * len(list_distinct(w)) < 50 * len(w)"),
+        ("C", "100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)"),
+        ("D", "regexp_matches(t, '[#$%&*|]')"),
+        ("E", "doc_id > min(doc_id) OVER (PARTITION BY t)"),
+    )
+)
+_OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+f AS (SELECT doc_id, part, {_FAILS} AS fails FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(string_split('ABCDE', '')) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o),
+m AS (SELECT part, n, good, toxic, filter_order, step, filter_order[step] AS letter, contains(fails, filter_order[step]) AS own, fails = filter_order[step] AS sole,
+             regexp_matches(fails, '[' || filter_order[:step - 1] || '-]') AS gone FROM c, s),
+k AS (SELECT part, filter_order, step, letter,
+             sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN sole THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM m GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM k"""
+
+_OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM x),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key))
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid"""
+
+
+def _crc(values: str) -> str:
+    """CRC-32 of a list of byte values, by the table ``tab``."""
+    return f"xor(list_reduce({values}, lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_HEX = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda y: ((strpos('0123456789ABCDEF', y[1]) - 1) * 16 + strpos('0123456789ABCDEF', y[2]) - 1)::BIGINT)"
+_KEY = "list_transform(string_split(k || ':' || conv_id || ':' || turn, ''), lambda y: ord(y)::BIGINT)"
+# The first attempt that delivers; null where none does.
+_ATTEMPT = "list_filter(range(1, 7), lambda k: repair < 0 OR (start + 20 * (pow(2, k - 1) - 1) >= 7 * p + repair AND NOT f[k]))[1]"
+_OP13_SQL = rf"""
+WITH RECURSIVE bits AS (
+  SELECT b::BIGINT AS b, 0 AS k, b::BIGINT AS c FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tabs AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE k = 8),
+t AS (SELECT row_number() OVER () AS rid, conv_id, turn, {_crc(_HEX)} AS crc FROM conversations, tabs),
+h AS (SELECT rid, list({_crc(_KEY)} ORDER BY k) AS h FROM (SELECT rid, conv_id, turn, tab, unnest(range(9)) AS k FROM t, tabs) GROUP BY rid),
+v AS (SELECT conv_id, turn, crc, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, crc) - 1) AS p, h[1] % 5 AS d,
+             CASE WHEN h[2] % 101 < 50 THEN h[3] % 101 ELSE -1 END AS repair, list_transform(h[4:9], lambda x: x % 3 = 0) AS f FROM t JOIN h USING (rid)),
+r AS (
+  SELECT *, {_ATTEMPT} AS a FROM (SELECT *, 7 * p AS start, false AS blocked FROM v WHERE d = 0 OR d > p)
+  UNION ALL
+  SELECT *, {_ATTEMPT} AS a
+  FROM (SELECT v.*, CASE WHEN NOT r.blocked AND r.a IS NOT NULL THEN greatest(7 * v.p, r.start + 20 * (pow(2, r.a - 1) - 1)::BIGINT) END AS start, r.blocked OR r.a IS NULL AS blocked
+        FROM v JOIN r ON r.conv_id = v.conv_id AND r.p = v.p - v.d WHERE v.d > 0)),
+o AS (SELECT conv_id, turn, p, crc, CASE WHEN blocked THEN 'blocked' WHEN a IS NULL THEN 'dead' ELSE 'delivered' END AS status,
+             (CASE WHEN blocked THEN 0 ELSE coalesce(a, 6) END)::INT AS attempts, start AS first_at, CASE WHEN NOT blocked THEN (start + 20 * (pow(2, coalesce(a, 6) - 1) - 1))::BIGINT END AS last_at
+      FROM r),
+n AS (SELECT *, CASE WHEN status = 'delivered' THEN row_number() OVER (PARTITION BY conv_id, status ORDER BY last_at, turn, p) END AS release_no FROM o)
+SELECT conv_id, turn, status, attempts, first_at, last_at, release_no, (sum(release_no * crc) OVER (PARTITION BY conv_id, status ORDER BY release_no))::BIGINT AS state
+FROM n"""
 
 ORACLE_SQL = {
     "op2_url_filter": _op2_sql(),
     "op4_quality_rules": _op4_sql(),
     "op9_embedding_dedup": _OP9_SQL,
     "op10_minhash": _OP10_SQL,
+    "op11_filter_audit": _OP11_SQL,
+    "op12_line_dedup": _OP12_SQL,
+    "op13_cascading_release": _OP13_SQL,
 }
