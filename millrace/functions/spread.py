@@ -1,4 +1,4 @@
-"""Spreading rows of few files over all cores."""
+"""Spreading the rows of a small scan over all cores."""
 
 from __future__ import annotations
 
@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt out evenly where it comes from fewer files than there are cores; else as it is.
+    """df dealt out evenly where Spark would read it in fewer tasks than there are cores; else as it is.
 
-    A file may be one row group, which one task reads and works through alone.
-    Tables of many files, as large ones are, aren't moved.
+    For work that takes long on each row. Only a plain scan is dealt out: other
+    plans have been dealt out before. The scan is planned, not run.
     """
-    files, cores = len(df._jdf.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files < cores else df
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().apply(0)
+    if node.nodeName() != "LogicalRelation":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < parts < cores else df

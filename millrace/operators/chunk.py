@@ -19,7 +19,7 @@ from millrace.config import ARTICLE_PATTERNS, Chunking
 from millrace.functions.text import strip
 
 # Fixed values.
-SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
+SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", " ", "")
 ANNEX_WORDS = ("ilova", "приложение", "annex")
 LABEL_CHARS = 40
 

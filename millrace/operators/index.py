@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.folders import kept
+from millrace.functions.spread import spread
 from millrace.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -25,7 +26,8 @@ def chunk_metadata(chunks: DataFrame, department: str = "general", access_level:
 
 
 def token_table(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    return chunks.select(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    rows = spread(chunks.select(F.col(key).alias("key"), F.col(text).alias("_text")))
+    return rows.select("key", tokens(F.coalesce(F.col("_text"), F.lit(""))).alias("tokens"))
 
 
 def exploded(terms: Column) -> Column:

@@ -1,7 +1,7 @@
 """Prompts, settings, and an adapter that puts a text-completion endpoint behind the answer loop.
 
 The endpoint is a function of a prompt and its settings that gives text. It is
-made once per Python worker, when a batch first needs it, and called for many
+made once per task, when a batch first needs it, and called for many
 rows at a time within an Arrow batch; a call that fails, takes too long or gives
 no usable reply is repeated, and in the end gives null, for which the loop has a
 default. Equal prompts of a batch are asked once.
@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as TooLong
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import count
+from queue import Empty, SimpleQueue
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,34 +77,65 @@ def usable(reply: str | None, wanted: str | None) -> bool:
         return False
 
 
+class Calls:
+    """Calls of one endpoint, ``parallel`` at a time, each with its own time limit from the moment it starts.
+
+    A call that overruns is given up and its place goes to another: its thread is
+    left behind (a daemon, since a call can't be stopped from outside), so prompts
+    that come later are asked whatever hung before them.
+    """
+
+    def __init__(self, call: Callable[[str, dict], str], settings: dict, wanted: str | None, attempts: int, seconds: float, parallel: int):
+        self.call, self.settings, self.wanted = call, settings, wanted
+        self.attempts, self.seconds, self.parallel = attempts, seconds, parallel
+
+    def replies(self, prompts: Iterable[str]) -> dict[str, str | None]:
+        """Each prompt's reply; null where no attempt gave a usable one."""
+        waiting, known = deque((p, 1) for p in prompts), {}
+        running: dict[int, tuple[str, int, float]] = {}  # by number: prompt, attempt, when it is given up
+        ended: SimpleQueue = SimpleQueue()
+        numbers = count()
+
+        def run(number: int, text: str) -> None:
+            try:
+                ended.put((number, self.call(text, self.settings)))
+            except Exception:  # noqa: BLE001 - whatever the endpoint raises, the call counts as failed
+                ended.put((number, None))
+
+        while waiting or running:
+            while waiting and len(running) < self.parallel:
+                text, attempt = waiting.popleft()
+                number = next(numbers)
+                running[number] = (text, attempt, time.monotonic() + self.seconds)
+                threading.Thread(target=run, args=(number, text), daemon=True).start()
+            over = []
+            try:
+                number, reply = ended.get(timeout=max(0.0, min(end for *_, end in running.values()) - time.monotonic()))
+                if number in running:  # else it came after it was given up
+                    over = [(number, reply)]
+            except Empty:
+                now = time.monotonic()
+                over = [(number, None) for number, (*_, end) in running.items() if end <= now]
+            for number, reply in over:
+                text, attempt, _ = running.pop(number)
+                if usable(reply, self.wanted):
+                    known[text] = reply
+                elif attempt < self.attempts:
+                    waiting.append((text, attempt + 1))
+                else:
+                    known[text] = None
+        return known
+
+
 def asked(endpoint: Callable[[], Callable[[str, dict], str]], settings: dict, wanted: str | None, attempts: int, seconds: float, parallel: int) -> Callable[[Column], Column]:
     """A function from prompts to replies: up to ``attempts`` calls of ``seconds`` each, then null."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        call, pool = None, ThreadPoolExecutor(parallel)
-
-        def one(text: str) -> str | None:
-            for _ in range(attempts):
-                try:
-                    reply = call(text, settings)
-                except Exception:  # noqa: BLE001, S112 - whatever the endpoint raises, the call counts as failed
-                    continue
-                if usable(reply, wanted):
-                    return reply
-            return None
-
+        calls = None
         for prompts in batches:
-            call = call or endpoint()
-            waiting = {p: pool.submit(one, p) for p in prompts.dropna().unique()}
-            known = {}
-            for p, reply in waiting.items():
-                try:
-                    known[p] = reply.result(seconds * attempts)
-                except TooLong:
-                    known[p] = None
-            yield prompts.map(known, na_action="ignore").astype(object)
-        pool.shutdown(wait=False, cancel_futures=True)
+            calls = calls or Calls(endpoint(), settings, wanted, attempts, seconds, parallel)
+            yield prompts.map(calls.replies(prompts.dropna().unique()), na_action="ignore").astype(object)
 
     return run
 

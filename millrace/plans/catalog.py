@@ -39,8 +39,12 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    table = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(table) if name == "documents" else table  # its texts are what takes time
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, for queries whose time goes into their texts."""
+    return spread(_t(spark, d, "documents"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -313,20 +317,20 @@ def _only_cyr(col: Column) -> Column:
 
 @query(f"SELECT doc_id, sha256({S.clean(S.dirty('text'))}) AS sha, length({S.clean(S.dirty('text'))})::INT AS n FROM documents")
 def clean_whitespace(spark, d):
-    return _t(spark, d, "documents").select("doc_id", text.clean_whitespace(_dirty(F.col("text"))).alias("c")).select("doc_id", F.sha2("c", 256).alias("sha"), F.length("c").alias("n"))
+    return _texts(spark, d).select("doc_id", text.clean_whitespace(_dirty(F.col("text"))).alias("c")).select("doc_id", F.sha2("c", 256).alias("sha"), F.length("c").alias("n"))
 
 
 @query(f"SELECT doc_id, {S.script('text')} AS raw, {S.script(S.cyr('text'))} AS mixed, {S.script(S.only_cyr('text'))} AS cyrillic, {S.script(S.russian('text'))} AS russian FROM documents")
 def script_detect(spark, d):
     t = F.col("text")
     shown = {"raw": t, "mixed": _cyr(t), "cyrillic": _only_cyr(t), "russian": F.replace(_only_cyr(t), F.lit("о"), F.lit("ы"))}
-    return _t(spark, d, "documents").select("doc_id", *[text.detect_script(v).alias(k) for k, v in shown.items()])
+    return _texts(spark, d).select("doc_id", *[text.detect_script(v).alias(k) for k, v in shown.items()])
 
 
 @query(f"SELECT doc_id, sha256({S.latin(S.letters('text'))}) AS sha FROM documents")
 def translit(spark, d):
     both = F.concat(_cyr(F.col("text")), F.translate(_cyr(F.col("text")), S.CYR[1], S.CYR[1].upper()), F.lit("ШшЧчЮюЯяЁёЎўҒғҲҳҚқЪъЫыЭэЬьЩщ"))
-    return _t(spark, d, "documents").select("doc_id", F.sha2(text.to_latin(both), 256).alias("sha"))
+    return _texts(spark, d).select("doc_id", F.sha2(text.to_latin(both), 256).alias("sha"))
 
 
 @query(f"""
@@ -334,7 +338,7 @@ SELECT doc_id, CASE WHEN hint = 'uz-cyrl' THEN 'uz-latn' ELSE hint END AS hint,
 FROM (SELECT doc_id, c, {S.script('c')} AS hint FROM (SELECT doc_id, {S.clean(S.dirty_cyr('text'))} AS c FROM documents))""")
 def normalize_full(spark, d):
     dirty = F.replace(_dirty(_only_cyr(F.col("text"))), F.lit("e"), F.lit("\u0435"))
-    return _t(spark, d, "documents").select("doc_id", text.normalize(dirty).alias("n")).select("doc_id", "n.hint", F.sha2("n.text", 256).alias("sha"))
+    return _texts(spark, d).select("doc_id", text.normalize(dirty).alias("n")).select("doc_id", "n.hint", F.sha2("n.text", 256).alias("sha"))
 
 
 # Tables and paragraphs ---------------------------------------------------------
@@ -378,7 +382,7 @@ def _grouped(spark, d) -> DataFrame:
     def grouped(t: pd.Series) -> pd.Series:
         return t.map(lambda x: [{"content": c, "page": p} for c, p in files.grouped_paragraphs((x or "").split("\n"))])
 
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(grouped("text")).alias("block", "b")).select("doc_id", "block", "b.content", "b.page")
+    return _texts(spark, d).select("doc_id", F.posexplode(grouped("text")).alias("block", "b")).select("doc_id", "block", "b.content", "b.page")
 
 
 @query(f"SELECT doc_id, count(*) AS n_blocks, count(*) AS n_text, 0::BIGINT AS n_table, sum(n)::BIGINT AS chars, max(n)::BIGINT AS longest, max(page)::INT AS pages FROM ({S.PARAGRAPHS}) GROUP BY 1")
@@ -388,7 +392,7 @@ def ingest_report(spark, d):
 
 @query("SELECT doc_id, i::INT AS line, greatest(1, (sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i)) // 1500)::INT AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)")
 def page_approx(spark, d):
-    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    lines = _texts(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     upto = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return lines.select("doc_id", "line", F.greatest(F.lit(1), F.floor(F.sum(F.length("l") + 1).over(upto) / 1500)).cast("int").alias("page"))
 
@@ -398,7 +402,7 @@ def page_approx(spark, d):
 
 def _legal(spark, d) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when((i + 1) % 5 == 0, F.concat(F.lit("Ilova "), (i + 1).cast("string"), F.lit(" "))).otherwise(F.concat((i + 1).cast("string"), F.lit("-modda. "))), x))
-    return _t(spark, d, "documents").select("doc_id", F.lit("text").alias("kind"), F.array_join(lines, "\n").alias("content"))
+    return _texts(spark, d).select("doc_id", F.lit("text").alias("kind"), F.array_join(lines, "\n").alias("content"))
 
 
 def _segments(spark, d) -> DataFrame:
@@ -423,17 +427,16 @@ def annex_context(spark, d):
     return chunk.with_annex(_segments(spark, d), ["doc_id"], ["off"]).select("doc_id", "off", "article_label")
 
 
-@query()
+@query(f"WITH {S.pieces('SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL')} SELECT id AS doc_id, piece, length(content)::INT AS n, sha256(content) AS sha FROM pieces")
 def recursive_split(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(chunk.split_column(F.col("text"), 800, 120)).alias("piece", "content"))
+    rows = _texts(spark, d).select("doc_id", F.posexplode(chunk.split_column(F.col("text"), 800, 120)).alias("piece", "content"))
     return rows.select("doc_id", "piece", F.length("content").alias("n"), F.sha2("content", 256).alias("sha"))
 
 
 @query("SELECT doc_id, true AS short, true AS found, true AS begins, true AS ends, true AS whole, CASE WHEN length(text) <= 800 THEN 1::BIGINT END AS n_short FROM documents WHERE text IS NOT NULL AND (length(text) <= 800 OR regexp_matches(text, '[^ \n]'))")
 def split_laws(spark, d):
     """What holds of the pieces of every text: their size, places, ends, and that nothing but white space is left out."""
-    docs = _t(spark, d, "documents").where("text is not null")
-    pieces = docs.select("doc_id", F.explode(chunk.split_column(F.col("text"), 800, 120)).alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("p"))  # of one text
+    docs = _texts(spark, d).where("text is not null").select("doc_id", "text", chunk.split_column(F.col("text"), 800, 120).alias("p"))
     t, marks = F.col("text"), lambda c: F.length(F.regexp_replace(c, r"[\x00-\x20]", ""))
     laws = {
         "short": F.forall("p", lambda c: F.length(c) <= 800),
@@ -443,10 +446,10 @@ def split_laws(spark, d):
         "whole": F.aggregate("p", F.lit(0), lambda a, c: a + marks(c)) >= marks(t),
         "n_short": F.when(F.length(t) <= 800, F.size("p").cast("long")),
     }
-    return docs.join(pieces, "doc_id").select("doc_id", *[v.alias(k) for k, v in laws.items()])
+    return docs.where(F.size("p") > 0).select("doc_id", *[v.alias(k) for k, v in laws.items()])
 
 
-@query()
+@query(S.CHUNKS)
 def chunk_documents(spark, d):
     rows = _legal(spark, d).select(
         F.col("doc_id").cast("string").alias("source_path"), F.col("doc_id").cast("string").alias("filename"), F.sha2("content", 256).alias("file_hash"),
@@ -456,7 +459,7 @@ def chunk_documents(spark, d):
 
 
 def _line_chunks(spark, d) -> DataFrame:
-    lines = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.lit(None).cast("string").alias("article_label"), F.lit("f").alias("filename"), F.sha2("text", 256).alias("file_hash"), F.lit("en").alias("language_hint"), F.lit("text").alias("kind"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    lines = _texts(spark, d).select(F.col("doc_id").cast("string").alias("source_path"), F.lit(None).cast("string").alias("article_label"), F.lit("f").alias("filename"), F.sha2("text", 256).alias("file_hash"), F.lit("en").alias("language_hint"), F.lit("text").alias("kind"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     return chunk.numbered(lines.withColumn("content", text.strip(F.col("content"))).where(F.length("content") >= 30), ["line"])
 
 

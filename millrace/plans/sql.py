@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.functions import text
-from millrace.operators import agent, models
+from millrace.operators import agent, chunk, models
 
 #: Queries of the examples; "qqqq" is in no text.
 ASKED = [(1, "thereon the eaux standing"), (2, "qqqq"), (3, "Thoran qqqq Thoran"), (4, "...")]
@@ -180,6 +180,55 @@ heads AS (
          left({strip("regexp_extract(line, '^[^.—:-]*')")}, 40) AS label
   FROM lines)"""
 
+
+
+def pieces(rows: str, size: int = 800, overlap: int = 120) -> str:
+    """CTEs up to pieces (id, piece, content) of rows (id, text): split, merge, and split what is too long more finely.
+
+    One level a separator. path is the way to a part through the levels, and orders what comes out.
+    """
+    levels = [f"t0 AS (SELECT id, []::BIGINT[] AS path, text FROM src WHERE length(text) > {size})"]
+    for k, mark in enumerate(chunk.SEPARATORS):
+        here = f"contains(text, {_char(mark)})" if mark else "true"
+        parts = f"list_filter(list_transform(string_split(text, {_char(mark)}), lambda p, i: CASE WHEN i = 1 THEN p ELSE {_char(mark)} || p END), lambda p: p <> '')" if mark else "string_split(text, '')"
+        levels.append(f"s{k} AS (SELECT id, path, unnest(p) AS p, generate_subscripts(p, 1)::BIGINT AS i FROM (SELECT id, path, {parts} AS p FROM t{k} WHERE {here}))")
+        levels.append(f"r{k} AS (SELECT *, sum((length(p) >= {size})::INT) OVER (PARTITION BY id, path ORDER BY i) AS g FROM s{k})")
+        levels.append(f"m{k} AS (SELECT id, list_append(path, min(i)) AS path, list(p ORDER BY i) AS parts FROM r{k} WHERE length(p) < {size} GROUP BY id, path, g)")
+        levels.append(f"t{k + 1} AS (SELECT id, list_append(path, i) AS path, p AS text FROM r{k} WHERE length(p) >= {size} UNION ALL SELECT id, path, text FROM t{k} WHERE NOT {here})")
+    runs = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(len(chunk.SEPARATORS)))
+    joined = strip("array_to_string(a.run, '')")
+    # What of a run is kept as overlap: the longest tail that is short enough for itself and beside the next part.
+    rest = "list_sum(list_transform(a.run[j + 1:], lambda x: length(x)))"
+    tail = f"a.run[list_filter(range(0, len(a.run) + 1), lambda j: coalesce({rest}, 0) = 0 OR ({rest} <= {overlap} AND {rest} + e.total <= {size}))[1] + 1:]"
+    full = f"len(a.run) > 0 AND a.total + e.total > {size}"
+    step = f"CASE WHEN {full} THEN {{'done': list_append(a.done, {joined}), 'run': list_concat({tail}, e.run), 'total': coalesce(list_sum(list_transform({tail}, lambda x: length(x))), 0)::BIGINT + e.total}} ELSE {{'done': a.done, 'run': list_concat(a.run, e.run), 'total': a.total + e.total}} END"
+    fold = f"list_reduce(list_transform(parts, lambda p: {{'done': []::VARCHAR[], 'run': [p], 'total': length(p)::BIGINT}}), lambda a, e: {step})"
+    return f"""
+src AS MATERIALIZED ({rows}), {", ".join(levels)},
+folded AS (SELECT id, path, {fold} AS a FROM ({runs})),
+listed AS (SELECT id, path, list_filter(list_append(a.done, {joined}), lambda x: x <> '') AS p FROM folded),
+each AS (SELECT id, path, unnest(p) AS content, generate_subscripts(p, 1) AS i FROM listed),
+pieces AS (
+  SELECT id, 0::INT AS piece, text AS content FROM src WHERE length(text) <= {size}
+  UNION ALL SELECT id, (row_number() OVER (PARTITION BY id ORDER BY path, i) - 1)::INT, content FROM each)"""
+
+
+def _char(mark: str) -> str:
+    return "(" + " || ".join("chr(10)" if c == "\n" else quoted(c) for c in mark) + ")" if mark else "''"
+
+
+CHUNKS = f"""
+WITH {LEGAL},
+ctx AS (SELECT *, last_value(CASE WHEN lower(label) LIKE '%ilova%' THEN label END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY off) AS ctx FROM heads),
+segs AS (SELECT doc_id, off, {strip("line")} AS text, row_number() OVER () AS id, CASE WHEN ctx IS NULL OR lower(label) LIKE '%ilova%' THEN label ELSE ctx || ' / ' || label END AS article_label FROM ctx),
+hashes AS (SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS file_hash FROM lines GROUP BY 1),
+{pieces("SELECT id, text FROM segs")},
+c AS (SELECT s.doc_id, off, piece, {strip("content")} AS content, article_label FROM pieces JOIN segs s USING (id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY off, piece) - 1 AS n FROM c WHERE length(content) >= 30)
+SELECT printf('%s_%04d', file_hash[1:8], n) AS chunk_id, content, doc_id::VARCHAR AS source_path, doc_id::VARCHAR AS filename, file_hash, 1::INT AS page, 'text' AS kind,
+       article_label, 'en' AS language_hint, greatest(1, length(content) // 4)::INT AS token_estimate
+FROM n JOIN hashes USING (doc_id)"""
+
 # Conversations, grading ------------------------------------------------------------
 
 

@@ -207,3 +207,31 @@ def test_config(tmp_path):
     path.write_text("unknown: 1")
     with pytest.raises(ValueError):
         load_config(path)
+
+
+def test_commas_are_no_separators():
+    text = "word, " * 200
+    pieces = chunk.recursive_split(text)
+    assert all(len(p) <= 800 for p in pieces) and "".join(pieces).count(",") >= 200
+    # Cut at spaces: a comma stays with its word.
+    assert all(p.startswith("word") and p.endswith(",") for p in pieces)
+
+
+def test_spread_never_goes_below_what_spark_makes(spark, tmp_path):
+    from millrace.functions.spread import spread
+
+    spark.range(100_000).repartition(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(11).write.parquet(str(tmp_path / "many"))
+    parts = lambda df: df.rdd.getNumPartitions()
+    assert parts(spread(spark.read.parquet(str(tmp_path / "one")).where("id > 5").select("id"))) == spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        one = spark.read.parquet(str(tmp_path / "one"))
+        assert parts(spread(one)) == parts(one) > spark.sparkContext.defaultParallelism
+        grouped = one.groupBy("id").count()
+        assert spread(grouped) is grouped
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])

@@ -256,3 +256,29 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/1.json").write_text('{"v": 1}')
     ingest.audit_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp2").awaitTermination()
     assert spark.read.json(f"{tmp_path}/out").first()["v"] == 1
+
+
+def test_calls_that_hang_keep_no_place():
+    import threading
+    import time
+
+    from millrace.operators.models import Calls
+
+    stop, seen, lock = threading.Event(), [], threading.Lock()
+
+    def call(text, settings):
+        with lock:
+            seen.append(text)
+        if text.startswith("hang"):
+            stop.wait(20)
+        if text.startswith("once") and seen.count(text) == 1:
+            raise OSError("down")
+        return text.upper()
+
+    began = time.monotonic()
+    asked = ["hang 1", "hang 2", "a", "b", "once", "c"]
+    got = Calls(call, {}, None, attempts=2, seconds=0.4, parallel=2).replies(asked)
+    stop.set()
+    assert got == {"hang 1": None, "hang 2": None, "a": "A", "b": "B", "once": "ONCE", "c": "C"}
+    assert time.monotonic() - began < 5 and seen.count("hang 1") == 2 and seen.count("a") == 1
+    assert Calls(call, {}, None, 1, 1.0, 2).replies([]) == {}
