@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -56,22 +56,15 @@ def bm25_scores(table: DataFrame, queries: DataFrame) -> DataFrame:
     return _scored(hits, avgdl)
 
 
-def stored_scores(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """bm25_scores from what index.write_lexical wrote: only the postings of the queries' words are read."""
-    terms, post, avgdl = index.stored_terms(spark, path, words_of(queries))
-    return _scored(post.join(F.broadcast(terms), "term"), avgdl)
-
-
-def bm25_topk(table: DataFrame, queries: DataFrame, k: int = 20, zero_fill: bool = True, allowed: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+def bm25_topk(table: DataFrame, queries: DataFrame, k: int = 20, zero_fill: bool = True, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank); allowed: (query_id, key) pairs that a query may see.
 
     Chunks without any query word score 0 and fill up to k, the smallest keys
     first. Only queries with fewer than k chunks above 0 are filled: the keys
     that they can need are the table's smallest, k and one for each chunk that
-    such a query has scored. Queries without words give nothing. scores: what
-    bm25_scores or stored_scores gave, where it is at hand; table then has keys only.
+    such a query has scored. Queries without words give nothing.
     """
-    scored = bm25_scores(table, queries) if scores is None else scores
+    scored = bm25_scores(table, queries)
     if allowed is not None:
         scored = scored.join(allowed.select("query_id", "key"), ["query_id", "key"], "left_semi")
     if not zero_fill:
@@ -164,12 +157,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, allowed: Column | None = None) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, allowed: Column | None = None, on: list[str] | None = None) -> DataFrame:
     """(query_id, key, score, rank) by exact cosine; allowed filters before the ranking.
 
     queries (query_id, q) is a stated batch and is broadcast; vectors has key and v.
+    on: columns in which a query's row and a vector must be equal; a query may have
+    several rows, but no vector may meet it twice.
     """
-    pairs = vectors.join(F.broadcast(queries), allowed if allowed is not None else F.lit(True))
+    pairs = vectors.join(F.broadcast(queries), on) if on else vectors.join(F.broadcast(queries), allowed if allowed is not None else F.lit(True))
     scored = pairs.select("query_id", "key", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
     return top_k(scored, k, [F.col("score").desc(), F.col("key").asc()])
 

@@ -2,11 +2,11 @@
 
 The index is a log. Each run appends one version: the chunks and vectors that it
 adds, the (path, hash) pairs that it removes, and last the manifest rows, which
-commit the version. What a run writes there follows what changed, not the size
-of the index. Readers take versions up to the last committed one, and leave out
-chunks that a later version removes. After that the run writes the lexical index
-of the version anew, since its statistics are of all chunks; a search before
-this is done counts them from the chunks.
+commit the version. What a run writes follows what changed, not the size of the
+index, and so it is with the version's lexical segment. Readers take versions up
+to the last committed one, and leave out chunks that a later version removes.
+Chunks, vectors and postings lie in folders by department and access level, so a
+search opens what its readers may read.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import Config
-from millrace.operators import access, agent, chunk, index, retrieve
+from millrace.operators import access, agent, chunk, index, retrieve, segments
 from millrace.sources import files
 
-_CHUNK = "chunk_id string, file_hash string, filename string, source_path string, page int, article_label string, kind string, language_hint string, department string, access_level string, doc_version string, content string, token_estimate int, version int"
+_CHUNK = "chunk_id string, file_hash string, filename string, source_path string, page int, article_label string, kind string, language_hint string, doc_version string, content string, token_estimate int, version int, department string, access_level string"
 _TABLES = {
     "manifest": "source_path string, file_hash string, chunk_count int, version int",
     "chunks": _CHUNK,
-    "vectors": "source_path string, chunk_id string, file_hash string, v array<float>, version int",
+    "vectors": "source_path string, chunk_id string, file_hash string, v array<float>, version int, department string, access_level string",
     "gone": "source_path string, file_hash string, version int",
 }
 
@@ -45,8 +45,8 @@ def manifest(spark: SparkSession, index_dir: str) -> DataFrame:
     return rows.select("source_path", "m.file_hash", "m.chunk_count").where("file_hash is not null")
 
 
-def _current(spark: SparkSession, index_dir: str, name: str) -> DataFrame:
-    upto = last_version(spark, index_dir)
+def _current(spark: SparkSession, index_dir: str, name: str, upto: int | None = None) -> DataFrame:
+    upto = last_version(spark, index_dir) if upto is None else upto
     rows = _log(spark, index_dir, name).where(F.col("version") <= upto)
     gone = _log(spark, index_dir, "gone").where(F.col("version") <= upto).groupBy("source_path", "file_hash").agg(F.max("version").alias("_gone"))
     return rows.join(gone, ["source_path", "file_hash"], "left").where("_gone is null or _gone <= version").drop("_gone", "version")
@@ -65,8 +65,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def _lexical(index_dir: str, version: int) -> str:
-    return f"{index_dir}/lexical-{version}"
+def _lexical(index_dir: str) -> str:
+    return f"{index_dir}/lexical"
 
 
 def _keyed(table: DataFrame) -> DataFrame:
@@ -104,17 +104,21 @@ def build_index(spark: SparkSession, raw_dir: str, index_dir: str, department: s
     made = chunk.chunk_blocks(files.blocks_of(good), config.chunking)
     meta = index.chunk_metadata(made, department, access_level, doc_version).withColumn("department", access.department_of(files.relative(F.col("source_path"), raw_dir), department))
     rows = meta.join(made.select("source_path", "chunk_id", "content", "token_estimate"), ["source_path", "chunk_id"])
-    rows.write.mode("overwrite").parquet(f"{index_dir}/chunks/version={version}")
-    rows = spark.read.parquet(f"{index_dir}/chunks/version={version}")
+    rows.write.mode("overwrite").partitionBy("department", "access_level").parquet(f"{index_dir}/chunks/version={version}")
+    rows = spark.read.schema(_CHUNK).parquet(f"{index_dir}/chunks").where(F.col("version") == version)
     embed = embedder or retrieve.hash_embedder()
-    rows.select("source_path", "chunk_id", "file_hash", embed("content").alias("v")).write.mode("overwrite").parquet(f"{index_dir}/vectors/version={version}")
+    vectors_ = rows.select("source_path", "chunk_id", "file_hash", embed("content").alias("v"), "department", "access_level")
+    vectors_.write.mode("overwrite").partitionBy("department", "access_level").parquet(f"{index_dir}/vectors/version={version}")
     # A removal reaches the chunks of earlier versions; those written by this run stay.
     removed = changes.where("status = 'deleted'").unionByName(changes.where("status = 'changed'").join(good.select("source_path"), "source_path", "left_semi"))
     removed.select("source_path", F.col("old_hash").alias("file_hash")).write.mode("overwrite").parquet(f"{index_dir}/gone/version={version}")
+    # Chunks that end here, as the last version has them.
+    ended = _current(spark, index_dir, "chunks", version - 1).join(spark.read.parquet(f"{index_dir}/gone/version={version}"), ["source_path", "file_hash"], "left_semi")
+    as_rows = lambda df: _keyed(df).select("key", "department", "access_level", F.col("content").alias("text"))
+    segments.append(spark, _lexical(index_dir), version, as_rows(rows), as_rows(ended))
     count = index.next_manifest(good.select("source_path", "file_hash"), rows)
     dropped = changes.where("status = 'deleted'").select("source_path", F.lit(None).cast("string").alias("file_hash"), F.lit(0).alias("chunk_count"))
     count.unionByName(dropped).write.mode("overwrite").parquet(f"{index_dir}/manifest/version={version}")
-    index.write_lexical(index.token_table(_keyed(chunks(spark, index_dir)), "key", "content"), _lexical(index_dir, version))
     failed = parsed.agg(F.count_if(F.col("error").isNotNull()).alias("failed"))
     return index.run_summary(changes).join(failed)
 
@@ -122,22 +126,20 @@ def build_index(spark: SparkSession, raw_dir: str, index_dir: str, department: s
 def search(spark: SparkSession, index_dir: str, queries: DataFrame, config: Config | None = None, embedder=None) -> DataFrame:
     """(query_id, key, score, rank, fusion, passage) of each query (query_id, query, department, clearance).
 
-    key is path and chunk id. Lexical statistics are of the whole index; what a
-    reader may not see is filtered after scoring, and before ranking.
+    key is path and chunk id. Lexical statistics are of the whole index; folders
+    that no reader of the batch may open are not read, and a query meets the rows
+    of its own reader's folders only.
     """
     config, embed = config or Config(), embedder or retrieve.hash_embedder()
-    table = _keyed(chunks(spark, index_dir))
-    allowed = access.readable_pairs(queries.select("query_id", "department", "clearance"), table.select("key", "department", "access_level")).select("query_id", "key")
-    stored, words = _lexical(index_dir, last_version(spark, index_dir)), index.token_table(table, "key", "content")
-    # The mean is the last of its tables that a run writes.
-    scores = retrieve.stored_scores(spark, stored, queries) if _exists(spark, f"{stored}/mean/_SUCCESS") else retrieve.bm25_scores(words, queries)
-    lexical = retrieve.bm25_topk(words, queries, config.retrieval.top_k_bm25, allowed=allowed, scores=scores)
-    own = _keyed(vectors(spark, index_dir)).select("key", "v").join(table.select("key", F.col("department").alias("_d"), "access_level"), "key")
-    asked = queries.select("query_id", F.col("department").alias("_dq"), "clearance", embed("query").alias("q"))
-    may = access.readable(F.col("_dq"), F.col("clearance"), F.col("_d"), F.col("access_level"))
-    vector = retrieve.vector_topk(own, asked, config.retrieval.top_k_vector, may)
+    upto = last_version(spark, index_dir)
+    lexical = segments.Search(spark, _lexical(index_dir), queries, config.retrieval.top_k_bm25, upto).filled()
+    folders = segments.open_to(queries)
+    own = segments.only(_keyed(_current(spark, index_dir, "vectors", upto)), folders).select("key", "v", "department", "access_level")
+    asked = queries.select("query_id", embed("query").alias("q")).join(folders, "query_id")
+    vector = retrieve.vector_topk(own, asked, config.retrieval.top_k_vector, on=["department", "access_level"])
     fused = retrieve.rrf(vector, lexical, config.retrieval.rrf_k, config.retrieval.top_k_after_fusion)
-    return fused.join(table, "key").join(queries.select("query_id", "query"), "query_id")
+    table = segments.only(_keyed(_current(spark, index_dir, "chunks", upto)), folders)
+    return table.join(F.broadcast(fused), "key").join(queries.select("query_id", "query"), "query_id")
 
 
 def passages(spark: SparkSession, index_dir: str, queries: DataFrame, config: Config | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from millrace.config import Agent
 from millrace.functions import tables, text
 from millrace.functions.folders import kept, shared_folder
 from millrace.functions.spread import spread
-from millrace.operators import access, agent, audit, chunk, index, models, reports, retrieve
+from millrace.operators import access, agent, audit, chunk, index, models, reports, retrieve, segments
 from millrace.plans import sql as S
 from millrace.sources import files
 
@@ -114,12 +114,43 @@ def bm25_batch(spark, d):
     return retrieve.bm25_topk_long(index.token_table(_docs(spark, d), "key", "text"), _passages_asked(spark, d), 5)
 
 
+def _segment(docs: DataFrame) -> DataFrame:
+    return docs.select("key", "department", "access_level", "text")
+
+
 @query(S.bm25_top(S.asked(1, 2, 3, 4), 10))
 def bm25_stored(spark, d):
     path = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
-    index.write_lexical(index.token_table(_docs(spark, d), "key", "text"), path)
-    asked = _asked(spark)
-    return retrieve.bm25_topk(_docs(spark, d), asked, 10, scores=retrieve.stored_scores(spark, path, asked))
+    segments.append(spark, path, 1, _segment(_docs(spark, d)))
+    return segments.Search(spark, path, _asked(spark), 10, 1).filled()
+
+
+@query(S.SEGMENTS)
+def lexical_segments(spark, d):
+    # All documents but some, then a version that adds, changes and removes; read as segments, and as one.
+    path, docs = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}", _segment(_docs(spark, d))
+    last = F.pmod(F.col("key"), F.lit(10))
+    segments.append(spark, path, 1, docs.where(last != 3))
+    changed = docs.where(last.isin(3, 5)).withColumn("text", F.when(last == 5, F.concat("text", F.lit(" thereon thereon"))).otherwise(F.col("text")))
+    segments.append(spark, path, 2, changed, docs.where(last.isin(5, 7)))
+    segments.compact(spark, path, f"{path}-one", 2)
+    found = [segments.Search(spark, p, _asked(spark), 10, v).filled().withColumn("form", F.lit(form)) for p, v, form in ((path, 2, "segments"), (f"{path}-one", 1, "compacted"))]
+    return found[0].unionByName(found[1])
+
+
+@query(S.ACCESS_TOP)
+def access_stored(spark, d):
+    path, docs = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}", _docs(spark, d)
+    segments.append(spark, path, 1, _segment(docs))
+    hits = segments.Search(spark, path, _readers(spark), 3, 1).filled()
+    return docs.join(F.broadcast(hits), "key").select("query_id", "key", "score", "rank", "department")
+
+
+def _readers(spark) -> DataFrame:
+    """Three queries of three readers."""
+    readers = spark.createDataFrame([(i, dep, "internal") for i, dep in enumerate(S.READERS)], "reader int, department string, clearance string")
+    asked = _asked(spark).where("query_id < 4").join(F.broadcast(readers))
+    return asked.select((F.col("query_id") * 10 + F.col("reader")).alias("query_id"), "query", "department", "clearance")
 
 
 # Vector search, fusion, reranking ----------------------------------------------
@@ -216,10 +247,7 @@ def retrieval_report(spark, d):
 
 @query(S.ACCESS_TOP)
 def access_matrix_top(spark, d):
-    docs = _docs(spark, d)
-    readers = spark.createDataFrame([(i, dep, "internal") for i, dep in enumerate(S.READERS)], "reader int, department string, clearance string")
-    asked = _asked(spark).where("query_id < 4").join(F.broadcast(readers))  # three queries and three readers
-    asked = asked.select((F.col("query_id") * 10 + F.col("reader")).alias("query_id"), "query", "department", "clearance")
+    docs, asked = _docs(spark, d), _readers(spark)
     allowed = access.readable_pairs(asked.select("query_id", "department", "clearance"), docs.select("key", "department", "access_level")).select("query_id", "key")
     hits = retrieve.bm25_topk(index.token_table(docs, "key", "text"), asked, 3, allowed=allowed)
     return docs.join(F.broadcast(hits), "key").select("query_id", "key", "score", "rank", "department")

@@ -64,6 +64,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id::INT AS query_id, key, score, rank::INT AS rank FROM ranked WHERE rank <= {k}"""
 
 
+_SNAP = "snap AS (SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN text || ' thereon thereon' ELSE text END AS text, source, lang FROM documents WHERE doc_id % 10 <> 7)"
+SEGMENTS = f"""
+WITH {_SNAP}, found AS ({bm25_top(asked(1, 2, 3, 4), 10).replace("documents", "snap")})
+SELECT *, unnest(['segments', 'compacted']) AS form FROM found"""
+
+
 def vector_top(which: str, k: int, allowed: str = "true") -> str:
     return f"""
 WITH q AS (SELECT vec_id::INT AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE {which}),

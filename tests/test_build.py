@@ -34,9 +34,10 @@ def test_index_follows_the_folder(spark, tmp_path):
     asked = spark.createDataFrame([("q1", "How long does vacation last", "it", "public"), ("q2", "vacation", "hr", "nonsense")], "query_id string, query string, department string, clearance string")
     hits = build.search(spark, out, asked).orderBy("query_id").collect()
     assert [(r["query_id"], r["rank"], len(r["fusion"])) for r in hits] == [("q1", 1, 2), ("q2", 1, 2)]
-    # The stored lexical index scores as the chunks do.
+    # The segments score as the chunks do, over all versions.
     words = build.index.token_table(build._keyed(build.chunks(spark, out)), "key", "content")
-    shown = [sorted(map(tuple, x.collect())) for x in (build.retrieve.stored_scores(spark, build._lexical(out, build.last_version(spark, out)), asked), build.retrieve.bm25_scores(words, asked))]
+    stored = build.segments.Search(spark, build._lexical(out), asked.select("query_id", "query"), 20, build.last_version(spark, out))
+    shown = [sorted((r["query_id"], r["key"], r["score"]) for r in x.collect()) for x in (stored.hits(), build.retrieve.bm25_scores(words, asked))]
     assert shown[0] == shown[1] and len(shown[0]) == 2
     answered = build.answer(spark, out, asked.where("query_id = 'q1'")).first()
     assert answered["final_reason"] == "ok" and "forty days" in answered["answer"]
