@@ -67,7 +67,8 @@ def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(child, parent) for every linked member but the smallest, which is the parent.
 
-    links: two long columns; either order, repeats and self-links allowed.
+    links: two long columns; either order, repeats and self-links allowed. The
+    result is a written table, which ``dropped`` takes when it has been read.
     """
     edges = links.select(F.col(a).cast("long").alias("child"), F.col(b).cast("long").alias("parent")).where("child is not null and parent is not null")
     step = written(edges.mapInArrow(_contracted, "child long, parent long").distinct(), "links")
@@ -89,5 +90,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         settled = step.where("moved").isEmpty()
         dropped(last, flat, up)
         if settled:
-            return step.select("child", "parent")
+            out = step.select("child", "parent")
+            out._millrace_path = step._millrace_path
+            return out
     raise RuntimeError("components did not settle")

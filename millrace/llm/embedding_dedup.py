@@ -164,10 +164,10 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     total = classes.count()
     dims = [r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
-    linked = None
+    linked, used = None, []
     for d in dims:
         own = classes.where(F.size("v") == d)
-        part = _links(spark, own, total, threshold, sample_rows, min(most_lists, max(1, total // list_rows)))
+        part = _links(spark, own, total, threshold, sample_rows, min(most_lists, max(1, total // list_rows)), used)
         linked = part if linked is None else linked.union(part)
     if linked is None:
         linked = spark.createDataFrame([], "cid long, n_other long, parent long")
@@ -178,7 +178,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     by_class = written(by_class.select("k", "n", "least", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), F.coalesce("parent", "cid").alias("root")), "rooted")
     tops = written(by_class.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("weight")), "tops")
     by_key = written(join_unique(by_class.drop("least"), tops, "root", "weight").select("k", "n", "n_links", "top"), "by-key")
-    dropped(classes, linked, by_class, tops)
+    dropped(classes, linked, by_class, tops, roots, *used)
     narrow = rows.select("id", "k")
     unable = narrow.where("k is null").select("k", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("top"))
     out = join_unique(narrow.where("k is not null"), by_key, "k", "n").unionByName(unable)
@@ -191,8 +191,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows: int, lists: int) -> DataFrame:
-    """(cid, n_other, parent): link counts per class, weighted by class sizes, and forest links."""
+def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows: int, lists: int, used: list[DataFrame]) -> DataFrame:
+    """(cid, n_other, parent): link counts per class, weighted by class sizes, and forest links. used gets the tables that the result reads."""
     share = min(1.0, 1.2 * sample_rows / max(total, 1))
     sample = classes.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample_rows)
     x = np.array([r["v"] for r in sample.collect()], float)
@@ -236,6 +236,7 @@ def _links(spark, classes: DataFrame, total: int, threshold: float, sample_rows:
 
     blocked = filed.join(lists, "list").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("bid"), "list", "cid", "n", "v", "codes", "error")
     packed = written(blocked.groupBy("bid").applyInArrow(pack, "bid long, list int, span long, reached array<int>, spans array<long>, ids binary, n binary, x binary, codes binary, error binary"), "packed")
+    used += [filed, packed]
     sent = packed.select("*", F.explode("spans").alias("other")).drop("spans")
     sent = sent.withColumns({"low": F.least("span", "other"), "high": F.greatest("span", "other")}).drop("other")
 

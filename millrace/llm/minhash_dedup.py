@@ -11,8 +11,9 @@ Documents with equal sets are one class, which has a number, a row to stand for
 it and that row's text. Classes that share a band of the sketch are candidates.
 A bucket's classes are first held against its smallest one only, which settles
 large groups of copies in a number of comparisons that is linear in them. Then,
-for buckets that still hold several components, all pairs across components are
-compared in blocks of bounded size, by sketch and then on the full sets. Every
+for buckets that still hold several components, the classes outside a bucket's
+largest component are compared with all that are in other components than
+theirs, in blocks of bounded size, by sketch and then on the full sets. Every
 candidate pair is thereby either compared, or inside one component already. At
 the threshold of 0.8, a pair misses all 32 bands of 5 with a chance of 3e-6, and
 the sketch comparison lies 5.5 deviations below.
@@ -145,14 +146,16 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     return spread(rows).mapInArrow(run, "id long, file long, row long, bytes long, n long, key binary, bands array<long>, low binary")
 
 
-def _against_hubs(pairs: DataFrame, nodes: DataFrame, column: str, check: Callable[[pa.Array], Callable[[int, int], np.ndarray]]) -> DataFrame:
+def _against_hubs(pairs: DataFrame, nodes: DataFrame, column: str, check: Callable[[pa.Array], Callable[[int, int], np.ndarray]], used: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) of a class and its hub that hold under ``check`` of their nodes' ``column``.
 
     A large hub's members come in parts, each behind a copy of the hub's row, so that
     they are spread over tasks; rows are streamed and no group is gathered.
-    check takes an array of values and gives a function of two positions.
+    check takes an array of values and gives a function of two positions. used gets
+    the tables that the result reads.
     """
     sizes = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "hub-sizes")
+    used.append(sizes)
     # Hubs with over a thousandth of all pairs, a thousand at most, are broadcast with their numbers of parts.
     least = max(PART, (sizes.agg(F.sum("n")).first()[0] or 0) // 1000)
     large = F.broadcast(sizes.where(F.col("n") > least).select("b", F.ceil(F.col("n") / least).cast("int").alias("parts")))
@@ -199,7 +202,32 @@ def _text_check(size: int, threshold: float):
     return check
 
 
-def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float) -> DataFrame:
+def _blocks(placed: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """Members of buckets with several components, for blocks (bh, i, j) of outsiders and members.
+
+    placed: (bh, cid, hub, bytes, comp), written. Those outside a bucket's largest
+    component go to all its blocks of members (side 1), and every member goes to all
+    its blocks of outsiders (side 0): where few stand outside, the rows are in
+    proportion to the bucket.
+    """
+    parts = placed.groupBy("bh", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    mixed = parts.groupBy("bh").agg(F.max(F.struct("n", "b", "comp")).alias("main"), F.sum("n").alias("size"), F.sum("b").alias("total"), F.count("*").alias("comps"))
+
+    def many(n, size):
+        return F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))).cast("int")
+
+    out = [many(F.col("size") - F.col("main.n"), F.col("total") - F.col("main.b")).alias("outer"), many(F.col("size"), F.col("total")).alias("blocks")]
+    mixed = written(mixed.where("comps > 1 and size > 2").select("bh", "size", F.col("main.comp").alias("main"), *out), "mixed")
+    used.append(mixed)
+    at = [F.pmod(F.xxhash64(F.col("cid"), F.lit(salt)), F.col(of)).cast("int") for salt, of in ((1, "outer"), (2, "blocks"))]
+    rows = join_unique(placed, mixed, "bh", "size").select("bh", "cid", "hub", "comp", "outer", "blocks", at[0].alias("i"), at[1].alias("j"), (F.col("comp") != F.col("main")).alias("outside"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), F.lit(0).alias("side")))
+    as_outsider = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    each = F.when(F.col("outside"), F.concat(as_member, as_outsider)).otherwise(as_member)
+    return rows.select("bh", "cid", "hub", "comp", "outside", F.explode(each).alias("at")).select("bh", "at.i", "at.j", "at.side", "cid", "hub", "comp", "outside")
+
+
+def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, threshold: float, used: list[DataFrame]) -> DataFrame:
     """Links (a, b) across components, of buckets that hold several.
 
     bucketed: (bh, cid, bytes, hub). A pair is compared in the first band it shares, and
@@ -210,24 +238,19 @@ def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int,
     least = least_agreement(threshold)
     placed = bucketed.join(roots, F.col("cid") == F.col("child"), "left").select("bh", "cid", "hub", "bytes", F.coalesce("parent", "cid").alias("comp"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("bytes").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
-    mixed = written(mixed.where("lo <> hi and size > 2").select("bh", "size", blocks.alias("blocks")), "mixed")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = join_unique(placed, mixed, "bh", "size").withColumn("own", own)
-    rows = rows.select("bh", "cid", "hub", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "hub", "comp")
+    used.append(placed)
+    rows = _blocks(placed, used)
 
     def candidates(key: tuple, t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-        bh, i, j = (k.as_py() for k in key)
-        cid, comp, own, hub = (t[c].to_numpy() for c in ("cid", "comp", "own", "hub"))
+        bh = key[0].as_py()
+        cid, comp, hub, side = (t[c].to_numpy() for c in ("cid", "comp", "hub", "side"))
+        outside = t["outside"].to_numpy(zero_copy_only=False)
         band = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, T)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (cid[right] != hub[x]) & (cid[x] != hub[x])]
-            if i == j:
-                y = y[cid[y] > cid[x]]
+        members = np.flatnonzero(side == 0)
+        for x in np.flatnonzero(side == 1):
+            # Two outsiders meet in two places, and are compared in one.
+            y = members[(comp[members] != comp[x]) & (cid[members] != hub[x]) & (cid[x] != hub[x]) & (~outside[members] | (cid[members] > cid[x]))]
             if len(y):
                 y = y[(low[y] == low[x]).sum(1) >= least]
             if len(y):
@@ -239,7 +262,7 @@ def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int,
         hit = np.zeros(t.num_rows, bool)
         for x, y in candidates(key, t):
             hit[x] = hit[y] = True
-        return t.select(["bh", "i", "j", "own", "cid", "hub", "comp"]).filter(pa.array(hit))
+        return t.select(["bh", "i", "j", "side", "cid", "hub", "comp", "outside"]).filter(pa.array(hit))
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         cid, comp = t["cid"].to_numpy(), t["comp"].to_numpy()
@@ -255,7 +278,9 @@ def _across(bucketed: DataFrame, nodes: DataFrame, roots: DataFrame, size: int,
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     some = rows.join(nodes.select("cid", "bands", "low"), "cid").groupBy("bh", "i", "j").applyInArrow(involved, rows.schema)
-    some = written(some, "involved").join(nodes.select("cid", "bands", "low", "t"), "cid")
+    some = written(some, "involved")
+    used.append(some)
+    some = some.join(nodes.select("cid", "bands", "low", "t"), "cid")
     return some.groupBy("bh", "i", "j").applyInArrow(meet, "a long, b long")
 
 
@@ -263,26 +288,30 @@ def _resolved(docs: DataFrame, size: int, threshold: float, id_col: str, text_co
     """id, address, n, key, and the least (id, address) of the component: ``top``; null where nothing can link. docs: settled."""
     sig = written(signatures(docs, size, id_col, text_col), "signatures")
     rep = F.min(F.struct("id", "file", "row")).alias("rep")
-    reps = sig.where("key is not null and id is not null").groupBy("key").agg(rep, F.count("*").alias("n_rows"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    reps = sig.where("key is not null and id is not null").groupBy("key").agg(rep, F.count("*").alias("n_rows"), F.min(F.struct("bytes", "file", "row")).alias("short"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     # Classes are numbered as they are written, so the numbers are fixed from here on.
     reps = written(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    rows = reps.select("cid", "bytes", F.explode("bands").alias("bh"))
+    # Equal sets may have texts of very different length: the shortest stands for the class.
+    rows = reps.select("cid", "short.bytes", F.explode("bands").alias("bh"))
     hubs = written(rows.groupBy("bh").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
     bucketed = written(join_unique(rows, hubs, "bh", "size"), "bucketed")
-    light = reps.join(bucketed.select("cid").hint("merge"), "cid", "left_semi").select("cid", F.col("rep.file").alias("file"), F.col("rep.row").alias("row"), "bytes", "bands", "low")
+    light = reps.join(bucketed.select("cid").hint("merge"), "cid", "left_semi").select("cid", "short.file", "short.row", "short.bytes", "bands", "low")
     texts = addressed(docs, F.col(text_col).alias("t"))
     nodes = written(light.hint("merge").join(texts, ["file", "row"]).select("cid", "bytes", "bands", "low", "t"), "nodes")
     star = written(bucketed.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "star")
-    agreeing = written(_against_hubs(star, nodes, "low", _sketch_check(least_agreement(threshold))), "agreeing")
-    first = written(_against_hubs(agreeing, nodes, "t", _text_check(size, threshold)), "first")
+    used: list[DataFrame] = []
+    agreeing = written(_against_hubs(star, nodes, "low", _sketch_check(least_agreement(threshold)), used), "agreeing")
+    first = written(_against_hubs(agreeing, nodes, "t", _text_check(size, threshold), used), "first")
     roots = components(first)
-    rest = written(_across(bucketed, nodes, roots, size, threshold), "rest")
+    rest = written(_across(bucketed, nodes, roots, size, threshold, used), "rest")
+    used += [bucketed, nodes, star, agreeing, first, rest, roots]
     if not rest.isEmpty():
         roots = components(roots.toDF("a", "b").union(rest))
+        used.append(roots)
     classes = written(reps.select("key", "rep", "n_rows", "cid").join(roots, F.col("cid") == F.col("child"), "left").select("key", "rep", "n_rows", F.coalesce("parent", "cid").alias("root")), "rooted")
     tops = written(classes.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("n")), "component-tops")
     by_key = written(join_unique(classes.drop("rep"), tops, "root", "n").select("key", "top", "n_rows"), "by-key")
-    dropped(reps, hubs, bucketed, nodes, star, agreeing, first, rest, classes, tops)
+    dropped(reps, hubs, classes, tops, *used)
     narrow = sig.select("id", "file", "row", "n", "key")
     able = F.col("key").isNotNull() & F.col("id").isNotNull()
     unable = narrow.where(~able).withColumn("top", F.lit(None).cast(by_key.schema["top"].dataType))

@@ -165,9 +165,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000) -> QualityModel:
-    """A model of at most sample_rows labelled rows that are not held out.
+    """A model of at most sample_rows labelled rows that are not held out: those whose ids have the smallest hashes.
 
-    The bounded sample of labels is broadcast, so the documents aren't moved.
+    The bounded sample of labels is broadcast, so the documents aren't moved. Of an
+    id with several texts one is taken, the one with the smallest hash; an id that
+    has both labels counts once with each.
     """
     drawn = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     drawn = drawn.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
@@ -179,9 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 ids, at = ngram_sets(b.column("_text"))
                 yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=["_id", "_y", "ids"])
 
-    rows = text.join(F.broadcast(drawn), "_id").select("_id", "_y", "_text").mapInArrow(run, more_fields(text.select("_id").schema, "_y int, ids array<int>"))
-    # An id that is repeated in docs must not unbound the sample.
-    got = sorted(rows.limit(2 * sample_rows).collect(), key=lambda r: (r["_id"], r["_y"], r["ids"]))
+    # Each task keeps one text of an id, so repeated ids don't unbound what is sent.
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("t")
+    rows = text.join(F.broadcast(drawn.distinct()), "_id").groupBy("_id", "_y").agg(one).select("_id", "_y", "t._text").mapInArrow(run, more_fields(text.select("_id").schema, "_y int, ids array<int>"))
+    got = sorted(rows.collect(), key=lambda r: (r["_id"], r["_y"], r["ids"]))  # sample_rows at most
     return fit_rows([np.array(r["ids"], np.int32) for r in got], np.array([r["_y"] for r in got]))
 
 

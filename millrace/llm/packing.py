@@ -34,8 +34,8 @@ from millrace.llm.words import SPACES, Known, gathered, slices, words
 #: Marks that the pre-tokeniser always parts from the letters before them.
 MARKS = ".,!?*#$%&;:"
 
-#: Groups of tasks within which pieces of a length are numbered.
-GROUPS = 64
+#: Groups of tasks within which pieces of a length are numbered: the least and the most.
+GROUPS, MOST_GROUPS = 64, 1024
 
 _VOCABULARIES: dict[int, Vocabulary] = {}
 
@@ -282,17 +282,22 @@ def segments(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """pieces (written) with sequence_id and offset instead of part and rank.
 
-    A piece's number among those of its length is its place within one of GROUPS
-    groups of tasks, by a sort, and what the groups before it hold: that table
-    has at most GROUPS rows a length, whatever the number of tasks.
+    Pieces as long as a sequence are one each, named by their task and place. A
+    shorter piece's number among those of its length is its place within one of
+    the groups of tasks, by a sort, and what the groups before it hold: there is a
+    group for every eight tasks, so that table has at most MOST_GROUPS rows a length.
     """
     spark = pieces.sparkSession
     names = [c for c in pieces.columns if c not in ("part", "rank")]
-    group = F.pmod(F.xxhash64("part"), F.lit(GROUPS)).cast("int")
+    groups = min(MOST_GROUPS, max(GROUPS, (pieces.agg(F.max("part")).first()[0] or 0) // 8))
+    group = F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int")
+    # Numbers below 0 name full sequences: a task's number and 40 bits of place.
+    alone = -1 - (F.col("part").cast("long") * (1 << 40) + F.col("rank"))
+    full = pieces.where(F.col("length") == capacity).select(*names, alone.cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # Nested, so that no column of the caller's meets one of these.
-    held = pieces.select(F.struct(*names).alias("p"), F.col("length").alias("n"), group.alias("g"), "part", "rank")
+    held = pieces.where(F.col("length") < capacity).select(F.struct(*names).alias("p"), F.col("length").alias("n"), group.alias("g"), "part", "rank")
     counts = held.groupBy("n", "g").agg(F.count("*").alias("c")).toArrow()
-    before = np.zeros((capacity + 1, GROUPS), np.int64)
+    before = np.zeros((capacity + 1, groups), np.int64)
     before[counts["n"].to_numpy(), counts["g"].to_numpy()] = counts["c"].to_numpy()
     total = before.sum(1)
     before = np.cumsum(before, 1) - before
@@ -316,7 +321,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
                 offset[own] = at[:, 3] + j % at[:, 2] * n
             yield pa.RecordBatch.from_arrays([*b.column("p").flatten(), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, spec: bytes, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -157,7 +157,7 @@ def shape(text: str, kind: str, start: int, end: int) -> str:
     """One character each for length, separators, and what stands before and after; 256 shapes at most."""
     size = end - start
     long = "0123"[sum(size >= x for x in _LENGTHS[kind])]
-    apart = {c for c in text[start:end] if not c.isalnum()} if size <= 400 else {"."}
+    apart = {c for c in text[start:end] if not c.isalnum()}
     marks = "0" if not apart else "3" if apart & set("()[]{}") else "1" if len(apart) == 1 else "2"
     return long + marks + _beside(text[max(0, start - 3) : start].strip()[-1:]) + _beside(text[end : end + 3].strip()[:1])
 
@@ -306,15 +306,17 @@ def redact_text(text: str, spans: Sequence[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced; null texts stay null, other columns as they are."""
+    """docs with every span of the text replaced; null texts stay null, other columns as they are, whatever their names."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("in"))
+    k = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            k = whole.schema.get_field_index(text_col)
-            for b in slices(whole, k):
+            kinds = list(whole.schema.field("in").type)
+            flat = pa.RecordBatch.from_arrays(whole.column("in").flatten(), names=[str(n) for n in range(len(kinds))])
+            for b in slices(flat, k):
                 text = [t and redact_text(t, model.spans(t)[1]) for t in b.column(k).to_pylist()]
-                yield b.set_column(k, b.schema.field(k), pa.array(text, b.schema.field(k).type))
-
-    return spread(docs).mapInArrow(run, docs.schema)
-
+                columns = [pa.array(text, c.type) if n == k else c for n, c in enumerate(b.columns)]
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=kinds)], names=["in"])
 
+    return spread(rows).mapInArrow(run, rows.schema).select("in.*")

@@ -137,5 +137,5 @@ def ablation(ledger_df: DataFrame, policy: Sequence[str], rules: Sequence[Rule]
 
 def keep_good(docs: DataFrame, policy: Sequence[str] = POLICIES["v1"], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that hold under the policy, with all their columns."""
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_in"), F.col(id_col).alias("_id"), F.col(text_col).alias("_txt"))
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_in"), docs[f"`{id_col}`"].alias("_id"), docs[f"`{text_col}`"].alias("_txt"))
     return ledger(row, "_id", "_txt", keep=["_in"]).where(passes(policy)).select("_in.*")

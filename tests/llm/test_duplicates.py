@@ -1,9 +1,11 @@
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 from millrace.llm import embedding_dedup, minhash_dedup
+from millrace.llm.common import written
 from millrace.llm.components import components
 from millrace.llm.queries import QUERIES
 
@@ -202,3 +204,39 @@ def test_odd_vectors(spark):
 
 def test_registered_rows(spark):
     assert QUERIES["op9_embedding_dedup"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_blocks_are_linear_in_a_bucket_with_few_outsiders(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 64)
+    # One component of 20,000 and ten outsiders in one bucket; a second bucket of one component; a third of two.
+    rows = [(1, k, 0, 10, 0 if k < 20_000 else k) for k in range(20_010)] + [(2, k, 0, 10, 0) for k in range(50)] + [(3, k, 0, 10, k % 2) for k in range(100)]
+    placed = written(spark.createDataFrame(rows, "bh long, cid long, hub long, bytes long, comp long"), "placed")
+    got = minhash_dedup._blocks(placed, []).collect()
+    first = [r for r in got if r["bh"] == 1]
+    assert len(first) <= 20_010 + 10 * (20_010 // 64 + 1) + 10 and not [r for r in got if r["bh"] == 2]
+    # Every outsider meets every member of another component in some block.
+    for bucket in (1, 3):
+        blocks = {}
+        for r in (r for r in got if r["bh"] == bucket):
+            blocks.setdefault((r["i"], r["j"]), ([], []))[r["side"]].append(r["cid"])
+        met = {(x, y) for members, out in blocks.values() for x in out for y in members}
+        own = {r[1]: r[4] for r in rows if r[0] == bucket}
+        main = max(set(own.values()), key=list(own.values()).count)
+        assert all((x, y) in met or (y, x) in met for x, a in own.items() if a != main for y in list(own)[:: 1 if bucket == 3 else 997] if own[y] != a)
+
+
+def test_the_shortest_text_stands_for_a_class(spark, docs_of):
+    words = " ".join(f"w{i}" for i in range(40))
+    long = " ".join([words] * 300)  # shingles of one word: the same set
+    rows = minhash_dedup.near_duplicates(docs_of([long, words, words + " w40", "else"]), size=1).collect()
+    assert [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, 0, 0, 3]
+
+
+def test_scratch_keeps_only_what_results_read(spark, docs_of, tmp_path):
+    from millrace.llm.common import _scratch, clear_scratch
+
+    clear_scratch(spark)
+    words = [" ".join(f"w{(i * k) % 50}" for k in range(60)) for i in range(1, 20)]
+    minhash_dedup.near_duplicates(docs_of(words + words)).collect()
+    left = {r.rsplit("-", 1)[0] for r in os.listdir(_scratch(spark).removeprefix("file://"))}
+    assert left <= {"settled", "signatures", "by-key"}, left

@@ -1,5 +1,6 @@
 import corpus_pipeline
 from millrace.llm import minhash_dedup, pii, quality_rules
+from pyspark.sql import functions as F
 
 from ..conftest import SF
 from .test_duplicates import brute
@@ -48,3 +49,22 @@ def test_odd_rows_pass_each_stage(spark, odd_docs):
         stage(spark, odd_docs, SF).collect()
     assert quality_rules.keep_good(odd_docs).columns == odd_docs.columns
     assert minhash_dedup.T == minhash_dedup.BANDS * minhash_dedup.ROWS
+
+
+def test_any_column_names_pass_each_stage(spark, docs_of):
+    good = [" ".join(f"word{(i * 7 + k) % 997}x{i}" for k in range(120)) for i in range(6)]
+    docs = docs_of([*good, good[0], None, "", good[1] + " mail me at a.b@example.org"])
+    for name in ("a.b", "_text", "failed", "key", "in", "rank", "n", "score", "file", "text.x", "_in"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    want = {r["doc_id"]: r for r in docs.collect()}
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        assert rows.columns == docs.columns, name
+    for r in rows.collect():
+        assert all(r[c] == want[r["doc_id"]][c] for c in docs.columns if c not in ("text", "n_chars")), r
+    redacted = pii.redact(docs, pii.fit(docs))
+    assert redacted.columns == docs.columns and "[EMAIL]" in redacted.where("doc_id = 9").first()["text"]
+    assert redacted.where("text is null").count() == 1
+    kept = quality_rules.keep_good(docs).collect()
+    assert kept and all(r["a.b"] == f"a.b{r['doc_id']}" for r in kept)
