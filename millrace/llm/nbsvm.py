@@ -184,8 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Each task keeps one text of an id, so repeated ids don't unbound what is sent.
     one = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("t")
     rows = text.join(F.broadcast(drawn.distinct()), "_id").groupBy("_id", "_y").agg(one).select("_id", "_y", "t._text").mapInArrow(run, more_fields(text.select("_id").schema, "_y int, ids array<int>"))
-    got = sorted(rows.collect(), key=lambda r: (r["_id"], r["_y"], r["ids"]))  # sample_rows at most
-    return fit_rows([np.array(r["ids"], np.int32) for r in got], np.array([r["_y"] for r in got]))
+    got = rows.toArrow().sort_by([("_id", "ascending"), ("_y", "ascending")])  # sample_rows at most
+    sets = got["ids"].combine_chunks()
+    ids, at = sets.flatten().to_numpy(), np.append(0, np.cumsum(sets.value_lengths().to_numpy()))
+    return fit_rows([ids[a:z] for a, z in zip(at[:-1], at[1:], strict=True)], got["_y"].to_numpy())
 
 
 def _scored(docs: DataFrame, model: QualityModel, text_col: str, keep: list[str]) -> DataFrame:

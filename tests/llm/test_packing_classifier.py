@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,3 +131,48 @@ def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
 def test_sample_is_bounded(odd_docs, spark):
     labels = spark.createDataFrame([(8, 1, 0)] * 50 + [(4, 0, 0)] * 50, "doc_id long, quality int, toxic int")
     assert nbsvm.fit(odd_docs, labels, sample_rows=10).bias is not None
+
+
+def brute_ngrams(text):
+    """The numbers of a text's n-grams, word by word."""
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    code = [zlib.crc32(w.encode()) for w in words]
+    form = [nbsvm._form(w) + 32 * (k > 0 and words[k - 1] == w) for k, w in enumerate(words)]
+    first = nbsvm.WORDS + nbsvm.PAIRS
+    out = {c % nbsvm.WORDS for c in code} | {first + f for f in form}
+    out |= {nbsvm.WORDS + mixed(a << 32 | b) % nbsvm.PAIRS for a, b in zip(code, code[1:])}
+    out |= {first + nbsvm.FORMS + a * nbsvm.FORMS + b for a, b in zip(form, form[1:])}
+    return out | {first + nbsvm.FORMS + nbsvm.FORMS**2 + (a * nbsvm.FORMS + b) * nbsvm.FORMS + c for a, b, c in zip(form, form[1:], form[2:])}
+
+
+def test_registered_scores_equal_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    # The model of the labelled rows that aren't held out, from n-grams taken word by word.
+    rows = sorted((i, y, sorted(brute_ngrams(docs[i]))) for i, y in labels.items() if not out(i) and y in (0, 1) and i in docs)
+    model = nbsvm.fit_rows([np.array(x, np.int32) for *_, x in rows], np.array([y for _, y, _ in rows]))
+    got = {r["doc_id"]: r for r in QUERIES["op7_quality_classifier"](spark, SF).collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        ids = sorted(brute_ngrams(text))
+        margin = float(model.weight[ids].sum(dtype=float)) / max(float(model.square[ids].sum(dtype=float)) ** 0.5, 1e-9)
+        score = 1 / (1 + np.exp(-(model.bias + model.slope * margin)))
+        assert abs(got[i]["score"] - score) < 1e-6 and got[i]["held_out"] == out(i) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_repeated_ids_are_cut_alike(spark, docs_of):
+    texts = [f"good words number {i} stand here" for i in range(20)] + [f"BAD!!! {i} $$$" for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = docs_of(texts + texts[::-1] * 3, [*range(40), *list(range(40))[::-1] * 3])
+    some = [nbsvm.fit(d, labels, sample_rows=12) for d in (docs, docs.orderBy(F.rand(1)), docs_of(texts))]
+    assert all(np.array_equal(some[0].weight, m.weight) and some[0].bias == m.bias for m in some[1:])
