@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -149,12 +149,12 @@ def bm25_topk_long(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFra
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision; null where a side has no length."""
+    """In double precision; null where a side has no length, or holds what is not a finite number."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.nullif(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(float("nan")))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, allowed: Column | None = None, on: list[str] | None = None) -> DataFrame:
@@ -205,28 +205,58 @@ def rerank(hits: DataFrame, scorer=overlap_score, k: int = 5) -> DataFrame:
     return top_k(ordered, k, [F.col("score").desc(), F.col("hybrid_rank").asc()]).drop("_q", "_k")
 
 
-def rerank_stored(hits: DataFrame, path: str, scorer=overlap_score, k: int = 5) -> DataFrame:
-    """rerank with scores kept at ``path`` between calls; only pairs that have none there are scored, and appended.
+_SCORES = "query string, key string, score double, seq long, live_from long"
 
-    The table (query, key, score) only grows: a pair is scored once, and clearing
-    it is a matter of deleting the folder.
+
+def cached_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(query, key, score, seq) of the pairs that a score cache holds; seq counts what was ever put in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], _SCORES).drop("live_from")
+    rows = spark.read.schema(_SCORES).parquet(path)
+    live = rows.agg(F.coalesce(F.max("live_from"), F.lit(0)).alias("_live"))  # one row
+    # Two runs at a time may both have scored a pair.
+    return rows.join(F.broadcast(live)).where("seq >= _live").groupBy("query", "key").agg(F.max("score").alias("score"), F.max("seq").alias("seq"))
+
+
+def rerank_stored(hits: DataFrame, path: str, scorer=overlap_score, k: int = 5, most: int = 2048, drop: int = 512) -> DataFrame:
+    """rerank with scores kept at ``path`` between calls; only pairs that have none there are scored.
+
+    Pairs go in by query and rank, the oldest ``drop`` go out whenever one more
+    would come on top of ``most``, and what stays is always the youngest, so a call
+    adds a file and moves a mark. Runs at one time each add their own file; the
+    next call counts what both left. ``pruned_scores`` deletes what lies below the
+    mark, when no call is under way.
     """
     spark = hits.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    schema = "query string, key string, score double"
-    known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    stored = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
     norm = F.lower(F.trim("query"))
-    pairs = hits.groupBy(norm.alias("query"), F.col("key").cast("string").alias("key")).agg(F.min("query").alias("_query"), F.first("content").alias("_content"))
-    fresh = pairs.join(stored, ["query", "key"], "left_anti")
-    fresh.select("query", "key", scorer(F.col("_query"), F.col("_content")).cast("double").alias("score")).write.mode("append").parquet(path)
-    # Two runs at a time may both have scored a pair.
-    scores = spark.read.schema(schema).parquet(path).groupBy("query", "key").agg(F.max("score").alias("_new")).withColumnsRenamed({"query": "_q", "key": "_k"})
+    first = F.min(F.struct("query_id", "rank")).alias("_first")
+    pairs = hits.groupBy(norm.alias("query"), F.col("key").cast("string").alias("key")).agg(F.min("query").alias("_query"), F.first("content").alias("_content"), first)
+    stored = kept(cached_scores(spark, path), "cached")
+    held, last = stored.agg(F.count("*"), F.coalesce(F.max("seq"), F.lit(-1))).first()
+    missing = pairs.join(stored, ["query", "key"], "left_anti")
+    fresh = kept(missing.select("query", "key", scorer(F.col("_query"), F.col("_content")).cast("double").alias("score"), "_first"), "fresh")
+    added = fresh.count()
+    out = -(-max(0, held + added - most) // drop)
+    live = held + added - out * drop
+    young = [F.col(c).desc() for c in ("_first", "query", "key")]
+    # Only the youngest can stay: at most ``most`` rows are put in order.
+    rows = fresh.orderBy(*young).limit(min(added, live)).withColumn("seq", F.lit(last + 1 + added) - F.row_number().over(Window.orderBy(*young)))
+    rows = rows.select("query", "key", "score", F.col("seq").cast("long").alias("seq"), F.lit(last + 1 + added - live).cast("long").alias("live_from"))
+    if added:
+        rows.coalesce(1).write.mode("append").parquet(path)
+    scores = stored.select("query", "key", "score").unionByName(fresh.select("query", "key", "score")).groupBy("query", "key").agg(F.max("score").alias("_new")).withColumnsRenamed({"query": "_q", "key": "_k"})
     joined = hits.join(scores, (norm == F.col("_q")) & (F.col("key").cast("string") == F.col("_k"))).drop("_q", "_k")
     ordered = joined.withColumnsRenamed({"score": "hybrid_score", "rank": "hybrid_rank"}).withColumnRenamed("_new", "score")
     return top_k(ordered, k, [F.col("score").desc(), F.col("hybrid_rank").asc()])
 
 
+def pruned_scores(spark: SparkSession, path: str, target: str) -> None:
+    """The living pairs of a cache as a cache of its own, without what was evicted."""
+    rows = cached_scores(spark, path)
+    rows.withColumn("live_from", F.min("seq").over(Window.partitionBy())).coalesce(1).write.mode("overwrite").parquet(target)  # at most ``most`` rows
+
+
 def hash_embedder(dims: int = 64):
     """The offline embedder: signed feature hashing of words, to unit length."""
 

@@ -39,9 +39,10 @@ def last_version(spark: SparkSession, index_dir: str) -> int:
     return _log(spark, index_dir, "manifest").agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
 
 
-def manifest(spark: SparkSession, index_dir: str) -> DataFrame:
-    """source_path, file_hash, chunk_count of the files that are indexed now."""
-    rows = _log(spark, index_dir, "manifest").groupBy("source_path").agg(F.max_by(F.struct("file_hash", "chunk_count"), "version").alias("m"))
+def manifest(spark: SparkSession, index_dir: str, upto: int | None = None) -> DataFrame:
+    """source_path, file_hash, chunk_count of the files that are indexed now, or were at a version."""
+    rows = _log(spark, index_dir, "manifest")
+    rows = (rows if upto is None else rows.where(F.col("version") <= upto)).groupBy("source_path").agg(F.max_by(F.struct("file_hash", "chunk_count"), "version").alias("m"))
     return rows.select("source_path", "m.file_hash", "m.chunk_count").where("file_hash is not null")
 
 
@@ -88,12 +89,21 @@ def build_index(spark: SparkSession, raw_dir: str, index_dir: str, department: s
     folder below raw_dir, or the given one. Unreadable files are left as they
     were and counted as failed.
     """
-    config = config or Config()
     version = last_version(spark, index_dir) + 1
     scan, known = files.scan(spark, raw_dir), manifest(spark, index_dir)
     changes = index.classify(scan, known)
     if rebuild:
         changes = changes.withColumn("status", F.when(F.col("status") == "unchanged", "changed").otherwise(F.col("status")))
+    return write_version(spark, raw_dir, index_dir, version, scan, changes, department, access_level, doc_version, config, embedder)
+
+
+def write_version(spark: SparkSession, raw_dir: str, index_dir: str, version: int, scan: DataFrame, changes: DataFrame, department: str = "general", access_level: str = "internal", doc_version: str = "v1", config: Config | None = None, embedder=None) -> DataFrame:
+    """Writes one version over what may be there of it: the same call twice leaves one version.
+
+    scan: source_path, content, file_hash of the files in question. changes: what
+    index.classify says of them against the versions before, deletions included.
+    """
+    config = config or Config()
     changes.write.mode("overwrite").parquet(f"{index_dir}/changes/version={version}")
     changes = spark.read.parquet(f"{index_dir}/changes/version={version}")
     todo = changes.where("status in ('new', 'changed')").select("source_path")

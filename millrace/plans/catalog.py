@@ -18,7 +18,7 @@ from millrace.config import Agent
 from millrace.functions import tables, text
 from millrace.functions.folders import kept, shared_folder
 from millrace.functions.spread import spread
-from millrace.operators import access, agent, audit, chunk, index, models, reports, retrieve, segments
+from millrace.operators import access, agent, audit, chunk, index, models, reports, retrieve, segments, vector_index
 from millrace.plans import sql as S
 from millrace.sources import files
 
@@ -182,6 +182,22 @@ def vector_batch(spark, d):
     return retrieve.vector_topk(v, _probe(v, F.col("key") % 100 == 0), 20)
 
 
+def _indexed(spark, d, allowed: Column | None = None) -> DataFrame:
+    path, v = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", _vectors(spark, d)
+    vector_index.write(v, path, list_rows=50)
+    return vector_index.Search(spark, path, _probe(v, F.col("key") % 100 == 0), 20, allowed).hits()
+
+
+@query(S.vector_top("vec_id % 100 = 0", 20))
+def vector_indexed(spark, d):
+    return _indexed(spark, d)
+
+
+@query(S.vector_top("vec_id % 100 = 0", 20, "label IN (1, 2)"))
+def vector_indexed_filtered(spark, d):
+    return _indexed(spark, d, access.where_column({"label": {"$in": [1, 2]}}))
+
+
 def _legs(spark, d):
     v = _vectors(spark, d)
     vec = retrieve.vector_topk(v, _probe(v, F.col("key") == 0).withColumn("query_id", F.lit(1)), 20)
@@ -232,6 +248,17 @@ def rerank_stored(spark, d):
     return again.select("query_id", "key", "score", "rank")
 
 
+@query(S.CACHED)
+def score_cache(spark, d):
+    # Two calls with other documents, and the pairs that are left of 300 at most, with 75 going out at a time.
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    asked = _asked(spark).where("query_id = 1")
+    hits = _docs(spark, d).select("key", F.col("text").alias("content"), F.col("key").alias("rank"), F.lit(0.0).alias("score")).join(F.broadcast(asked))
+    for part in (F.col("key") % 3 == 0, F.col("key") % 3 != 0):
+        retrieve.rerank_stored(hits.where(part), path, most=300, drop=75)
+    return retrieve.cached_scores(spark, path).select("query", "key", "score", "seq")
+
+
 @query(S.STAGES)
 def retrieval_report(spark, d):
     v, asked = _vectors(spark, d), _asked(spark).where("query_id = 1")

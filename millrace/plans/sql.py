@@ -103,6 +103,15 @@ hits AS (SELECT f.query_id, f.key, f.score AS hybrid_score, f.rank AS hybrid_ran
 scored AS (SELECT *, round(len(list_intersect(list_distinct({tok(quoted(ASKED[0][1]))}), {tok("text")})) / len(list_distinct({tok(quoted(ASKED[0][1]))})), 6) AS score FROM hits),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hybrid_rank) AS rank FROM scored)"""
 
+_FIRST = quoted(ASKED[0][1])
+CACHED = f"""
+WITH p AS (SELECT doc_id, doc_id % 3 <> 0 AS later, round(len(list_intersect(list_distinct({tok(_FIRST)}), {tok("text")})) / len(list_distinct({tok(_FIRST)})), 6) AS score FROM documents),
+n AS (SELECT count(*) FILTER (NOT later) AS a, count(*) FILTER (later) AS b FROM p),
+c AS (SELECT *, a - 75 * ceil(greatest(0, a - 300) / 75) AS held FROM n),
+e AS (SELECT *, held + b - 75 * ceil(greatest(0, held + b - 300) / 75) AS live FROM c),
+s AS (SELECT *, row_number() OVER (ORDER BY later, doc_id) - 1 AS seq FROM p)
+SELECT lower({_FIRST}) AS query, doc_id::VARCHAR AS key, score, seq FROM s, e WHERE seq >= a + b - live"""
+
 STAGES = f"""WITH {RERANK}
 SELECT 0::INT AS place, 'vector' AS stage, 1::INT AS query_id, rank::INT AS rank, key, score FROM vec WHERE rank <= 5
 UNION ALL SELECT 1::INT, 'bm25', query_id, rank::INT, key, score FROM lex WHERE rank <= 5

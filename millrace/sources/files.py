@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -81,17 +82,33 @@ def read_txt(data: bytes) -> tuple[int, list[tuple]]:
     return 1, [("text", data.decode("utf-8", "replace"), None, 1)]
 
 
-def outside(chars: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The characters that lie fully inside no box of their page: an anti range join per document and page.
+def outside(chars: DataFrame, boxes: DataFrame, cell: float = 64.0) -> DataFrame:
+    """The characters that lie fully inside no box of their page.
 
-    chars: doc, page, x0, x1, top, bottom and more; boxes: the same corners.
+    chars: doc, page, x0, x1, top, bottom and more; boxes: the same corners. The join
+    is on cells of a grid, so a dense page is many keys: a box lies in the cells
+    that it touches, a character in that of its first corner, and the corners are
+    compared after. Boxes are sorted by size into grids, each four times as wide as
+    the one before, so none touches more than 25 cells; there are as many
+    joins as grids in use, a handful. Corners are in order (x0 <= x1, top <= bottom);
+    a box with other or unknown corners holds nothing.
     """
-    c, b = chars.alias("c"), boxes.alias("b")
-    inside = [F.col("c.doc") == F.col("b.doc"), F.col("c.page") == F.col("b.page"), F.col("c.x0") >= F.col("b.x0"), F.col("c.x1") <= F.col("b.x1"), F.col("c.top") >= F.col("b.top"), F.col("c.bottom") <= F.col("b.bottom")]
-    on = inside[0]
-    for x in inside[1:]:
-        on = on & x
-    return c.join(b, on, "left_anti")
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"))
+    sized = boxes.where("x0 <= x1 and top <= bottom").withColumn("_grid", F.greatest(F.lit(0), F.ceil(F.log(size / cell) / F.log(F.lit(4.0)))).cast("int")).na.fill(0, ["_grid"])
+    out = chars
+    for grid in sorted(r["_grid"] for r in sized.select("_grid").distinct().collect()):
+        wide = cell * 4.0**grid
+
+        def at(c: Column, wide=wide) -> Column:
+            return F.floor(c / wide)
+
+        own = sized.where(F.col("_grid") == grid).select("doc", "page", "x0", "x1", "top", "bottom", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1")))).alias("_cx"))
+        own = own.select("*", F.explode(F.sequence(at(F.col("top")), at(F.col("bottom")))).alias("_cy")).alias("b")
+        c = out.alias("c")
+        on = [F.col("c.doc") == F.col("b.doc"), F.col("c.page") == F.col("b.page"), at(F.col("c.x0")) == F.col("b._cx"), at(F.col("c.top")) == F.col("b._cy")]
+        on += [F.col("c.x0") >= F.col("b.x0"), F.col("c.x1") <= F.col("b.x1"), F.col("c.top") >= F.col("b.top"), F.col("c.bottom") <= F.col("b.bottom")]
+        out = c.join(own, reduce(lambda x, y: x & y, on), "left_anti")
+    return out
 
 
 def read_pdf(data: bytes) -> tuple[int, list[tuple]]:

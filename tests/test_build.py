@@ -1,6 +1,7 @@
 """A folder indexed, updated, searched and asked."""
 
 from millrace.plans import build
+from millrace.streaming import ingest
 from pyspark.sql import functions as F
 
 LONG = " This sentence makes the passage long enough to be kept."
@@ -43,3 +44,41 @@ def test_index_follows_the_folder(spark, tmp_path):
     assert answered["final_reason"] == "ok" and "forty days" in answered["answer"]
     closed = build.chunks(spark, out).withColumn("access_level", F.lit("internal"))
     assert closed.count() == 1
+
+
+def test_a_replayed_batch_is_one_version(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "index")
+    (raw / "hr").mkdir(parents=True)
+    (raw / "a.txt").write_text("Vacation lasts thirty days." + LONG)
+    (raw / "hr/b.txt").write_text("Interviews take place on Mondays." + LONG)
+    go = lambda: ingest.index_stream(spark, str(raw), out, f"{tmp_path}/cp", access_level="public").awaitTermination()
+    asked = spark.createDataFrame([(1, "interviews"), (2, "vacation"), (3, "passage")], "query_id int, query string")
+
+    def state():
+        chunks = sorted((r["source_path"].rsplit("/", 1)[1], r["content"]) for r in build.chunks(spark, out).collect())
+        last = build.last_version(spark, out)
+        hits = build.segments.Search(spark, build._lexical(out), asked, 9, last).hits().collect()
+        return last, chunks, sorted((r["query_id"], r["key"].rsplit("/", 1)[1], r["score"]) for r in hits)
+
+    go()
+    assert state()[0] == 1 and len(state()[1]) == 2
+    (raw / "a.txt").unlink()
+    (raw / "c.txt").write_text("Salaries are paid monthly, vacation or not." + LONG)
+    go()
+    last, chunks, hits = state()
+    assert last == 2 and [c[0] for c in chunks] == ["b.txt", "c.txt"] and [h[0] for h in hits] == [1, 2, 3, 3]
+    # The second batch once more, as after a driver that was lost before it noted the end of the batch.
+    rows = spark.read.format("binaryFile").load(f"{raw}/c.txt")
+    ingest.index_batch(spark, str(raw), out, access_level="public")(rows, 1)
+    assert state() == (last, chunks, hits)
+    # The index is the one that a build from nothing makes.
+    build.build_index(spark, str(raw), f"{out}-anew", access_level="public")
+    assert chunks == sorted((r["source_path"].rsplit("/", 1)[1], r["content"]) for r in build.chunks(spark, f"{out}-anew").collect())
+
+    seen = []
+    run = ingest.ingest_batch(spark, f"{tmp_path}/manifest", lambda fresh, changes: seen.append(fresh.count()))
+    for _ in range(2):
+        run(rows, 0)
+    run(rows, 1)
+    assert seen == [1, 1, 0] and ingest.latest_manifest(spark, f"{tmp_path}/manifest").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/manifest").count() == 1

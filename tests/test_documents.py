@@ -235,3 +235,24 @@ def test_spread_never_goes_below_what_spark_makes(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_outside_equals_comparing_all(spark):
+    import random
+
+    rnd = random.Random(31)
+
+    def corners(wide):
+        x, y = rnd.uniform(-50, 900), rnd.uniform(-50, 900)
+        return x, x + rnd.uniform(0, wide), y, y + rnd.uniform(0, wide)
+
+    # One heavy page, boxes from a point to more than a page.
+    chars = [(1, 1 if k % 5 else k % 7, k, *corners(6)) for k in range(1500)] + [(1, 1, 1500, 10.0, 10.0, 10.0, 10.0), (None, 1, 1501, 0.0, 1.0, 0.0, 1.0), (1, 1, 1502, None, 1.0, 0.0, 1.0)]
+    boxes = [(1, rnd.choice([1, 1, 1, 2, 3]), *corners(rnd.choice([0, 20, 90, 300]))) for _ in range(60)] + [(1, 4, -1000.0, 5000.0, -1000.0, 5000.0), (1, 1, 10.0, 10.0, 10.0, 10.0), (1, 5, 9.0, 1.0, 0.0, 900.0), (1, 6, None, 900.0, 0.0, 900.0)]
+    held = lambda c, b: None not in (*c, *b) and c[0] == b[0] and c[1] == b[1] and c[3] >= b[2] and c[4] <= b[3] and c[5] >= b[4] and c[6] <= b[5] and b[2] <= b[3]
+    want = sorted(c[2] for c in chars if not any(held(c, b) for b in boxes))
+    c = spark.createDataFrame(chars, "doc int, page int, k int, x0 double, x1 double, top double, bottom double")
+    b = spark.createDataFrame(boxes, "doc int, page int, x0 double, x1 double, top double, bottom double")
+    out = files.outside(c, b)
+    assert sorted(r["k"] for r in out.collect()) == want and 0 < len(want) < len(chars)
+    assert files.outside(c, b.limit(0)).count() == len(chars)

@@ -282,3 +282,47 @@ def test_calls_that_hang_keep_no_place():
     assert got == {"hang 1": None, "hang 2": None, "a": "A", "b": "B", "once": "ONCE", "c": "C"}
     assert time.monotonic() - began < 5 and seen.count("hang 1") == 2 and seen.count("a") == 1
     assert Calls(call, {}, None, 1, 1.0, 2).replies([]) == {}
+
+
+def test_score_cache_drops_the_oldest(spark, tmp_path):
+    path, held, n = str(tmp_path / "scores"), [], 0
+    for size in (5, 4, 1, 1, 7, 40, 3, 0):
+        rows = [(1, "Q ", f"k{n + i:03}", f"c{n + i}", i, 0.0) for i in range(size)]
+        hits = spark.createDataFrame(rows + [(1, "q", k, "x", 99, 0.0) for k in held[-2:]], "query_id int, query string, key string, content string, rank int, score double")
+        retrieve.rerank_stored(hits, path, most=10, drop=4).collect()
+        for r in rows:
+            if len(held) >= 10:
+                held = held[4:]
+            held.append(r[2])
+        n += size
+        assert sorted(r["key"] for r in retrieve.cached_scores(spark, path).collect()) == held
+    retrieve.pruned_scores(spark, path, path + "-pruned")
+    assert sorted(r["key"] for r in retrieve.cached_scores(spark, path + "-pruned").collect()) == held
+    assert spark.read.parquet(path + "-pruned").count() == len(held) < spark.read.parquet(path).count()
+
+
+def test_vector_index_finds_what_a_scan_finds(spark, tmp_path):
+    import math
+    import random
+
+    from millrace.operators import vector_index
+
+    rnd = random.Random(41)
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(k, [c + rnd.gauss(0, 0.15) for c in centres[k % 12]], k % 4) for k in range(900)]
+    rows += [(900, [0.0] * 8, 0), (901, None, 1), (902, [math.nan] + [1.0] * 7, 1), (903, rows[5][1], 2), (904, rows[5][1], 1)]
+    vectors = spark.createDataFrame(rows, "key long, v array<float>, part int")
+    queries = spark.createDataFrame([(k, rows[k][1]) for k in (5, 17, 40)] + [(900, [0.0] * 8), (77, [rnd.gauss(0, 1) for _ in range(8)])], "query_id int, q array<float>")
+    path = str(tmp_path / "vectors")
+    vector_index.write(vectors, path, list_rows=40)
+    for allowed in (None, F.col("part") == 1):
+        search = vector_index.Search(spark, path, queries, 10, allowed)
+        shown = [sorted((r["query_id"], r["rank"], r["key"], str(r["score"])) for r in x.collect()) for x in (search.hits(), retrieve.vector_topk(vectors, queries, 10, allowed))]
+        assert shown[0] == shown[1] and len(shown[0]) == 50
+        seen = {r["query_id"]: (r["lists"], r["read"]) for r in search.report().collect()}
+        assert seen[5][1] < seen[5][0] / 2 and seen[900][1] == seen[900][0] > 15
+    # A filter that leaves fewer than k rows opens all lists.
+    few = vector_index.Search(spark, path, queries.limit(1), 10, F.col("key") < 3)
+    assert few.hits().count() == 3
+    vector_index.write(vectors.limit(0), path + "-none")
+    assert vector_index.Search(spark, path + "-none", queries, 3).hits().count() == 0
