@@ -169,18 +169,26 @@ def token_rarity(df: DataFrame, rules: Sequence[PatternRule], url_col: str = "ur
     """How many URLs hold each token of the rules: counts over all rows.
 
     Only tokens that rules name are counted, so the result has at most as many
-    rows as the rules have tokens; it is summed before the shuffle.
+    rows as the rules have tokens; they are looked up in one hash table a task, and
+    summed before the shuffle.
     """
     known = rule_tokens(rules)
     if not known:
         return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(F.col(url_col), F.lit("")), *_LOWER), F.lit("[a-z0-9]+"), F.lit(0)))
-    held = df.select(F.explode(F.array_intersect(tokens, F.lit(known))).alias("token"))
+    # A rule list is small: the driver holds it.
+    named = F.broadcast(df.sparkSession.createDataFrame([(t,) for t in known], "token string"))
+    held = df.select(F.explode(tokens).alias("token")).join(named, "token", "left_semi")
     return {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 class PatternIndex:
-    """Rules under their rarest token; rules without a token are tried always."""
+    """Rules under their rarest token; rules without a token are tried always.
+
+    Where a match may also hold that token as the end of a longer run, a URL's run
+    looks up its ends of the lengths that such tokens have, so the work follows the
+    number of lengths, not that of rules.
+    """
 
     def __init__(self, rules: Sequence[PatternRule], rarity: dict[str, int]):
         self.rules = [(r.name, r.verdict, re.compile(r.pattern)) for r in rules]
@@ -195,6 +203,7 @@ class PatternIndex:
                     self.by_end.setdefault(rarest, []).append(k)
             else:
                 self.always.append(k)
+        self.lengths = sorted({len(t) for t in self.by_end})
 
     def judge(self, url: str | None) -> tuple[str | None, str, int]:
         """The first fitting rule in the order given, its verdict, and how many expressions ran."""
@@ -204,9 +213,10 @@ class PatternIndex:
         found = set(self.always)
         for t in set(_TOKEN.findall(low)):
             found.update(self.by_token.get(t, ()))
-            for end, rules in self.by_end.items():
-                if t.endswith(end):
-                    found.update(rules)
+            for n in self.lengths:
+                if n >= len(t):
+                    break
+                found.update(self.by_end.get(t[-n:], ()))
         for n, k in enumerate(sorted(found), 1):
             name, verdict, pattern = self.rules[k]
             if pattern.search(low):

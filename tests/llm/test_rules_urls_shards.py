@@ -58,6 +58,9 @@ def test_index_finds_what_all_rules_find():
 
 
 def test_index_finds_tokens_that_end_longer_ones():
+    ends = url_filter.PatternRule("ends", "block", "format=[^&]")
+    assert url_filter.PatternIndex([ends], {}).judge("http://a.org/feed?dateformat=rss")[0] == "ends"
+    assert url_filter.PatternIndex([ends], {}).judge("http://a.org/feed?formatted=rss")[0] is None
     for rarity in ({"feed": 431}, {"format": 9, "rss": 9}, {"feed": 1, "format": 1}):
         index = url_filter.PatternIndex(url_filter.PATTERN_RULES, rarity)
         assert index.judge("http://a.org/feed?dateformat=rss")[:2] == ("feed", "block")
@@ -84,6 +87,24 @@ def test_tokens_are_read_off_the_expressions(spark, tmp_path):
     assert [(r.name, r.verdict, r.pattern, r.tokens) for r in rules] == [("shop", "block", "[.-]shop[.-]", ("shop",)), ("school", "allow", "/school /x y", ("school", "x"))]
 
 
+def test_a_long_rule_list(spark, tmp_path):
+    rnd = random.Random(19)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 5)))
+    shapes = ["[.-]{}[.-]", "/{}/", "{}=", "/{}/?([?#]|$)", "://[^/?#]*{}[.]", "/{}[^/]*/{}/"]
+    lines = [f"r{k} {rnd.choice(['allow', 'block'])} {shape.format(word(), word())}" for k, shape in enumerate(rnd.choice(shapes) for _ in range(4000))]
+    (tmp_path / "rules").write_text("\n".join(lines))
+    rules = url_filter.load_rules(spark, f"file://{tmp_path}/rules")
+    urls = [f"http://{word()}.{word()}-{word()}.org/{word()}/x{word()}/{word()}?{word()}=1&{word()}{word()}={word()}" for _ in range(150)] + [None, ""]
+    rows = url_filter.match_patterns(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, keep=["page_id"]).collect()
+    compiled, tried = [(r.name, re.compile(r.pattern)) for r in rules], 0
+    for r in rows:
+        url = urls[r["page_id"]]
+        assert r["pattern"] == next((n for n, p in compiled if url and p.search(url)), None), url
+        tried += r["tried"]
+    # A few of the rules run for a URL, not all.
+    assert len(rules) == 4000 and tried < 0.05 * len(urls) * len(rules)
+
+
 def test_urls(spark):
     urls = {
         "http://WWW.Example.com/en/x?a": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
@@ -107,7 +128,7 @@ def test_urls(spark):
 
 def test_sql_twins(spark):
     con = duckdb.connect()
-    for t in ("pages", "documents", "embeddings"):
+    for t in ("pages", "documents", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         rows = queries.QUERIES[name](spark, SF)
