@@ -273,8 +273,9 @@ SELECT *, CASE node
   WHEN 'grade_hallucination' THEN CASE WHEN grounded THEN 'grade_answer' WHEN generations < 3 THEN 'generate' ELSE 'finalize_gen_limit' END
   WHEN 'grade_answer' THEN CASE WHEN NOT answers AND rewrites < 2 THEN 'rewrite_query' ELSE 'finalize' END
   WHEN 'contextualize' THEN 'retrieve' WHEN 'retrieve' THEN 'grade_docs' WHEN 'rewrite_query' THEN 'retrieve' ELSE 'end' END AS following
-FROM (SELECT unnest({NODES}) AS node), (SELECT unnest(range(3))::INT AS n_relevant), (SELECT unnest(range(4))::INT AS rewrites), (SELECT unnest(range(5))::INT AS generations),
-     (SELECT unnest([false, true]) AS high), (SELECT unnest([false, true]) AS grounded), (SELECT unnest([false, true]) AS answers)"""
+FROM (SELECT conv_id, turn, {NODES}[k % 8 + 1] AS node, (k // 8 % 3)::INT AS n_relevant, (k // 24 % 4)::INT AS rewrites, (k // 96 % 5)::INT AS generations,
+             k // 7 % 3 = 1 AS high, k // 3 % 2 = 1 AS grounded, k // 5 % 2 = 1 AS answers
+      FROM (SELECT *, conv_id * 8 + turn AS k FROM conversations))"""
 
 VERDICTS = r"""
 WITH s AS (SELECT event_id, event_id % 6 AS n, event_type, '{"relevant": "yes", "reason": "' || event_type || '"}' AS said FROM events),
