@@ -20,7 +20,7 @@ from millrace.sources import files
 
 _CHUNK = "chunk_id string, file_hash string, filename string, source_path string, page int, article_label string, kind string, language_hint string, doc_version string, content string, token_estimate int, version int, department string, access_level string"
 _TABLES = {
-    "manifest": "source_path string, file_hash string, chunk_count int, version int",
+    "manifest": "source_path string, file_hash string, chunk_count int, length long, modified long, version int",
     "chunks": _CHUNK,
     "vectors": "source_path string, chunk_id string, file_hash string, v array<float>, version int, department string, access_level string",
     "gone": "source_path string, file_hash string, version int",
@@ -40,10 +40,10 @@ def last_version(spark: SparkSession, index_dir: str) -> int:
 
 
 def manifest(spark: SparkSession, index_dir: str, upto: int | None = None) -> DataFrame:
-    """source_path, file_hash, chunk_count of the files that are indexed now, or were at a version."""
+    """source_path, file_hash, chunk_count, length, modified of the files that are indexed now, or were at a version."""
     rows = _log(spark, index_dir, "manifest")
-    rows = (rows if upto is None else rows.where(F.col("version") <= upto)).groupBy("source_path").agg(F.max_by(F.struct("file_hash", "chunk_count"), "version").alias("m"))
-    return rows.select("source_path", "m.file_hash", "m.chunk_count").where("file_hash is not null")
+    rows = (rows if upto is None else rows.where(F.col("version") <= upto)).groupBy("source_path").agg(F.max_by(F.struct("file_hash", "chunk_count", "length", "modified"), "version").alias("m"))
+    return rows.select("source_path", "m.*").where("file_hash is not null")
 
 
 def _current(spark: SparkSession, index_dir: str, name: str, upto: int | None = None) -> DataFrame:
@@ -84,24 +84,29 @@ def stats(spark: SparkSession, index_dir: str) -> DataFrame:
 def build_index(spark: SparkSession, raw_dir: str, index_dir: str, department: str = "general", access_level: str = "internal", doc_version: str = "v1", rebuild: bool = False, config: Config | None = None, embedder=None) -> DataFrame:
     """Brings the index up to the folder's state; a one-row summary.
 
-    Hashes decide before anything is parsed: only new and changed files are.
-    rebuild treats every file as changed. A file's department is its first
+    Files of the path, length and time that the index has are not opened. Of the
+    others hashes decide before anything is parsed: only new and changed files are.
+    rebuild reads all, and treats every file as changed. A file's department is its first
     folder below raw_dir, or the given one. Unreadable files are left as they
     were and counted as failed.
     """
     version = last_version(spark, index_dir) + 1
-    scan, known = files.scan(spark, raw_dir), manifest(spark, index_dir)
-    changes = index.classify(scan, known)
+    files.listing(spark, raw_dir).write.mode("overwrite").parquet(f"{index_dir}/listing/version={version}")
+    listed, known = spark.read.parquet(f"{index_dir}/listing/version={version}"), manifest(spark, index_dir)
+    same = known.where("false" if rebuild else "true").join(listed, ["source_path", "length", "modified"], "left_semi")
+    scan = files.read(listed.join(same, "source_path", "left_anti"), raw_dir)
+    changes = index.classify(scan.select("source_path", "file_hash").unionByName(same.select("source_path", "file_hash")), known)
     if rebuild:
         changes = changes.withColumn("status", F.when(F.col("status") == "unchanged", "changed").otherwise(F.col("status")))
-    return write_version(spark, raw_dir, index_dir, version, scan, changes, department, access_level, doc_version, config, embedder)
+    return write_version(spark, raw_dir, index_dir, version, scan, changes, department, access_level, doc_version, config, embedder, listed)
 
 
-def write_version(spark: SparkSession, raw_dir: str, index_dir: str, version: int, scan: DataFrame, changes: DataFrame, department: str = "general", access_level: str = "internal", doc_version: str = "v1", config: Config | None = None, embedder=None) -> DataFrame:
+def write_version(spark: SparkSession, raw_dir: str, index_dir: str, version: int, scan: DataFrame, changes: DataFrame, department: str = "general", access_level: str = "internal", doc_version: str = "v1", config: Config | None = None, embedder=None, listed: DataFrame | None = None) -> DataFrame:
     """Writes one version over what may be there of it: the same call twice leaves one version.
 
     scan: source_path, content, file_hash of the files in question. changes: what
     index.classify says of them against the versions before, deletions included.
+    listed: source_path, length, modified, by which a later run knows files that need no look.
     """
     config = config or Config()
     changes.write.mode("overwrite").parquet(f"{index_dir}/changes/version={version}")
@@ -126,9 +131,15 @@ def write_version(spark: SparkSession, raw_dir: str, index_dir: str, version: in
     ended = _current(spark, index_dir, "chunks", version - 1).join(spark.read.parquet(f"{index_dir}/gone/version={version}"), ["source_path", "file_hash"], "left_semi")
     as_rows = lambda df: _keyed(df).select("key", "department", "access_level", F.col("content").alias("text"))
     segments.append(spark, _lexical(index_dir), version, as_rows(rows), as_rows(ended))
+    stat = listed if listed is not None else changes.select("source_path", F.lit(None).cast("long").alias("length"), F.lit(None).cast("long").alias("modified"))
     count = index.next_manifest(good.select("source_path", "file_hash"), rows)
+    # Files of the same bytes and another time are noted, so that they aren't read for it again.
+    was = manifest(spark, index_dir, version - 1)
+    touched = was.join(changes.where("status = 'unchanged'"), "source_path", "left_semi").select("source_path", "file_hash", "chunk_count", "length", "modified")
+    touched = touched.join(listed, ["source_path", "length", "modified"], "left_anti") if listed is not None else touched.where("false")
     dropped = changes.where("status = 'deleted'").select("source_path", F.lit(None).cast("string").alias("file_hash"), F.lit(0).alias("chunk_count"))
-    count.unionByName(dropped).write.mode("overwrite").parquet(f"{index_dir}/manifest/version={version}")
+    noted = count.unionByName(touched.select("source_path", "file_hash", "chunk_count")).unionByName(dropped).join(stat, "source_path", "left")
+    noted.write.mode("overwrite").parquet(f"{index_dir}/manifest/version={version}")
     failed = parsed.agg(F.count_if(F.col("error").isNotNull()).alias("failed"))
     return index.run_summary(changes).join(failed)
 

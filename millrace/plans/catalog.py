@@ -18,7 +18,7 @@ from millrace.config import Agent
 from millrace.functions import tables, text
 from millrace.functions.folders import kept, shared_folder
 from millrace.functions.spread import spread
-from millrace.operators import access, agent, audit, chunk, index, models, reports, retrieve, segments, vector_index
+from millrace.operators import access, agent, audit, buckets, chunk, index, models, reports, retrieve, segments, vector_index
 from millrace.plans import sql as S
 from millrace.sources import files
 
@@ -601,6 +601,26 @@ def upsert_snapshots(spark, d):
     return index.upsert(old, new, order="doc_id")
 
 
+_BUCKET = "(('0x' || md5(source_path)[1:8])::BIGINT % 256)::INT"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id::VARCHAR AS source_path, doc_id, sha256(text) AS h, {_BUCKET.replace('source_path', 'doc_id::VARCHAR')} AS bucket FROM documents),
+s AS (SELECT *, CASE WHEN doc_id % 100 IN (3, 5) THEN sha256(h || '+') ELSE h END AS file_hash FROM d WHERE doc_id % 100 <> 7),
+v AS (SELECT bucket, max(CASE WHEN doc_id % 100 = 7 THEN 3 WHEN doc_id % 100 IN (3, 5) THEN 2 ELSE 1 END)::INT AS version FROM d GROUP BY 1)
+SELECT source_path, file_hash, bucket, version FROM s JOIN v USING (bucket)""")
+def upsert_buckets(spark, d):
+    # All documents but some, an upsert that adds and changes, a delete; version is that of the bucket.
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), "doc_id", F.sha2("text", 256).alias("file_hash"))
+    last = F.pmod("doc_id", F.lit(100))
+    table = buckets.BucketTable.create(docs.where(last != 3).drop("doc_id"), f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}", ["source_path"], 256)
+    changed = docs.where(last.isin(3, 5))
+    twice = changed.withColumn("at", F.lit(1)).unionByName(changed.withColumns({"file_hash": F.sha2(F.concat("file_hash", F.lit("+")), 256), "at": F.lit(2)}))
+    table.upsert(twice, order="at")
+    table.delete(docs.where(last == 7))
+    return table.read().select("source_path", "file_hash", "bucket", "version")
+
+
 # Conversations -----------------------------------------------------------------
 
 

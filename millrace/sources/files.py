@@ -1,12 +1,15 @@
-"""Documents from raw files: scan, routing by extension, TXT, DOCX and PDF readers.
+"""Documents from raw files: listing, routing by extension, TXT, DOCX and PDF readers.
 
-binaryFile lists and reads the files on the executors. A file that cannot be
-read becomes a row with its error and no blocks; it never stops a run.
+Tasks list the folders (a Python data source) and read the bytes of the files
+that are asked for; no path goes through the driver but those of the folders
+right below the root. A file that cannot be read becomes a row with its error
+and no blocks; it never stops a run.
 """
 
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -14,8 +17,11 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as storage
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.functions import tables, text
 
@@ -36,17 +42,102 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./]*$", 0))
 
 
-def scan(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """source_path, content, file_hash of every supported file below raw_dir, empty files too.
+def _opened(root: str) -> tuple[storage.FileSystem, str, str]:
+    """The file system of a folder, the folder in it, and what stands before such paths in source_path."""
+    plain = re.sub("^file:/+", "/", root).rstrip("/")
+    if "://" not in plain:
+        return storage.LocalFileSystem(), os.path.abspath(plain), "file:"
+    system, at = storage.FileSystem.from_uri(plain)
+    return system, at.rstrip("/"), plain.removesuffix(at.rstrip("/"))
+
+
+class _ListingReader(DataSourceReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def _below(self, folder: str, deep: bool) -> list[storage.FileInfo]:
+        system, at, _ = _opened(self.root)
+        # Names that Spark takes for hidden are passed over.
+        shown = lambda path: not any(n.startswith(".") or (n.startswith("_") and "=" not in n) for n in path[len(at) :].split("/"))
+        return [i for i in system.get_file_info(storage.FileSelector(folder, recursive=deep)) if shown(i.path)]
+
+    def partitions(self) -> list[InputPartition]:
+        at = _opened(self.root)[1]
+        folders = sorted(i.path for i in self._below(at, False) if i.type == storage.FileType.Directory)
+        return [InputPartition((at, False)), *(InputPartition((f, True)) for f in folders)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        prefix = _opened(self.root)[2]
+        for i in self._below(*partition.value):
+            if i.type == storage.FileType.File:
+                yield prefix + i.path, i.size, i.mtime_ns
+
+
+class FileListing(DataSource):
+    """Files below a folder with length and time of change (nanoseconds): a task for each folder right below it."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "millrace_files"
+
+    def schema(self) -> str:
+        return "source_path string, length long, modified long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ListingReader(self.options["path"])
+
+
+def listing(spark: SparkSession, raw_dir: str) -> DataFrame:
+    """source_path, length, modified of every supported file below raw_dir; no file is opened."""
+    spark.dataSource.register(FileListing)
+    found = spark.read.format(FileListing.name()).load(raw_dir)
+    return found.where(extension(F.col("source_path")).isin(*EXTENSIONS))
 
-    Spark's scan passes over files without bytes, so those are added from its listing.
+
+#: Bytes that a task reads, and that it gives on at a time, about.
+TASK, BATCH = 64 << 20, 16 << 20
+
+
+def _bytes(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _, prefix = _opened(root)
+        out, held = [], 0
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([c for _, c in out], pa.binary())], ["source_path", "content"])
+
+        for path in (p for b in batches for p in b.column(0).to_pylist()):
+            try:
+                with system.open_input_stream(path.removeprefix(prefix)) as f:
+                    data = f.read()
+            except OSError:
+                data = None
+            if out and held + len(data or b"") > BATCH:
+                yield given()
+                out, held = [], 0
+            out.append((path, data))
+            held += len(data or b"")
+        if out:
+            yield given()
+
+    return run
+
+
+def read(listed: DataFrame, raw_dir: str) -> DataFrame:
+    """source_path, content, file_hash of listed files, each read whole in one task.
+
+    What can't be read has null content and an empty hash. Files are dealt out by
+    number; there are as many tasks as their bytes ask for, or cores.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw_dir)
-    plain = F.regexp_replace("path", "^file:/+", "file:/")
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(F.url_decode(plain).alias("path"))
-    empty = listed.join(files.select(plain.alias("path")), "path", "left_anti").select("path", F.lit("").cast("binary").alias("content"))
-    both = files.select("path", "content").unionByName(empty)
-    return both.where(extension(F.col("path")).isin(*EXTENSIONS)).select(F.col("path").alias("source_path"), "content", F.sha2("content", 256).alias("file_hash"))
+    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(listed.sparkSession.sparkContext.defaultParallelism, total // TASK + 1)
+    rows = listed.select("source_path").repartition(tasks).mapInArrow(_bytes(raw_dir), "source_path string, content binary")
+    return rows.select("source_path", "content", F.coalesce(F.sha2("content", 256), F.lit("")).alias("file_hash"))
+
+
+def scan(spark: SparkSession, raw_dir: str) -> DataFrame:
+    """source_path, content, file_hash of every supported file below raw_dir, empty files too."""
+    return read(listing(spark, raw_dir), raw_dir)
 
 
 def grouped_paragraphs(paragraphs: Sequence[str], limit: int = PAGE_CHARS) -> list[tuple[str, int]]:
@@ -144,6 +235,8 @@ def _parsed(ext: Column, content: Column, readers: dict[str, Reader]) -> Column:
                 try:
                     if e not in readers:
                         raise ValueError(f"no reader for {e!r}")
+                    if c is None:
+                        raise OSError("the file could not be read")
                     pages, parts = readers[e](c)
                     rows.append((True, None, pages, [{"kind": k, "content": t, "cells": cells, "page": p} for k, t, cells, p in parts]))
                 except Exception as error:
@@ -176,4 +269,4 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 
 def relative(path: Column, raw_dir: str) -> Column:
-    return F.regexp_replace(path, "^(file:)?/*" + re.escape(raw_dir.strip("/")) + "/", "")
+    return F.regexp_replace(path, "^(file:)?/*" + re.escape(re.sub("^file:/+", "", raw_dir).strip("/")) + "/", "")

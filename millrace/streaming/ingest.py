@@ -82,7 +82,7 @@ def index_batch(spark: SparkSession, raw_dir: str, index_dir: str, **settings) -
     def batch(rows: DataFrame, number: int) -> None:
         scan = _scanned(rows).drop("at")
         known = build.manifest(spark, index_dir, number)
-        here = files.scan(spark, raw_dir).select("source_path")
+        here = files.listing(spark, raw_dir).select("source_path")
         # Of the indexed files that this batch doesn't bring, those that are gone.
         gone = known.join(here, "source_path", "left_anti").join(scan.select("source_path"), "source_path", "left_anti")
         touched = known.join(scan.select("source_path"), "source_path", "left_semi").unionByName(gone)

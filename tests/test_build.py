@@ -82,3 +82,30 @@ def test_a_replayed_batch_is_one_version(spark, tmp_path):
     run(rows, 1)
     assert seen == [1, 1, 0] and ingest.latest_manifest(spark, f"{tmp_path}/manifest").count() == 1
     assert spark.read.parquet(f"{tmp_path}/manifest").count() == 1
+
+
+def test_only_files_that_changed_are_opened(spark, tmp_path, monkeypatch):
+    raw, out = tmp_path / "raw", str(tmp_path / "index")
+    (raw / "hr/deep").mkdir(parents=True)
+    (raw / "_hidden").mkdir()
+    for at in ("a.txt", "hr/b b.txt", "hr/deep/c%20.TXT", "_hidden/d.txt"):
+        (raw / at).write_text(at + LONG)
+    asked = []
+    whole = build.files.read
+    monkeypatch.setattr(build.files, "read", lambda listed, root: asked.append(sorted(r["source_path"].rsplit("/", 1)[1] for r in listed.collect())) or whole(listed, root))
+    run = lambda **more: build.build_index(spark, f"file://{raw}", out, **more).first().asDict()
+    assert run()["added"] == 3
+    (raw / "a.txt").write_text("a.txt" + LONG)  # another time, the same bytes
+    (raw / "hr/b b.txt").write_text("other" + LONG)
+    assert run() == {"total": 3, "added": 1, "skipped": 2, "deleted": 0, "failed": 0}
+    assert {r["department"] for r in build.chunks(spark, out).collect()} == {"general", "hr"}
+    assert run()["skipped"] == 3
+    assert asked == [["a.txt", "b b.txt", "c%20.TXT"], ["a.txt", "b b.txt"], []]
+    assert build.stats(spark, out).first().asDict() == {"files": 3, "chunks": 3, "vectors": 3}
+
+
+def test_a_file_that_cannot_be_opened_is_a_row(spark, tmp_path):
+    listed = spark.createDataFrame([(f"file:{tmp_path}/gone.txt", 3, 1)], "source_path string, length long, modified long")
+    row = build.files.load(build.files.read(listed, str(tmp_path))).first()
+    assert row["error"].startswith("OSError") and row["blocks"] == [] and row["file_hash"] == ""
+    assert build.files.listing(spark, str(tmp_path)).count() == 0 and build.files.scan(spark, str(tmp_path)).count() == 0
