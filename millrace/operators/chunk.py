@@ -1,9 +1,9 @@
 """Article-aware chunking: boundaries, annex context, splitting, identifiers.
 
 A document's blocks are cut at article headings, long segments are split by a
-cascade of separators, and what remains is numbered. Headings and splits need
-character offsets and back-tracking, so those two steps are Arrow functions;
-the rest are windows over one document's rows.
+cascade of separators, and what remains is numbered. Splits need back-tracking,
+so that step is an Arrow function; headings are found by expressions and array
+functions on one text, the rest are windows over one document's rows.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import ARTICLE_PATTERNS, Chunking
-from millrace.functions.text import strip
+from millrace.functions.text import WS, strip
 
 # Fixed values.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", " ", "")
 ANNEX_WORDS = ("ilova", "приложение", "annex")
 LABEL_CHARS = 40
 
-SEGMENT = "array<struct<off: int, label: string, content: string>>"
+#: Stands before a heading while a text is cut; and what follows such a mark of the text's own.
+CUT, OWN = "\ufdd0", "\ufdd1"
 
 
 def heading_re(patterns: Sequence[str] = ARTICLE_PATTERNS) -> re.Pattern:
@@ -86,15 +87,41 @@ def recursive_split(text: str, size: int = 800, overlap: int = 120, separators:
     return done + (_merged(run, size, overlap) if run else [])
 
 
+def _java(pattern: str) -> str:
+    return pattern.replace(r"\s", f"[{WS}]").replace(r"\d", r"\p{Nd}")
+
+
 def segment_column(content: Column, patterns: Sequence[str] = ARTICLE_PATTERNS) -> Column:
-    patterns = tuple(patterns)
+    """From heading to heading, what comes before the first in front: an array of n, label, content; null for null.
+
+    n is the part's length with its white space, content is stripped and may be
+    empty. A text without headings is one part as it is. Every heading gets a mark
+    before it, and the text is cut at the marks, in time linear in it. Of classes the
+    patterns may use sets, ``\\s`` and ``\\d``, which are Unicode's.
+    """
+    heading = "(?miud)" + "|".join(_java(p) if p.startswith("^") else f"^{_java(p)}" for p in patterns)
+    marked = F.regexp_replace(F.replace(content, F.lit(CUT), F.lit(CUT + OWN)), heading, CUT + "$0")
+
+    def cut(parts: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            whole = F.replace(p, F.lit(CUT + OWN), F.lit(CUT))
+            line = strip(F.regexp_extract(whole, r"\A[^\n]*", 0))
+            label = F.substring(strip(F.regexp_extract(line, r"\A[^.\-—:]*", 0)), 1, LABEL_CHARS)
+            return F.struct(F.length(whole).alias("n"), F.when(i > 0, label).alias("label"), F.when(F.size(parts) == 1, whole).otherwise(strip(whole)).alias("content"))
+
+        return F.transform(parts, one)
+
+    # Through an array of one, so that the text is cut once.
+    return F.transform(F.array(F.split(marked, f"{CUT}(?!{OWN})")), cut)[0]
 
-    @F.pandas_udf(SEGMENT)
-    def run(text: pd.Series) -> pd.Series:
-        heading = heading_re(patterns)
-        return text.map(lambda t: [{"off": o, "label": la, "content": c} for o, la, c in segments(t, heading)], na_action="ignore")
 
-    return run(content)
+def segment_rows(rows: DataFrame, doc: Sequence[str], content: str = "content", patterns: Sequence[str] = ARTICLE_PATTERNS) -> DataFrame:
+    """A row for each segment of the texts, one a document, with off (in code points), label, content; blank ones are left out."""
+    kept = [c for c in rows.columns if c != content]
+    cut = rows.select(*[f"`{c}`" for c in kept], F.posexplode(segment_column(F.col(content), patterns)).alias("_i", "_s"))
+    before = Window.partitionBy(*doc).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    off = F.coalesce(F.sum("_s.n").over(before), F.lit(0)).cast("int")
+    return cut.select(*[f"`{c}`" for c in kept], off.alias("off"), F.col("_s.label").alias("label"), F.col("_s.content").alias("content")).where("content <> ''")
 
 
 def split_column(content: Column, size: int, overlap: int) -> Column:
@@ -129,13 +156,14 @@ def with_annex(rows: DataFrame, doc: Sequence[str], order: Sequence[str], kind:
 def chunk_blocks(blocks: DataFrame, settings: Chunking | None = None) -> DataFrame:
     """Chunks of blocks(source_path, filename, file_hash, language_hint, block_idx, kind, content, page)."""
     settings = settings or Chunking()
-    whole = F.array(F.struct(F.lit(0).alias("off"), F.lit(None).cast("string").alias("label"), F.col("content")))
+    whole = F.array(F.struct(F.length("content").alias("n"), F.lit(None).cast("string").alias("label"), F.col("content")))
     cut = F.when(F.col("kind") == "table", whole).otherwise(segment_column(F.col("content"), settings.article_patterns))
-    rows = blocks.withColumn("_s", F.explode(cut)).withColumns({"off": F.col("_s.off"), "label": F.col("_s.label"), "content": F.col("_s.content")}).drop("_s")
-    rows = with_annex(rows, ["source_path", "file_hash"], ["block_idx", "off"])
+    rows = blocks.select("*", F.posexplode(cut).alias("segment", "_s")).where("_s.content <> ''")
+    rows = rows.withColumns({"label": F.col("_s.label"), "content": F.col("_s.content")}).drop("_s")
+    rows = with_annex(rows, ["source_path", "file_hash"], ["block_idx", "segment"])
     pieces = F.when(F.col("kind") == "table", F.array("content")).otherwise(split_column(F.col("content"), settings.size, settings.overlap))
     rows = rows.select("*", F.posexplode(pieces).alias("piece", "_c")).withColumn("content", strip(F.col("_c"))).drop("_c", "label")
-    return numbered(rows.where(F.length("content") >= settings.min_chars), ["block_idx", "off", "piece"])
+    return numbered(rows.where(F.length("content") >= settings.min_chars), ["block_idx", "segment", "piece"])
 
 
 def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -461,8 +461,15 @@ def _legal(spark, d) -> DataFrame:
 
 
 def _segments(spark, d) -> DataFrame:
-    rows = _legal(spark, d).select("doc_id", "kind", F.explode(chunk.segment_column(F.col("content"))).alias("s"))
-    return rows.select("doc_id", "kind", "s.off", "s.label", "s.content")
+    return chunk.segment_rows(_legal(spark, d), ["doc_id"])
+
+
+@query(S.HEADINGS)
+def heading_forms(spark, d):
+    # Lines get headings of all kinds, in either case; two in twenty have none, so that texts have preambles and longer bodies.
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.get(F.array(*map(F.lit, S.HEADS)), (i + F.col("doc_id")).cast("int") % len(S.HEADS)), x))
+    rows = _texts(spark, d).select("doc_id", F.array_join(lines, "\n").alias("content"))
+    return chunk.segment_rows(rows, ["doc_id"]).select("doc_id", "off", "label", F.sha2("content", 256).alias("sha"))
 
 
 @query(f"WITH {S.LEGAL} SELECT doc_id, off::INT AS off, label FROM heads")

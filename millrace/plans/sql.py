@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.config import ARTICLE_PATTERNS
 from millrace.functions import text
 from millrace.operators import agent, chunk, models
 
@@ -196,6 +197,20 @@ heads AS (
   FROM lines)"""
 
 
+HEADS = (
+    "", "12-modda. ", "3-MODDA ", "Статья 5. ", "7 СТАТЬЯ ", "Article 9: ", "2-bob. ", "article 41 ", "Глава 3. ", "IV BOʻLIM ", "x boʻlim ",
+    "no heading ", "V BO'LIM ", "\n \n12. a", "\t7. Ў", "Ilova 2 ", "3-ILOVA ", "8-ilova ", "Приложение 4 ", "1234. B",
+)
+_HEADING = "(?mi)" + "|".join(p if p.startswith("^") else f"^{p}" for p in ARTICLE_PATTERNS).replace(r"\s", f"[{_WS}]").replace(r"\d", r"\p{Nd}").replace("'", "''")
+_LABEL = strip("regexp_extract(" + strip("regexp_extract(p, '^[^\n]*')") + ", '^[^.—:-]*')")
+HEADINGS = f"""
+WITH t AS (SELECT doc_id, string_agg([{", ".join(map(quoted, HEADS))}][(i - 1 + doc_id) % {len(HEADS)} + 1] || x, chr(10) ORDER BY i) AS t FROM ({_LINES}) GROUP BY 1),
+s AS (SELECT doc_id, string_split(regexp_replace(t, '{_HEADING}', chr(64976) || '\\0', 'g'), chr(64976)) AS p FROM t),
+e AS (SELECT doc_id, len(p) AS parts, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM s),
+o AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS off FROM e)
+SELECT doc_id, off, CASE WHEN i > 1 THEN left({_LABEL}, 40) END AS label, sha256(CASE WHEN parts = 1 THEN p ELSE {strip("p")} END) AS sha
+FROM o WHERE (CASE WHEN parts = 1 THEN p ELSE {strip("p")} END) <> ''"""
+
 
 def pieces(rows: str, size: int = 800, overlap: int = 120) -> str:
     """CTEs up to pieces (id, piece, content) of rows (id, text): split, merge, and split what is too long more finely.

@@ -110,6 +110,20 @@ def test_segments():
     assert seg("  \nArticle 1") [0][1] == "Article 1"
 
 
+def test_segments_in_the_jvm(spark):
+    pieces = ["12-modda. Baz", "СТАТЬЯ 5: x", "\n\n 7. Ўлчов", "\u00a05. Xarid", "٣-bob", "IV boʻlim — ъ", "Ilova", "plain", "", " ", "\t", "x\u2028Article 3", "a\r", "\ufdd0", "\ufdd0\ufdd1", "😀 body", "Article " + "9" * 60, "приложение", "1234. B"]
+    rng = random.Random(2)
+    texts = ["", " ", None, "\ufdd0", "Article 1", *["\n".join(rng.choices(pieces, k=rng.randrange(9))) for _ in range(300)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    got = {}
+    for r in chunk.segment_rows(rows, ["id"]).orderBy("id", "off").collect():
+        got.setdefault(r["id"], []).append((r["off"], r["label"], r["content"]))
+    want = {i: [s for s in chunk.segments(t, chunk.heading_re()) if s[2]] for i, t in enumerate(texts) if t is not None}
+    assert got == {i: s for i, s in want.items() if s}
+    plan = chunk.segment_rows(rows, ["id"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_split_properties():
     rng = random.Random(1)
     for _ in range(300):
