@@ -19,6 +19,7 @@ from millrace.functions import tables, text
 from millrace.functions.folders import kept, shared_folder
 from millrace.functions.spread import spread
 from millrace.operators import access, agent, audit, buckets, chunk, index, models, reports, retrieve, segments, vector_index
+from millrace.plans import build
 from millrace.plans import sql as S
 from millrace.sources import files
 
@@ -608,6 +609,41 @@ def upsert_snapshots(spark, d):
     return index.upsert(old, new, order="doc_id")
 
 
+def _as_files(spark, d) -> DataFrame:
+    """source, no, file, content: twenty documents of a source a file; every tenth is named as DOCX, which it isn't."""
+    rows = _t(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.floor(F.col("doc_id") / 20).alias("no"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("r"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["text"]), "\n")
+    made = rows.groupBy("source", "no").agg(F.concat(whole, F.lit("\n")).alias("content"))
+    return made.withColumn("path", F.concat("source", F.lit("/"), "no", F.when(F.col("no") % 10 == 1, ".docx").otherwise(".txt")))
+
+
+@query(S.FILES_READ)
+def files_read(spark, d):
+    raw = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    files.put(_as_files(spark, d), raw)
+    docs = files.load(files.scan(spark, raw))
+    of = files.relative(F.col("source_path"), raw).alias("file")
+    return docs.select(of, "file_hash", F.col("error").isNotNull().alias("failed"), "total_pages", F.size("blocks").alias("n_blocks"), "language_hint", F.sha2(F.get("blocks", F.lit(0))["content"], 256).alias("sha"))
+
+
+@query(S.LIFE_CYCLE)
+def index_life_cycle(spark, d):
+    # A folder is indexed, files come, change and go, and it is indexed again.
+    at = f"{shared_folder(spark)}/life-{uuid.uuid4().hex}"
+    raw, out = f"{at}/raw", f"{at}/index"
+    texts, n = _as_files(spark, d), F.col("no") % 10
+    files.put(texts.where(n != 3), raw)
+    build.build_index(spark, raw, out)
+    more = F.when(n == 5, F.concat("content", F.lit("One line more stands at the end of this file."))).when(n == 3, F.col("content"))
+    files.put(texts.where(n.isin(3, 5, 7)).withColumn("content", more), raw)
+    build.build_index(spark, raw, out)
+    seen = spark.read.parquet(f"{out}/changes/version=2").select("source_path", "status")
+    held = build.manifest(spark, out).select("source_path", "file_hash", "chunk_count")
+    of = lambda rows, name: rows.groupBy("source_path").agg(F.count("*").alias(name))
+    rows = seen.join(held, "source_path", "left").join(of(build.chunks(spark, out), "n_chunks"), "source_path", "left").join(of(build.vectors(spark, out), "n_vectors"), "source_path", "left")
+    return rows.na.fill(0, ["n_chunks", "n_vectors"]).select(files.relative(F.col("source_path"), raw).alias("file"), "status", "file_hash", "chunk_count", "n_chunks", "n_vectors")
+
+
 _BUCKET = "(('0x' || md5(source_path)[1:8])::BIGINT % 256)::INT"
 
 

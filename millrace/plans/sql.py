@@ -259,6 +259,26 @@ SELECT printf('%s_%04d', file_hash[1:8], n) AS chunk_id, content, doc_id::VARCHA
        article_label, 'en' AS language_hint, greatest(1, length(content) // 4)::INT AS token_estimate
 FROM n JOIN hashes USING (doc_id)"""
 
+# Files and the index over them: twenty documents of a source a file, some of them no DOCX although named so.
+_FILES = """
+f AS (SELECT coalesce(source, 'none') AS source, (doc_id // 20)::BIGINT AS no, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY ALL),
+g AS (SELECT *, source || '/' || no || (CASE WHEN no % 10 = 1 THEN '.docx' ELSE '.txt' END) AS file FROM f)"""
+FILES_READ = f"""
+WITH {_FILES}, c AS (SELECT *, {clean("t")} AS c FROM g)
+SELECT file, sha256(t) AS file_hash, no % 10 = 1 AS failed, (CASE WHEN no % 10 = 1 THEN 0 ELSE 1 END)::INT AS total_pages, (CASE WHEN no % 10 = 1 OR c = '' THEN 0 ELSE 1 END)::INT AS n_blocks,
+       CASE WHEN no % 10 = 1 THEN 'mixed' ELSE {script("c")} END AS language_hint, CASE WHEN no % 10 <> 1 AND c <> '' THEN sha256(c) END AS sha
+FROM c"""
+LIFE_CYCLE = f"""
+WITH {_FILES},
+o AS (SELECT file, sha256(t) AS old_hash FROM g WHERE no % 10 NOT IN (1, 3)),
+n AS (SELECT file, no % 10 = 1 AS failed, CASE WHEN no % 10 = 5 THEN t || 'One line more stands at the end of this file.' ELSE t END AS t FROM g WHERE no % 10 <> 7),
+a AS (SELECT file, CASE WHEN old_hash IS NULL THEN 'new' WHEN t IS NULL THEN 'deleted' WHEN sha256(t) = old_hash THEN 'unchanged' ELSE 'changed' END AS status, CASE WHEN NOT failed THEN sha256(t) END AS file_hash FROM o FULL JOIN n USING (file)),
+p AS (SELECT file, string_split(regexp_replace(c, '{_HEADING}', chr(64976) || '\\0', 'g'), chr(64976)) AS p FROM (SELECT file, {clean("t")} AS c FROM n WHERE NOT failed)),
+s AS (SELECT file, text, row_number() OVER () AS id FROM (SELECT file, {strip("unnest(p)")} AS text FROM p) WHERE text <> ''),
+{pieces("SELECT id, text FROM s")},
+k AS (SELECT file, count(*) AS n FROM s JOIN pieces USING (id) WHERE length({strip("content")}) >= 30 GROUP BY 1)
+SELECT file, status, file_hash, CASE WHEN file_hash IS NOT NULL THEN coalesce(n, 0)::INT END AS chunk_count, coalesce(n, 0) AS n_chunks, coalesce(n, 0) AS n_vectors FROM a LEFT JOIN k USING (file)"""
+
 # Conversations, grading ------------------------------------------------------------
 
 

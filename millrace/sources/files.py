@@ -135,6 +135,28 @@ def read(listed: DataFrame, raw_dir: str) -> DataFrame:
     return rows.select("source_path", "content", F.coalesce(F.sha2("content", 256), F.lit("")).alias("file_hash"))
 
 
+def put(rows: DataFrame, raw_dir: str) -> None:
+    """Writes rows (path below raw_dir, content binary) as files, each whole by one task; null content removes the file.
+
+    A task that runs again writes the same bytes over what it wrote.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at, _ = _opened(raw_dir)
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                full = f"{at}/{path}"
+                if data is not None:
+                    system.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(full) as f:
+                        f.write(data)
+                elif system.get_file_info(full).type == storage.FileType.File:
+                    system.delete_file(full)
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["path"])
+
+    rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def scan(spark: SparkSession, raw_dir: str) -> DataFrame:
     """source_path, content, file_hash of every supported file below raw_dir, empty files too."""
     return read(listing(spark, raw_dir), raw_dir)

@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that build on an order within a text or a group: held against their SQL on more rows too.
-ORDERED = ("article_segments", "chunk_documents", "heading_forms", "history_window", "page_approx", "paragraph_blocks", "recursive_split", "split_laws", "stride_sample")
+ORDERED = ("article_segments", "chunk_documents", "heading_forms", "history_window", "index_life_cycle", "page_approx", "paragraph_blocks", "recursive_split", "split_laws", "stride_sample")
 LARGER = "/root/testdata/sf0.01"
 
 
