@@ -6,6 +6,7 @@ One table of chunks is the source; postings and vectors are derived from it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,22 +63,39 @@ def term_stats(table: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def asked_terms(table: DataFrame, asked: DataFrame) -> tuple[DataFrame, float]:
-    """asked (query_id, term, qf) with idf, and the chunks' mean length; one pass over the token_table.
+@dataclass(frozen=True)
+class TermCounts:
+    """counts (term, df), written; number of chunks, mean length, and the mean of idf over all terms."""
+
+    counts: DataFrame
+    n: int
+    avgdl: float
+    mean: float
 
-    The terms' counts are summed before the shuffle and written, since both the
-    batch's words and the mean over all terms are read from them.
-    """
+
+def term_counts(table: DataFrame) -> TermCounts:
+    """One pass over the token_table; counts are summed before the shuffle and written, since they are read several times."""
     held = table.select(F.size("tokens").alias("dl"), exploded(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))))
     # The empty word stands for every chunk.
     counts = kept(held.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")), "terms")
     whole = counts.where("term = ''").select("df", "dl").first()
     n, words = (whole["df"], whole["dl"]) if whole else (0, 0)
-    raw = idf(F.lit(n), F.col("df"))
-    mean = counts.where("term <> ''").agg(F.avg(raw).alias("mean")).first()["mean"] or 0.0
-    own = counts.where("term <> ''").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    terms = own.select("term", F.when(raw < 0, EPSILON * mean).otherwise(raw).alias("idf"))
-    return asked.join(F.broadcast(terms), "term"), words / n if n else 0.0
+    counts = counts.where("term <> ''").select("term", "df")
+    mean = counts.agg(F.avg(idf(F.lit(n), F.col("df"))).alias("mean")).first()["mean"] or 0.0
+    return TermCounts(counts, n, words / n if n else 0.0, mean)
+
+
+def known_terms(counts: TermCounts, asked: DataFrame) -> DataFrame:
+    """(term, df, idf) of the asked words that the table has; asked is a batch's."""
+    own = counts.counts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    raw = idf(F.lit(counts.n), F.col("df"))
+    return own.select("term", "df", F.when(raw < 0, EPSILON * counts.mean).otherwise(raw).alias("idf"))
+
+
+def asked_terms(table: DataFrame, asked: DataFrame) -> tuple[DataFrame, float]:
+    """asked (query_id, term, qf) with idf, and the chunks' mean length; one pass over the token_table."""
+    counts = term_counts(table)
+    return asked.join(F.broadcast(known_terms(counts, asked).drop("df")), "term"), counts.avgdl
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("chunk_id",), order: str | None = None) -> DataFrame:

@@ -326,3 +326,26 @@ def test_vector_index_finds_what_a_scan_finds(spark, tmp_path):
     assert few.hits().count() == 3
     vector_index.write(vectors.limit(0), path + "-none")
     assert vector_index.Search(spark, path + "-none", queries, 3).hits().count() == 0
+
+
+def test_batch_search_in_blocks_and_groups(spark, monkeypatch):
+    # Null, zero, not finite and shorter vectors, equal scores, several blocks and groups: the rows of the scan by expressions.
+    monkeypatch.setattr(retrieve, "QUERIES", 2)
+    monkeypatch.setattr(retrieve, "ROWS", 3)
+    monkeypatch.setattr(retrieve, "GROUP_QUERIES", 3)
+    odd = [None, [], [0.0, 0.0], [1.0, float("nan")], [float("inf"), 1.0], [1.0], [None, 1.0]]
+    rows = [(k, odd[k] if k < len(odd) else [float(k % 5), float(k % 3 - 1)]) for k in range(40)]
+    vectors = spark.createDataFrame([*rows, (None, [1.0, 1.0])], "key long, v array<double>")
+    queries = vectors.where("key < 12").select(F.concat(F.lit("q"), "key").alias("query_id"), F.col("v").alias("q"))
+    got, want = (sorted(map(str, f.collect())) for f in (retrieve.vector_topk(vectors, queries, 7), retrieve.vector_topk(vectors.withColumn("one", F.lit(1)), queries.withColumn("one", F.lit(1)), 7, on=["one"])))
+    assert got == want and len(got) == 12 * 7
+
+
+def test_batch_search_without_filling(spark, monkeypatch):
+    # Words whose weight is 0 or less still make a hit; the rest of a batch's chunks are left out.
+    monkeypatch.setattr(retrieve, "GROUP_WORDS", 4)
+    monkeypatch.setattr(retrieve, "ROWS", 2)
+    table = spark.createDataFrame([(k, ["a"] * (1 + k % 3) + (["b"] if k % 2 else []) + ([f"w{k}"] if k > 5 else [])) for k in range(8)] + [(8, [])], "key long, tokens array<string>")
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(("a", "b b", "a b w7", "none", "w6 w6 a", "..."))], "query_id string, query string")
+    got, want = (sorted(map(str, f(table, queries, 4, zero_fill=False).select("query_id", "key", "score", "rank").collect())) for f in (retrieve.bm25_topk_long, retrieve.bm25_topk))
+    assert got == want and {r[14:16] for r in got} >= {"q0", "q1"}
