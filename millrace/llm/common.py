@@ -89,15 +89,22 @@ def addressed(docs: DataFrame, *columns: Column) -> DataFrame:
 def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """left joined with right on ``key``; right (written) has one row a key, and in ``weight`` left's rows of that key.
 
-    Keys with over a thousandth of all those rows, a thousand keys at most, are
-    broadcast, so that no task gets a hot key; the others meet by a shuffle.
+    Keys with over a thousandth of all those rows, a thousand keys at most, are told
+    apart by a filter and broadcast, so that no task gets a hot key; the others meet
+    by a shuffle. Each row of left goes one way, once.
     how: inner or left; rows of left without a key must not be left over.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
-    heavy = F.col(weight) > total / 1000
-    hot, cold = right.where(heavy).drop(weight), right.where(~heavy).drop(weight)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
-    return left.join(F.broadcast(hot), key).unionByName(rest)
+    hot = right.where(F.col(weight) > total / 1000).drop(weight)
+    # A thousand keys at most: as a filter, they take no join to keep apart.
+    kind = hot.schema[key].dataType
+    value = lambda v, t: F.struct(*[value(x, f.dataType).alias(f.name) for x, f in zip(v, t, strict=True)]) if isinstance(t, StructType) else F.lit(v).cast(t)
+    keys = [value(r[0], kind) for r in hot.select(key).collect()]
+    if not keys:
+        return left.join(right.drop(weight).hint("merge"), key, how)
+    among = lambda: F.coalesce(F.col(key).isin(keys), F.lit(False))
+    cold = right.where(~among()).drop(weight)
+    return left.where(among()).join(F.broadcast(hot), key).unionByName(left.where(~among()).join(cold.hint("merge"), key, how))
 
 
 def more_fields(schema: StructType, ddl: str) -> StructType:

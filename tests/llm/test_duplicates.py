@@ -240,3 +240,19 @@ def test_scratch_keeps_only_what_results_read(spark, docs_of, tmp_path):
     minhash_dedup.near_duplicates(docs_of(words + words)).collect()
     left = {r.rsplit("-", 1)[0] for r in os.listdir(_scratch(spark).removeprefix("file://"))}
     assert left <= {"settled", "signatures", "by-key"}, left
+
+
+def test_unique_join_keeps_hot_keys_apart_without_a_join(spark):
+    # Numbers, bytes and structs as keys; half of all rows have one key.
+    from pyspark.sql import functions as F
+
+    from millrace.llm.common import join_unique
+
+    left = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("n"), "id")
+    forms = {"long": F.col("n"), "bytes": F.unhex(F.sha2(F.col("n").cast("string"), 256)), "struct": F.struct(F.col("n").alias("a"), (-F.col("n")).alias("b"))}
+    for form in forms.values():
+        rows = left.select(form.alias("key"), "n", "id")
+        right = rows.groupBy("key").agg(F.count("*").alias("w"), F.max("n").alias("m"))
+        got = join_unique(rows, right, "key", "w")
+        assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["id"] for r in got.collect()) == list(range(4000)) and got.where("n <> m").isEmpty()
