@@ -349,3 +349,28 @@ def test_batch_search_without_filling(spark, monkeypatch):
     queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(("a", "b b", "a b w7", "none", "w6 w6 a", "..."))], "query_id string, query string")
     got, want = (sorted(map(str, f(table, queries, 4, zero_fill=False).select("query_id", "key", "score", "rank").collect())) for f in (retrieve.bm25_topk_long, retrieve.bm25_topk))
     assert got == want and {r[14:16] for r in got} >= {"q0", "q1"}
+
+def test_vector_index_makes_no_pairs(spark, tmp_path, monkeypatch):
+    # Copies in more rows than there are lists, keys that are texts, blocks and groups of a few; files are ranges, whatever the number of lists.
+    import random
+
+    from millrace.operators import vector_index
+
+    for name, n in (("QUERIES", 3), ("ROWS", 4), ("GROUP_QUERIES", 5)):
+        monkeypatch.setattr(retrieve, name, n)
+    monkeypatch.setattr(vector_index, "FILE", 100)
+    rnd = random.Random(43)
+    few = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(20)]
+    rows = [(f"k{k:03d}", few[0] if k % 3 == 0 else few[k % 20], k % 9) for k in range(400)] + [(None, few[1], 1)]
+    vectors = spark.createDataFrame(rows, "key string, v array<float>, part int")
+    queries = spark.createDataFrame([(k, few[k]) for k in range(11)] + [(11, None), (12, [1.0])], "query_id int, q array<float>")
+    path = str(tmp_path / "vectors")
+    vector_index.write(vectors, path, list_rows=10)
+    assert len(list((tmp_path / "vectors" / "rows").rglob("*.parquet"))) <= 6
+    for allowed in (None, F.col("part") == 1, F.col("key") == "k009"):
+        search = vector_index.Search(spark, path, queries, 7, allowed)
+        shown = [sorted((r["query_id"], r["rank"], str(r["key"]), str(r["score"])) for r in x.collect()) for x in (search.hits(), retrieve.vector_topk(vectors, queries, 7, allowed))]
+        assert shown[0] == shown[1] and len(shown[0]) == 13 * (1 if len(shown[0]) < 50 else 7)
+        nodes = search.hits()._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in nodes and "MapInArrow" in nodes
+    assert search.report().count() == 13
