@@ -109,3 +109,18 @@ def test_closed_folders_are_not_read(spark, tmp_path, rows):
 def test_counting_words_in_their_row(spark):
     got = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["x"])], "k int, w array<string>").select("k", segments._counted(F.col("w")).alias("c")).collect()
     assert {r["k"]: {x["term"]: x["tf"] for x in r["c"]} for r in got} == {1: {"a": 1, "b": 3, "c": 1}, 2: {}, 3: {"x": 1}}
+
+
+def test_folders_hold_as_many_postings_as_stated(spark, tmp_path, rows, monkeypatch):
+    # Nine folders of departments and levels, and more: parts follow the largest folder's postings, not those of all.
+    monkeypatch.setattr(segments, "FOLDER", 1500)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes = docs.select("department", "access_level", F.size(F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))).alias("n")).groupBy("department", "access_level").agg(F.sum("n").alias("n"))
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    assert most < 1500 < total / 2
+    segments.append(spark, str(tmp_path / "lex"), 1, docs)
+    segments.compact(spark, str(tmp_path / "lex"), str(tmp_path / "one"), 1)
+    for name in ("lex", "one"):
+        cells = spark.read.parquet(str(tmp_path / name / "cells"))
+        assert cells.select("part").distinct().count() == 1
+        assert cells.agg(F.sum(F.size("keys"))).first()[0] == total
