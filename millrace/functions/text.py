@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,18 +25,24 @@ UZ_LATIN_MARKERS = ("oʻ", "gʻ", "sh", "ch", "Oʻ", "Gʻ", "Sh", "Ch")
 CYRL_DOUBLE = {"Ш": "Sh", "ш": "sh", "Ч": "Ch", "ч": "ch", "Ю": "Yu", "ю": "yu", "Я": "Ya", "я": "ya", "Ё": "Yo", "ё": "yo", "Ў": "Oʻ", "ў": "oʻ", "Ғ": "Gʻ", "ғ": "gʻ"}
 # Uzbek Cyrillic to Latin, letter by letter; the soft sign vanishes.
 CYRL_SINGLE = ("ҲҳҚқАаБбВвГгДдЕеЖжЗзИиЙйКкЛлМмНнОоПпРрСсТтУуФфХхЦцЪъЫыЭэЬь", "HhQqAaBbVvGgDdEeJjZzIiYyKkLlMmNnOoPpRrSsTtUuFfXxSsʼʼIiEe")
+# Texts that are composed at a time.
+ROWS = 64
 TOKEN = r"[\p{L}\p{N}_ʻ']+"
 # ------------------------------------------------------------------------------
 
 
-@F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    # Python holds some texts of a batch at a time.
+    done = [pa.array([t and unicodedata.normalize("NFC", t) for t in text.slice(a, ROWS).to_pylist()], pa.string()) for a in range(0, len(text), ROWS)]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def compose(text: Column) -> Column:
     """Unicode NFC."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _composed(text)).otherwise(text)
+    # A function's argument is computed for all rows, so plain ASCII is kept from it here.
+    other = text.rlike(r"[^\x00-\x7f]")
+    return F.when(other, _composed(F.when(other, text))).otherwise(text)
 
 
 def strip(text: Column) -> Column:

@@ -270,3 +270,19 @@ def test_outside_equals_comparing_all(spark):
     out = files.outside(c, b)
     assert sorted(r["k"] for r in out.collect()) == want and 0 < len(want) < len(chars)
     assert files.outside(c, b.limit(0)).count() == len(chars)
+
+
+def test_composition_and_splits_take_some_texts_at_a_time(spark):
+    import itertools
+    import unicodedata
+
+    odd = ["e", "́", "̣", "ᄀ", "ᅡ", "ᆨ", "가", "Ω", "क़", "̈́", "и", "̆", "\U0001f600", "\U0001d15e", "\n", "​", "ে", "া", "퓛", "ẛ"]
+    texts = ["".join(c) for n in (1, 2, 3) for c in itertools.product(odd, repeat=n)] + ["", None, "plain"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.compose(F.col("t")).alias("c")).collect()
+    wrong = [texts[r["k"]] for r in rows if r["c"] != (texts[r["k"]] if texts[r["k"]] is None else unicodedata.normalize("NFC", texts[r["k"]]))]
+    assert not wrong and len(rows) == len(texts)
+    # Plain and short texts don't reach Python, and of the others it never holds a whole batch.
+    sent = spark.createDataFrame([("plain",)], "t string").select(text.compose(F.col("t")), chunk.split_column(F.col("t"), 800, 120))
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN" in plan.split("ArrowEvalPython")[1]
+    assert max(text.ROWS, chunk.ROWS) <= 64 and files.BATCH * 4 <= files.TASK <= 16 << 20
