@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from millrace.functions.text import WS, strip
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", " ", "")
 ANNEX_WORDS = ("ilova", "приложение", "annex")
 LABEL_CHARS = 40
+#: Texts that are split at a time.
+ROWS = 64
 
 #: Stands before a heading while a text is cut; and what follows such a mark of the text's own.
 CUT, OWN = "\ufdd0", "\ufdd1"
@@ -127,11 +129,15 @@ def segment_rows(rows: DataFrame, doc: Sequence[str], content: str = "content",
 def split_column(content: Column, size: int, overlap: int) -> Column:
     """Texts of at most ``size`` characters as they are, longer ones in pieces."""
 
-    @F.pandas_udf("array<string>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: recursive_split(t, size, overlap), na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def run(text: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        # Python holds some texts of a batch at a time.
+        done = [pa.array([t and recursive_split(t, size, overlap) for t in text.slice(a, ROWS).to_pylist()], kind) for a in range(0, len(text), ROWS)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
 
-    return F.when(F.length(content) <= size, F.array(content)).otherwise(run(content))
+    # A function's argument is computed for all rows, so short texts are kept from it here.
+    return F.when(F.length(content) <= size, F.array(content)).otherwise(run(F.when(F.length(content) > size, content)))
 
 
 def is_annex(label: Column) -> Column:
