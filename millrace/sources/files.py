@@ -95,7 +95,7 @@ def listing(spark: SparkSession, raw_dir: str) -> DataFrame:
 
 
 #: Bytes that a task reads, and that it gives on at a time, about.
-TASK, BATCH = 64 << 20, 16 << 20
+TASK, BATCH = 16 << 20, 4 << 20
 
 
 def _bytes(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
