@@ -6,6 +6,7 @@ Arrow function does it, and only for texts that are not plain ASCII.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql.types import StringType
 # Fixed values -----------------------------------------------------------------
 # White space as Unicode has it, for classes in Java expressions.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))
 ZERO_WIDTH = r"[\u200b-\u200f\ufeff]"
 # Letters of Russian that Uzbek writing does without.
 RU_MARKERS = "ЩщЫыЪъЭэ"
@@ -46,7 +48,7 @@ def compose(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:

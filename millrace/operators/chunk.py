@@ -9,7 +9,7 @@ functions on one text, the rest are windows over one document's rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -93,37 +93,64 @@ def _java(pattern: str) -> str:
     return pattern.replace(r"\s", f"[{WS}]").replace(r"\d", r"\p{Nd}")
 
 
+def _heading(patterns: Sequence[str]) -> str:
+    """heading_re for Java; patterns in a row share one anchor, so that most places of a text are told by one look."""
+    groups: list[list[str]] = []
+    for p in patterns:
+        # An alternative within a pattern may stand without the anchor.
+        if "|" in p or not groups or "|" in groups[-1][0]:
+            groups.append([])
+        groups[-1].append(_java(p.removeprefix("^")))
+    return "(?miud)" + "|".join(f"^{g[0]}" if "|" in g[0] else f"^(?:{'|'.join(g)})" for g in groups)
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it, in as many rounds as the array's size has binary digits."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(numbers))
+    upto = F.aggregate(steps, numbers, lambda sums, d: F.transform(sums, lambda n, i: n + F.coalesce(F.get(sums, i - d), F.lit(0))))
+    return F.zip_with(upto, numbers, lambda s, n: s - n)
+
+
 def segment_column(content: Column, patterns: Sequence[str] = ARTICLE_PATTERNS) -> Column:
-    """From heading to heading, what comes before the first in front: an array of n, label, content; null for null.
+    """From heading to heading, what comes before the first in front: an array of off, whole, content; null for null.
 
-    n is the part's length with its white space, content is stripped and may be
-    empty. A text without headings is one part as it is. Every heading gets a mark
-    before it, and the text is cut at the marks, in time linear in it. Of classes the
+    off counts code points, whole is the part with its white space, content is
+    stripped and may be empty. A text without headings is one part as it is. Every
+    heading gets a mark before it, and the text is cut at the marks. Of classes the
     patterns may use sets, ``\\s`` and ``\\d``, which are Unicode's.
     """
-    heading = "(?miud)" + "|".join(_java(p) if p.startswith("^") else f"^{_java(p)}" for p in patterns)
-    marked = F.regexp_replace(F.replace(content, F.lit(CUT), F.lit(CUT + OWN)), heading, CUT + "$0")
+    marked = F.regexp_replace(F.replace(content, F.lit(CUT), F.lit(CUT + OWN)), _heading(patterns), CUT + "$0")
+    parts = F.transform(F.split(marked, f"{CUT}(?!{OWN})"), lambda p: F.replace(p, F.lit(CUT + OWN), F.lit(CUT)))
+
+    def placed(parts: Column) -> Column:
+        def one(p: Column, off: Column) -> Column:
+            return F.struct(off.alias("off"), p.alias("whole"), F.when(F.size(parts) == 1, p).otherwise(strip(p)).alias("content"))
+
+        return F.zip_with(parts, _once(F.transform(parts, F.length), _before), one)
 
-    def cut(parts: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            whole = F.replace(p, F.lit(CUT + OWN), F.lit(CUT))
-            line = strip(F.regexp_extract(whole, r"\A[^\n]*", 0))
-            label = F.substring(strip(F.regexp_extract(line, r"\A[^.\-—:]*", 0)), 1, LABEL_CHARS)
-            return F.struct(F.length(whole).alias("n"), F.when(i > 0, label).alias("label"), F.when(F.size(parts) == 1, whole).otherwise(strip(whole)).alias("content"))
+    return _once(parts, placed)
 
-        return F.transform(parts, one)
 
-    # Through an array of one, so that the text is cut once.
-    return F.transform(F.array(F.split(marked, f"{CUT}(?!{OWN})")), cut)[0]
+def label_column(whole: Column) -> Column:
+    """The label of a part that begins with a heading: its first line up to a full stop, dash or colon."""
+    line = strip(F.substring_index(whole, "\n", 1))
+    return F.substring(strip(F.regexp_extract(line, r"\A[^.\-—:]*", 0)), 1, LABEL_CHARS)
 
 
 def segment_rows(rows: DataFrame, doc: Sequence[str], content: str = "content", patterns: Sequence[str] = ARTICLE_PATTERNS) -> DataFrame:
-    """A row for each segment of the texts, one a document, with off (in code points), label, content; blank ones are left out."""
+    """A row for each segment of the texts, one a document, with off (in code points), label, content; blank ones are left out.
+
+    A text is cut where it lies, so nothing is shuffled by doc, the documents' key.
+    """
     kept = [c for c in rows.columns if c != content]
     cut = rows.select(*[f"`{c}`" for c in kept], F.posexplode(segment_column(F.col(content), patterns)).alias("_i", "_s"))
-    before = Window.partitionBy(*doc).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum("_s.n").over(before), F.lit(0)).cast("int")
-    return cut.select(*[f"`{c}`" for c in kept], off.alias("off"), F.col("_s.label").alias("label"), F.col("_s.content").alias("content")).where("content <> ''")
+    label = F.when(F.col("_i") > 0, label_column(F.col("_s.whole")))
+    return cut.select(*[f"`{c}`" for c in kept], F.col("_s.off").alias("off"), label.alias("label"), F.col("_s.content").alias("content")).where("content <> ''")
 
 
 def split_column(content: Column, size: int, overlap: int) -> Column:
@@ -162,10 +189,11 @@ def with_annex(rows: DataFrame, doc: Sequence[str], order: Sequence[str], kind:
 def chunk_blocks(blocks: DataFrame, settings: Chunking | None = None) -> DataFrame:
     """Chunks of blocks(source_path, filename, file_hash, language_hint, block_idx, kind, content, page)."""
     settings = settings or Chunking()
-    whole = F.array(F.struct(F.length("content").alias("n"), F.lit(None).cast("string").alias("label"), F.col("content")))
+    whole = F.array(F.struct(F.lit(0).alias("off"), F.col("content").alias("whole"), F.col("content")))
     cut = F.when(F.col("kind") == "table", whole).otherwise(segment_column(F.col("content"), settings.article_patterns))
     rows = blocks.select("*", F.posexplode(cut).alias("segment", "_s")).where("_s.content <> ''")
-    rows = rows.withColumns({"label": F.col("_s.label"), "content": F.col("_s.content")}).drop("_s")
+    label = F.when(F.col("segment") > 0, label_column(F.col("_s.whole")))
+    rows = rows.withColumns({"label": label, "content": F.col("_s.content")}).drop("_s")
     rows = with_annex(rows, ["source_path", "file_hash"], ["block_idx", "segment"])
     pieces = F.when(F.col("kind") == "table", F.array("content")).otherwise(split_column(F.col("content"), settings.size, settings.overlap))
     rows = rows.select("*", F.posexplode(pieces).alias("piece", "_c")).withColumn("content", strip(F.col("_c"))).drop("_c", "label")

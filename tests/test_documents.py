@@ -124,6 +124,47 @@ def test_segments_in_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_segments_are_cut_where_the_texts_lie(spark):
+    # Sizes on both sides of powers of two, where sums of offsets take one more round; and bodies of more than one byte a character.
+    texts = ["\n".join(f"{i}-modda. ў😀{'x' * (i % 7)}" for i in range(n)) for n in (1, 2, 3, 4, 5, 8, 9, 127, 128, 129, 3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    out = chunk.segment_rows(rows, ["id"])
+    got = {i: [] for i in range(len(texts))}
+    for r in out.collect():
+        got[r["id"]].append((r["off"], r["label"], r["content"]))
+    assert got == {i: [s for s in chunk.segments(t, chunk.heading_re()) if s[2]] for i, t in enumerate(texts)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_patterns_share_an_anchor(spark):
+    assert chunk._heading(chunk.ARTICLE_PATTERNS).count("^") == 1
+    pieces = ["ab", "b1", "c", "xb", "d", "xd", "xc2", " e\n", "e 3", "", "\n", "f-"]
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choices(pieces, k=rng.randrange(8))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    for patterns in (["d", "^c", r"e\s*\d?"], ["a|b", "c"], ["c", "^d|2", r"\s*e", "f"], ["(a|b)", "d"], ["x"]):
+        heading = chunk.heading_re(patterns)
+        got = {i: [] for i in range(len(texts))}
+        for r in chunk.segment_rows(rows, ["id"], patterns=patterns).orderBy("id", "off").collect():
+            got[r["id"]].append((r["off"], r["content"]))
+        assert got == {i: [(off, c) for off, _, c in chunk.segments(t, heading) if c] for i, t in enumerate(texts)}, patterns
+
+
+def test_strip_takes_time_linear_in_a_text(spark):
+    import time
+
+    rng = random.Random(4)
+    white = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    assert sorted(text.WS_CHARS) == white
+    texts = ["", None, " ", *["".join(rng.choices([*white, "a", "ў", "😀", "\u200b", "\ufeff", "\x00", "é"], k=rng.randrange(9))) for _ in range(2000)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.strip(F.col("t")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in rows} == {k: t and t.strip() for k, t in enumerate(texts)}
+    began = time.time()
+    assert one(spark, "a" + " " * 100_000 + "b", text.strip) == "a" + " " * 100_000 + "b"
+    assert time.time() - began < 10
+
+
 def test_split_properties():
     rng = random.Random(1)
     for _ in range(300):
