@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from millrace.functions import packed
 from millrace.operators import index, retrieve, segments
 from pyspark.sql import functions as F
 
@@ -124,3 +127,52 @@ def test_folders_hold_as_many_postings_as_stated(spark, tmp_path, rows, monkeypa
         cells = spark.read.parquet(str(tmp_path / name / "cells"))
         assert cells.select("part").distinct().count() == 1
         assert cells.agg(F.sum(F.size("keys"))).first()[0] == total
+
+
+def shuffled(spark, since):
+    """Bytes that stages after the given one wrote to shuffles, and the last stage."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    all_ = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteBytes() for s in all_ if s.stageId() > since), max((s.stageId() for s in all_), default=-1)
+
+
+def test_a_segment_moves_less_than_its_texts(spark, tmp_path):
+    rnd = random.Random(23)
+    rows = [(k, f"d{k % 3}", "public", " ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(200))) for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs, path = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "lexical")
+    last = shuffled(spark, -1)[1]
+    segments.append(spark, path, 1, docs)
+    moved, last = shuffled(spark, last)
+    segments.compact(spark, path, f"{path}-one", 1)
+    again, _ = shuffled(spark, last)
+    texts = sum(len(r[3]) for r in rows)
+    assert 0 < moved < 0.5 * texts and 0 < again < 0.5 * texts, (moved, again, texts)
+
+
+def test_small_cells_become_one(spark, tmp_path):
+    # Segments of one chunk each, some of which end; keys are texts.
+    path, now = str(tmp_path / "lexical"), {}
+    make = lambda some: spark.createDataFrame(some, SCHEMA.replace("key long", "key string"))
+    for v, (text, ends) in enumerate([("a b b", None), ("b c", None), ("c", "k1"), ("a c c", None)], 1):
+        now[f"k{v}"] = (f"k{v}", "d", "public", text)
+        segments.append(spark, path, v, make([now[f"k{v}"]]), make([now.pop(ends)]) if ends else None)
+    segments.compact(spark, path, f"{path}-one", 4)
+    cells = spark.read.parquet(f"{path}-one/cells")
+    assert cells.select("cell").distinct().count() == 1 and cells.count() == 3
+    queries = spark.createDataFrame([(1, "a c")], "query_id int, query string")
+    want = shown(retrieve.bm25_topk(index.token_table(make(list(now.values())), "key", "text"), queries, 9))
+    assert shown(segments.Search(spark, f"{path}-one", queries, 9, 1).filled()) == shown(segments.Search(spark, path, queries, 9, 4).filled()) == want
+
+
+def test_blocks_keep_their_rows():
+    rows = pa.table({"d": ["x", "x", None, None, "x"], "p": pa.array([0, 0, 0, 1, 1], pa.int32()), "t": ["a", "ab", "b", "ü", ""], "n": pa.array([[1], [], None, [2, 3], [4]], pa.list_(pa.int16()))})
+    blocks = packed.pack(rows, ["d", "p"])
+    assert blocks.column("d").to_pylist() == ["x", None, None, "x"] and blocks.column("p").to_pylist() == [0, 0, 1, 1]
+    read = pa.concat_tables([packed.pq.read_table(pa.BufferReader(b.as_buffer())) for b in blocks.column("block")])
+    assert read.to_pylist() == rows.drop_columns(["d", "p"]).to_pylist()
+    assert packed.runs(rows, ["d"]).tolist() == [0, 2, 4] and packed.runs(rows.slice(0, 0), ["d"]).tolist() == []
+    order, cell = segments._numbered(pa.record_batch({"department": ["a"] * 6 + ["b"] * 2, "access_level": ["l"] * 8}), np.array([9, 1, 1, 1, 1, 9, 3, 3]), 4)
+    assert order.tolist() == [1, 2, 3, 4, 0, 5, 6, 7] and cell.tolist() == [0, 0, 0, 0, 1, 1, 2, 2]
