@@ -27,6 +27,10 @@ _TABLES = {
 }
 
 
+def _write(df: DataFrame, path: str, *by: str) -> None:
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
 def _log(spark: SparkSession, index_dir: str, name: str) -> DataFrame:
     """All rows of a table's versions; empty before the first run."""
     path = f"{index_dir}/{name}"
@@ -113,17 +117,17 @@ def write_version(spark: SparkSession, raw_dir: str, index_dir: str, version: in
     changes = spark.read.parquet(f"{index_dir}/changes/version={version}")
     todo = changes.where("status in ('new', 'changed')").select("source_path")
     parsed = files.load(scan.join(todo, "source_path", "left_semi"))
-    parsed.write.mode("overwrite").parquet(f"{index_dir}/documents/version={version}")
+    _write(parsed, f"{index_dir}/documents/version={version}")
     parsed = spark.read.parquet(f"{index_dir}/documents/version={version}")
     good = parsed.where("error is null")
     made = chunk.chunk_blocks(files.blocks_of(good), config.chunking)
-    meta = index.chunk_metadata(made, department, access_level, doc_version).withColumn("department", access.department_of(files.relative(F.col("source_path"), raw_dir), department))
-    rows = meta.join(made.select("source_path", "chunk_id", "content", "token_estimate"), ["source_path", "chunk_id"])
-    rows.write.mode("overwrite").partitionBy("department", "access_level").parquet(f"{index_dir}/chunks/version={version}")
+    rows = index.chunk_metadata(made, department, access_level, doc_version, ["content", "token_estimate"])
+    rows = rows.withColumn("department", access.department_of(files.relative(F.col("source_path"), raw_dir), department))
+    _write(rows, f"{index_dir}/chunks/version={version}", "department", "access_level")
     rows = spark.read.schema(_CHUNK).parquet(f"{index_dir}/chunks").where(F.col("version") == version)
     embed = embedder or retrieve.hash_embedder()
     vectors_ = rows.select("source_path", "chunk_id", "file_hash", embed("content").alias("v"), "department", "access_level")
-    vectors_.write.mode("overwrite").partitionBy("department", "access_level").parquet(f"{index_dir}/vectors/version={version}")
+    _write(vectors_, f"{index_dir}/vectors/version={version}", "department", "access_level")
     # A removal reaches the chunks of earlier versions; those written by this run stay.
     removed = changes.where("status = 'deleted'").unionByName(changes.where("status = 'changed'").join(good.select("source_path"), "source_path", "left_semi"))
     removed.select("source_path", F.col("old_hash").alias("file_hash")).write.mode("overwrite").parquet(f"{index_dir}/gone/version={version}")

@@ -1,9 +1,13 @@
 """A folder indexed, updated, searched and asked."""
 
+import random
+
 from millrace.plans import build
 from millrace.streaming import ingest
 from pyspark.sql import functions as F
 
+from .test_segments import shuffled
+
 LONG = " This sentence makes the passage long enough to be kept."
 
 
@@ -109,3 +113,18 @@ def test_a_file_that_cannot_be_opened_is_a_row(spark, tmp_path):
     row = build.files.load(build.files.read(listed, str(tmp_path))).first()
     assert row["error"].startswith("OSError") and row["blocks"] == [] and row["file_hash"] == ""
     assert build.files.listing(spark, str(tmp_path)).count() == 0 and build.files.scan(spark, str(tmp_path)).count() == 0
+
+
+def test_a_build_moves_few_times_its_texts(spark, tmp_path):
+    rnd, raw = random.Random(5), tmp_path / "raw"
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(1500)) for _ in range(40)]
+    for i, text in enumerate(texts):
+        (raw / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (raw / f"d{i % 3}/{i}.txt").write_text(text)
+    last = shuffled(spark, -1)[1]
+    build.build_index(spark, str(raw), str(tmp_path / "index"))
+    moved, _ = shuffled(spark, last)
+    # Read, cut into chunks and numbered, each time with the texts, and once as postings.
+    assert 0 < moved < 3.5 * sum(map(len, texts)), moved / sum(map(len, texts))
+    rows = build.chunks(spark, str(tmp_path / "index"))
+    assert rows.count() > 40 and rows.where("token_estimate is null or content is null").count() == 0
